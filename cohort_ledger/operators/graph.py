@@ -47,7 +47,7 @@ def fixpoint(
         return moved.select(F.col("_to").alias(key), *carried).distinct().select(*columns)
 
     steps = steps.distinct().checkpoint()
-    frontier = seed.distinct()
+    frontier = seed.distinct().checkpoint()
     seen: list[DataFrame] = []
     while True:
         layers, current = [], frontier

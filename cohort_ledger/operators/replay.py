@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohort_ledger.functions.qc import event_id
 from cohort_ledger.model import DEFAULT_SCHEMA, DONE_SUFFIX, EVENT_COLUMNS, CohortSchema
 from cohort_ledger.operators.qc import ACTIVE_KEY
+from cohort_ledger.session import ensure_checkpoint_dir
 
 CHUNK = 1_000_000
 
@@ -50,79 +51,88 @@ def neighbour(
 
 
 def _entries(log: DataFrame) -> DataFrame:
-    """Log rows as single open and close entries on ``(level, entity_id, kind)``."""
+    """Log rows as single open and close entries on ``(level, entity_id, kind)``.
+
+    One pass over the log: each row becomes an array of its entries.
+    """
     none = F.lit(None).cast("string")
-    when = F.coalesce(F.col("created_at"), F.col("timestamp"))
-    closed = F.coalesce(F.col("resolved_at"), F.col("timestamp"))
+    action, reason = F.col("action"), F.coalesce("reason", F.lit(""))
+    opened_at = F.to_timestamp(F.coalesce("created_at", "timestamp"))
+    closed_at = F.to_timestamp(F.coalesce("resolved_at", "timestamp"))
+    opened_by = F.coalesce("created_by", F.lit("unknown"))
+    closed_by = F.coalesce("resolved_by", F.lit("unknown"))
+    source = F.coalesce("source", F.lit("manual"))
 
-    def rows(frame, op, level, entity, kind, reason, at, by, ref, source, withdrawal=none):
-        return frame.select(
-            "seq",
+    def entry(op, level, entity, kind, reason, at, by, source, ref=none, withdrawal=none):
+        return F.struct(
             F.lit(op).alias("op"),
             level.alias("level"),
             entity.alias("entity_id"),
             kind.alias("kind"),
             reason.alias("reason"),
-            F.to_timestamp(at).alias("at"),
+            at.alias("at"),
             by.alias("by"),
             ref.alias("qc_event_id"),
             source.alias("source"),
             withdrawal.alias("withdrawal_date"),
-            F.coalesce("transaction_id", F.lit("txn_recover")).alias("transaction_id"),
         )
 
-    by_open = F.coalesce(F.col("created_by"), F.lit("unknown"))
-    by_close = F.coalesce(F.col("resolved_by"), F.lit("unknown"))
-    source = F.coalesce(F.col("source"), F.lit("manual"))
-    censor = log.filter(F.col("action") == "censor")
-    out = [
-        rows(
-            censor, "open", F.col("level"), F.col("entity_id"), F.col("kind"),
-            F.coalesce("reason", F.lit("")), when, by_open, F.col("qc_event_id"), source,
-            F.col("withdrawal_date"),
-        )
-    ]
-    single = log.filter(F.col("action").isin("uncensor", "ethics_override"))
-    out.append(
-        rows(
-            single, "close", F.col("level"), F.col("entity_id"), F.col("kind"),
-            F.coalesce("reason", F.lit("")), closed, by_close, F.col("qc_event_id"), source,
-        )
+    def each(column, make):
+        return F.coalesce(F.transform(column, make), F.array().cast(empty))
+
+    one = entry(
+        "open", F.col("level"), F.col("entity_id"), F.col("kind"), reason, opened_at, opened_by,
+        source, F.col("qc_event_id"), F.col("withdrawal_date"),
     )
-    legacy = log.filter(F.col("action") == "migrate_qc").withColumn("_e", F.explode("migrated_rows"))
-    out.append(
-        rows(
-            legacy, "open", F.lit("assay"), F.col("_e.assay_id"), F.lit("qc_fail"),
-            F.lit("migrated from legacy qc_pass"), F.col("timestamp"),
-            F.lit("import:migrate-qc"), none, F.lit("import"),
-        )
+    empty = log.select(F.array(one).alias("e")).schema["e"].dataType
+    close = entry(
+        "close", F.col("level"), F.col("entity_id"), F.col("kind"), reason, closed_at, closed_by,
+        source, F.col("qc_event_id"),
+    )
+    legacy = each(
+        "migrated_rows",
+        lambda e: entry(
+            "open", F.lit("assay"), e["assay_id"], F.lit("qc_fail"),
+            F.lit("migrated from legacy qc_pass"), F.to_timestamp("timestamp"),
+            F.lit("import:migrate-qc"), F.lit("import"),
+        ),
     )
     via = F.concat(F.lit("source assay in batch '"), F.col("batch_id"), F.lit("' censored"))
-    for column, level, kind, reason in (
-        ("censored_assays", "assay", "qc_fail", F.col("reason")),
-        ("censored_derived_assays", "assay", "qc_fail", via),
-        ("warned_specimens", "specimen", "qc_warn", via),
-    ):
-        batch = log.filter(F.col("action") == "censor_batch").withColumn("_e", F.explode(column))
-        out.append(
-            rows(
-                batch, "open", F.lit(level), F.col("_e"), F.lit(kind), reason, when, by_open,
-                none, source,
-            )
+
+    def opens(column, level, kind, why):
+        return each(
+            column,
+            lambda e: entry("open", F.lit(level), e, F.lit(kind), why, opened_at, opened_by, source),
         )
-    for column, level in (
-        ("resolved_assays", "assay"),
-        ("resolved_derived_assays", "assay"),
-        ("resolved_specimens", "specimen"),
-    ):
-        batch = log.filter(F.col("action") == "uncensor_batch").withColumn("_e", F.explode(column))
-        out.append(
-            rows(
-                batch, "close_all", F.lit(level), F.col("_e"), none, F.col("reason"), closed,
-                by_close, none, source,
-            )
+
+    def closes(column, level):
+        return each(
+            column,
+            lambda e: entry("close_all", F.lit(level), e, none, reason, closed_at, closed_by, source),
         )
-    return reduce(DataFrame.unionByName, out)
+
+    batch_opens = F.concat(
+        opens("censored_assays", "assay", "qc_fail", reason),
+        opens("censored_derived_assays", "assay", "qc_fail", via),
+        opens("warned_specimens", "specimen", "qc_warn", via),
+    )
+    batch_closes = F.concat(
+        closes("resolved_assays", "assay"),
+        closes("resolved_derived_assays", "assay"),
+        closes("resolved_specimens", "specimen"),
+    )
+    entries = (
+        F.when(action == "censor", F.array(one))
+        .when(action.isin("uncensor", "ethics_override"), F.array(close))
+        .when(action == "migrate_qc", legacy)
+        .when(action == "censor_batch", batch_opens)
+        .when(action == "uncensor_batch", batch_closes)
+    )
+    return log.select(
+        "seq",
+        F.coalesce("transaction_id", F.lit("txn_recover")).alias("transaction_id"),
+        F.explode(entries).alias("_e"),
+    ).select("seq", "transaction_id", "_e.*")
 
 
 def replay_qc_log(
@@ -138,7 +148,8 @@ def replay_qc_log(
     An open entry counts unless its key is already open or its entity is
     missing; a close entry closes the open event of its key, named directly or
     through the id of the entry that opened it.  Batch reversals close every
-    open event of an entity.
+    open event of an entity.  The entries and their order are each checkpointed
+    once, because later steps read them several times.
     """
     frames = {"patient": patients, "specimen": specimens, "assay": assays}
     known = reduce(
@@ -148,7 +159,8 @@ def replay_qc_log(
             for lv in schema.levels
         ],
     )
-    entries = _entries(log)
+    ensure_checkpoint_dir(log.sparkSession)
+    entries = _entries(log).checkpoint()
     opens = entries.filter(F.col("op") == "open")
     orphans = opens.join(known, ["level", "entity_id"], "left_anti")
     opens = opens.join(known, ["level", "entity_id"], "left_semi")
@@ -178,7 +190,7 @@ def replay_qc_log(
     )
     steps = opens.unionByName(by_id).unionByName(by_key).unionByName(all_kinds)
 
-    marked = neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk)
+    marked = neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk).checkpoint()
     before = F.coalesce(F.col("_prev.op"), F.lit("close"))
     turns = marked.filter(F.col("op") != before).drop("_prev")
     from_batch = F.coalesce(F.col("qc_event_id"), F.lit("")) == "*"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_ledger.functions.nodes import cohort_node
+from cohort_ledger.model import LOG_SCHEMA
 from cohort_ledger.operators.qc import recompute_status
 
 MODEL_TABLES = (
@@ -135,32 +136,35 @@ class Model:
         if mapped is not None:
             return mapped
         turn = F.col("event_id") % 3
-        level = F.when(turn == 0, "patient").when(turn == 1, "specimen").otherwise("assay")
-        patient = level == "patient"
-        kind = (
-            F.when(F.col("event_type") == "error", F.when(patient, "consent_revoked").otherwise("qc_fail"))
-            .when(F.col("event_type") == "purchase", "qc_warn")
-            .when(F.col("event_type") == "signup", "other")
-            .when(F.col("event_type") == "click", F.when(patient, "qc_fail").otherwise("protocol_deviation"))
-            .when(F.col("event_type") == "view", "batch_effect_flagged")
+        events = self.raw("events")
+
+        # The level is a literal in each branch, so a filter on it prunes the others.
+        def branch(n: int, level: str) -> DataFrame:
+            return events.filter(turn == n).withColumn("level", F.lit(level))
+
+        on_patients = branch(0, "patient").withColumn("entity_id", F.col("user_id").cast("string"))
+        on_specimens = branch(1, "specimen").withColumn(
+            "entity_id", F.col("event_id").cast("string")
         )
         first_assay = (
-            self.assay_rows.groupBy("specimen_id").agg(F.min("assay_id").alias("_assay"))
-        )
-        events = self.raw("events").withColumn("level", level)
-        direct = events.filter(F.col("level") != "assay").withColumn(
-            "entity_id",
-            F.when(F.col("level") == "patient", F.col("user_id")).otherwise(F.col("event_id")).cast("string"),
+            self.assay_rows.groupBy("specimen_id").agg(F.min("assay_id").alias("entity_id"))
         )
         on_assays = (
-            events.filter(F.col("level") == "assay")
+            branch(2, "assay")
             .withColumn("specimen_id", F.col("event_id").cast("string"))
             .join(first_assay, "specimen_id")
-            .withColumn("entity_id", F.col("_assay"))
-            .drop("specimen_id", "_assay")
+            .drop("specimen_id")
+        )
+        patient, kind_of = F.col("level") == "patient", F.col("event_type")
+        kind = (
+            F.when(kind_of == "error", F.when(patient, "consent_revoked").otherwise("qc_fail"))
+            .when(kind_of == "purchase", "qc_warn")
+            .when(kind_of == "signup", "other")
+            .when(kind_of == "click", F.when(patient, "qc_fail").otherwise("protocol_deviation"))
+            .when(kind_of == "view", "batch_effect_flagged")
         )
         resolved = F.col("event_id") % 10 != 0
-        return direct.unionByName(on_assays).select(
+        return on_patients.unionByName(on_specimens).unionByName(on_assays).select(
             F.col("event_id").cast("string").alias("id"),
             "level",
             "entity_id",
@@ -288,6 +292,83 @@ class Model:
         )
         return merged.unionByName(consumers)
 
+    @cached_property
+    def projects(self) -> DataFrame:
+        """Project meta rows: one per nation, with a lifecycle state by region."""
+        turn = F.col("n_regionkey") % 3
+        return self.raw("nation").select(
+            F.col("n_name").alias("project"),
+            F.when(turn == 0, "active").when(turn == 1, "archived").otherwise("complete").alias("status"),
+        )
+
+    @cached_property
+    def qc_log(self) -> DataFrame:
+        """Provenance entries that would have led to the events.
+
+        Every event has a censor entry; a resolved one also an uncensor entry,
+        333 events later.
+        """
+        ev = self.qc_events.withColumn("_n", F.col("id").cast("bigint"))
+
+        def entry(frame, action, seq, at, **values):
+            row = {
+                "seq": seq,
+                "timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"),
+                "action": F.lit(action),
+                "level": F.col("level"),
+                "entity_id": F.col("entity_id"),
+                "kind": F.col("kind"),
+                "qc_event_id": F.col("id"),
+                "transaction_id": F.col("transaction_id"),
+                **values,
+            }
+            return frame.select(
+                *[
+                    row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                    for f in LOG_SCHEMA.fields
+                ]
+            )
+
+        opened = entry(
+            ev, "censor", F.col("_n") * 2, F.col("created_at"),
+            reason=F.col("reason"), created_by=F.col("created_by"), source=F.col("source"),
+            withdrawal_date=F.when(F.col("kind") == "consent_revoked", F.lit("2024-05-01")),
+        )
+        closed = entry(
+            ev.filter(F.col("resolved_at").isNotNull()), "uncensor",
+            (F.col("_n") + 333) * 2 + 1, F.col("resolved_at"),
+            reason=F.col("resolved_reason"), resolved_by=F.col("resolved_by"),
+        )
+        return opened.unionByName(closed)
+
+    @cached_property
+    def sheet(self) -> DataFrame:
+        """A wide sample sheet: assays with their specimen and patient columns."""
+        orders = self.raw("orders").select(
+            F.col("o_orderkey").cast("string").alias("specimen_id"),
+            "o_custkey",
+            F.col("o_orderstatus").alias("tissue_site"),
+            F.col("o_orderpriority").alias("timepoint"),
+        )
+        customers = self.raw("customer").select(
+            F.col("c_custkey").alias("o_custkey"),
+            F.col("c_custkey").cast("string").alias("patient_id"),
+            F.col("c_mktsegment").alias("cohort"),
+            F.col("c_nationkey").cast("string").alias("site"),
+        )
+        return (
+            self.assay_rows.select("assay_id", "specimen_id", "assay_type", "batch_id")
+            .join(orders.join(customers, "o_custkey"), "specimen_id")
+            .select(
+                "patient_id", "cohort", "site", "specimen_id", "tissue_site", "timepoint",
+                "assay_id", "assay_type", "batch_id",
+            )
+        )
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return {"patient": self.patients, "specimen": self.specimens, "assay": self.assays}
+
     @property
     def levels(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.patients, self.specimens, self.assays
