@@ -19,42 +19,31 @@ def analysis_node(level: Column, entity_id: Column, analysis: Column) -> Column:
     return F.concat(F.lit("analysis:"), level, F.lit("/"), entity_id, F.lit("/"), analysis)
 
 
-def _group(node: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(node, pattern, index), F.lit(""))
+_PART = r"([^/]*[^/\s][^/]*)"
+NODE_PATTERN = (
+    r"(?s)\A(?:cohort:([^@]+)@(.+)|reference:(.+)|analysis:" + "/".join([_PART] * 3) + r")\z"
+)
 
 
 def parse_node(node: Column) -> Column:
-    """Struct of the parts of a node reference; NULL when it is malformed."""
-    cohort = r"(?s)\Acohort:([^@]+)@(.+)\z"
-    reference = r"(?s)\Areference:(.+)\z"
-    analysis = r"(?s)\Aanalysis:([^/]+)/([^/]+)/([^/]+)\z"
-    blank_part = r"(?s)\Aanalysis:(?:\s*/|[^/]*/\s*/|[^/]*/[^/]*/\s*\z)"
-    is_cohort, is_reference = node.rlike(cohort), node.rlike(reference)
-    is_analysis = node.rlike(analysis) & ~node.rlike(blank_part)
-    empty = F.lit(None).cast("string")
-
-    def parts(scope, analysis_=empty, run_tag=empty, ref_key=empty, level=empty, entity=empty):
-        return F.struct(
-            F.lit(scope).alias("scope"),
-            analysis_.alias("analysis"),
-            run_tag.alias("run_tag"),
-            ref_key.alias("ref_key"),
-            level.alias("entity_level"),
-            entity.alias("entity_id"),
-        )
-
-    return (
-        F.when(is_cohort, parts("cohort", _group(node, cohort, 1), _group(node, cohort, 2)))
-        .when(is_reference, parts("reference", ref_key=_group(node, reference, 1)))
-        .when(
-            is_analysis,
-            parts(
-                "analysis",
-                analysis_=_group(node, analysis, 3),
-                level=_group(node, analysis, 1),
-                entity=_group(node, analysis, 2),
-            ),
-        )
+    """Struct of the parts of a node reference; NULL when it is malformed.
+
+    One pattern covers the three scopes; a group that took no part is empty.
+    """
+
+    def group(index: int) -> Column:
+        return F.nullif(F.regexp_extract(node, NODE_PATTERN, index), F.lit(""))
+
+    return F.when(
+        node.rlike(NODE_PATTERN),
+        F.struct(
+            F.substring_index(node, ":", 1).alias("scope"),
+            F.coalesce(group(1), group(6)).alias("analysis"),
+            group(2).alias("run_tag"),
+            group(3).alias("ref_key"),
+            group(4).alias("entity_level"),
+            group(5).alias("entity_id"),
+        ),
     )
 
 

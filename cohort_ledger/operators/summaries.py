@@ -21,9 +21,9 @@ def _pileup(lines: DataFrame) -> DataFrame:
         .filter(F.size("_f") >= 11)
         .select(
             "assay_id",
-            F.col("_f")[3].alias("code"),
-            F.col("_f")[9].alias("cov"),
-            F.col("_f")[10].try_cast("double").alias("frac"),
+            F.get("_f", F.lit(3)).alias("code"),
+            F.get("_f", F.lit(9)).alias("cov"),
+            F.get("_f", F.lit(10)).try_cast("double").alias("frac"),
         )
     )
 
@@ -201,6 +201,11 @@ def insertion_summary(table: DataFrame) -> DataFrame:
     )
 
 
+def _decimals(value: Column, places: int) -> Column:
+    """A number as text with a fixed number of decimals and no grouping."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
 def _flag_columns(reasons: list[Column], warning: Column) -> list[Column]:
     failed = F.concat_ws("; ", *reasons)
     return [
@@ -218,7 +223,7 @@ def threshold_flags(
     The warning is free text, which never turns into a warning event.
     """
     reads, pct = F.col("total_reads"), F.col("mapped_pct")
-    shown = F.format_number(pct, "0.00")
+    shown = _decimals(pct, 2)
     reasons = [
         F.when(
             reads < min_total_reads,
@@ -280,7 +285,7 @@ def threshold_flags_multi(
 ) -> DataFrame:
     """Single-cell stats (``n_cells``, ``pct_mito``) with flag columns."""
     cells, mito = F.col("n_cells"), F.col("pct_mito")
-    shown = F.format_number(mito, "0.0")
+    shown = _decimals(mito, 1)
     reasons = [
         F.when(cells < min_cells, F.concat(F.lit("n_cells="), cells.cast("string"), F.lit(f" < {min_cells}"))),
         F.when(
