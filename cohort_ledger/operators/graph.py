@@ -1,8 +1,8 @@
 """Derivation graph: edges, reachability, staleness and cycles.
 
 Every closure is a frontier fixpoint on DataFrames.  A round takes several hops
-in one plan, drops what was seen before, and ends in ``checkpoint()`` on the
-shared folder, so lineage stays short and a lost executor costs one round.
+in one plan, drops what was seen before, and ends in a checkpoint on the shared
+folder, so lineage stays short and a lost executor costs one round.
 Only whether the frontier is empty reaches the driver.
 """
 
@@ -20,7 +20,7 @@ from cohort_ledger.functions.nodes import (
     reference_node,
 )
 from cohort_ledger.operators import artifacts as art
-from cohort_ledger.session import ensure_checkpoint_dir
+from cohort_ledger.session import checkpointed
 
 HOPS_PER_ROUND = 4
 COMPACT_EVERY = 8
@@ -38,7 +38,6 @@ def fixpoint(
     ``steps`` has columns ``(_from, _to)``.  Columns of ``seed`` other than
     ``key`` are carried along; a row is expanded once, so cycles end.
     """
-    ensure_checkpoint_dir(seed.sparkSession)
     columns = seed.columns
     carried = [c for c in columns if c != key]
 
@@ -46,8 +45,8 @@ def fixpoint(
         moved = frontier.withColumnRenamed(key, "_from").join(steps, "_from")
         return moved.select(F.col("_to").alias(key), *carried).distinct().select(*columns)
 
-    steps = steps.distinct().checkpoint()
-    frontier = seed.distinct().checkpoint()
+    steps = checkpointed(steps.distinct())
+    frontier = checkpointed(seed.distinct())
     seen: list[DataFrame] = []
     while True:
         layers, current = [], frontier
@@ -56,13 +55,13 @@ def fixpoint(
             if seen:
                 current = current.join(_union(seen), columns, "left_anti")
             layers.append(current.withColumn("_hop", F.lit(i)))
-        found = _union(layers).groupBy(*columns).agg(F.min("_hop").alias("_hop")).checkpoint()
+        found = checkpointed(_union(layers).groupBy(*columns).agg(F.min("_hop").alias("_hop")))
         frontier = found.filter(F.col("_hop") == hops - 1).select(*columns)
         seen.append(found.select(*columns))
         if frontier.isEmpty():
             return _union(seen)
         if len(seen) >= COMPACT_EVERY:
-            seen = [_union(seen).checkpoint()]
+            seen = [checkpointed(_union(seen))]
 
 
 def nodes_table(nodes: DataFrame, column: str = "node") -> DataFrame:
@@ -244,7 +243,7 @@ def derived_reasons(pairs: DataFrame, direct: DataFrame) -> DataFrame:
 
 def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Drop edges that cannot lie on a cycle until none can be dropped."""
-    current = edges.filter(F.col("down_node") != F.col("up_node")).distinct().checkpoint()
+    current = checkpointed(edges.filter(F.col("down_node") != F.col("up_node")).distinct())
     size = current.count()
     while size:
         trimmed = current
@@ -253,7 +252,7 @@ def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
             trimmed = trimmed.join(ups, "down_node", "left_semi")
             downs = trimmed.select(F.col("down_node").alias("up_node")).distinct()
             trimmed = trimmed.join(downs, "up_node", "left_semi")
-        current = trimmed.select("down_node", "up_node").checkpoint()
+        current = checkpointed(trimmed.select("down_node", "up_node"))
         left = current.count()
         if left == size:
             break
@@ -261,23 +260,24 @@ def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return current
 
 
-def _smallest_ancestor(edges: DataFrame) -> DataFrame:
+def _smallest_ancestor(edges: DataFrame, steps: int = 1) -> DataFrame:
     """Per node the smallest node that reaches it along ``down -> up``, itself included."""
     nodes = edges.select(F.col("down_node").alias("node")).unionByName(
         edges.select(F.col("up_node").alias("node"))
     )
-    colors = nodes.distinct().withColumn("color", F.col("node")).checkpoint()
+    colors = checkpointed(nodes.distinct().withColumn("color", F.col("node")))
     while True:
-        pushed = edges.join(colors.withColumnRenamed("node", "down_node"), "down_node").select(
-            F.col("up_node").alias("node"), "color"
-        )
-        merged = (
-            colors.withColumn("_old", F.col("color"))
-            .unionByName(pushed, allowMissingColumns=True)
-            .groupBy("node")
-            .agg(F.min("color").alias("color"), F.max("_old").alias("_old"))
-            .checkpoint()
-        )
+        merged = colors.withColumn("_old", F.col("color"))
+        for _ in range(steps):
+            pushed = edges.join(
+                merged.select(F.col("node").alias("down_node"), "color"), "down_node"
+            ).select(F.col("up_node").alias("node"), "color")
+            merged = (
+                merged.unionByName(pushed, allowMissingColumns=True)
+                .groupBy("node")
+                .agg(F.min("color").alias("color"), F.max("_old").alias("_old"))
+            )
+        merged = checkpointed(merged)
         colors = merged.select("node", "color")
         if merged.filter(F.col("color") != F.col("_old")).isEmpty():
             return colors
@@ -292,14 +292,12 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     the root inside the colour.  Memory stays linear in the edges; no pairs of
     mutually reachable nodes are formed.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.select("down_node", "up_node").distinct()
+    edges = checkpointed(edges.select("down_node", "up_node").distinct())
     cyclic = [edges.filter(F.col("down_node") == F.col("up_node"))]
     core = _trim(edges)
     while not core.isEmpty():
         colors = _smallest_ancestor(core)
-        colored = (
+        colored = checkpointed(
             core.join(
                 colors.select(F.col("node").alias("down_node"), F.col("color").alias("_c1")),
                 "down_node",
@@ -310,10 +308,9 @@ def find_cycles(edges: DataFrame) -> DataFrame:
             )
             .filter(F.col("_c1") == F.col("_c2"))
             .select("down_node", "up_node", F.col("_c1").alias("color"))
-            .checkpoint()
         )
         roots = colors.filter(F.col("node") == F.col("color")).select("node")
-        members = roots.unionByName(fixpoint(roots, _down_steps(colored))).distinct().checkpoint()
+        members = checkpointed(roots.unionByName(fixpoint(roots, _down_steps(colored))).distinct())
         cyclic.append(
             colored.join(members.withColumnRenamed("node", "down_node"), "down_node", "left_semi")
             .join(members.withColumnRenamed("node", "up_node"), "up_node", "left_semi")

@@ -412,9 +412,10 @@ def _blank(c: str) -> Column:
 def validate_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Every problem of a wide sheet as ``(check, key, detail)`` rows.
 
-    A missing key or required column raises at once.  Conflicts compare the
-    smallest and the largest attribute struct per key, both combined before the
-    shuffle; nothing is counted distinct and no group is gathered.
+    A missing key or required column raises at once.  Conflicts are keys with
+    more than one distinct attribute row: repeated rows collapse map-side in a
+    hash aggregate, and the shuffle is on the whole row, so a key with very many
+    versions is spread out before it is counted.
     """
     routed = route_columns(sheet.columns, schema)
     required = {lv.name: [lv.key] + [c.name for c in lv.columns if c.required] for lv in schema.levels}
@@ -434,26 +435,30 @@ def validate_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> D
         cols = [c for c in routed[lv.name] if c != lv.key]
         if not cols:
             continue
-        grouped = sheet.filter(~_blank(lv.key)).groupBy(F.col(lv.key).cast("string").alias("key"))
-        attributes = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{i}") for i, c in enumerate(cols)])
-        parent = lv.parent_key if lv.parent_key in cols else None
-        parent_text = F.col(parent).cast("string") if parent else F.lit(None)
-        ranges = grouped.agg(
-            F.min(attributes).alias("_a"),
-            F.max(attributes).alias("_z"),
-            F.min(parent_text).alias("_p"),
-            F.max(parent_text).alias("_q"),
+        attributes = [
+            F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols
+        ]
+        versions = (
+            sheet.filter(~_blank(lv.key))
+            .select(F.col(lv.key).cast("string").alias("key"), *attributes)
+            .distinct()
         )
+        parent = lv.parent_key if lv is not schema.levels[-1] and lv.parent_key in cols else None
         if parent:
+            several = (
+                versions.select("key", parent).distinct()
+                .groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            )
             issues.append(
-                ranges.filter(F.col("_p") != F.col("_q")).select(
+                several.select(
                     F.lit(f"{lv.name}_with_several_parents").alias("check"),
                     "key",
                     F.lit(parent).alias("detail"),
                 )
             )
+        differing = versions.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         issues.append(
-            ranges.filter(F.col("_a") != F.col("_z")).select(
+            differing.select(
                 F.lit(f"{lv.name}_conflict").alias("check"),
                 "key",
                 F.lit("attributes differ between rows").alias("detail"),
@@ -465,12 +470,13 @@ def validate_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> D
 def explode_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> dict[str, DataFrame]:
     """A validated wide sheet as one deduplicated frame per level."""
     routed = route_columns(sheet.columns, schema)
-    return {
-        lv.name: one_per_key(sheet.select(*routed[lv.name]), lv.key, keep="first_row").select(
-            *routed[lv.name]
-        )
-        for lv in schema.levels
-    }
+    frames = {}
+    for lv in schema.levels:
+        rows = sheet.select(*routed[lv.name])
+        if lv is not schema.levels[-1]:
+            rows = rows.distinct()  # many sheet rows per parent: collapse them in a hash aggregate
+        frames[lv.name] = one_per_key(rows, lv.key, keep="first_row").select(*routed[lv.name])
+    return frames
 
 
 def dry_run_counts(

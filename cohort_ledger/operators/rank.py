@@ -1,60 +1,71 @@
 """Exact order statistics for groups of any size.
 
 The built-in ``median`` merges every distinct value of a group in one task.
-Here an approximate bracket around the middle is found first (bounded memory,
-combined map-side); values outside it are only counted, so a single task sorts
-no more than the thin slice of distinct values inside the bracket.
+Here the input is a histogram (value, count).  Approximate quantiles of the
+distinct values cut each group into buckets; bucket totals tell where the middle
+ranks lie, and only the distinct values of those buckets are sorted.  The result
+is exact for any cut, good or bad; the cut only decides how much one task sorts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+from cohort_ledger.session import cut
+
+BUCKETS = 32
+
+
+def histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, value, count)`` of the non-NULL values; spreads a hot group over its values."""
+    return (
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("value"))
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
 
 
-def exact_middle(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def exact_middle(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: ``n``, and the exact ``lower`` and ``upper`` middle values.
 
-    ``lower`` and ``upper`` are the values at 0-based ranks ``(n-1) div 2`` and
-    ``n div 2``; their mean is the median and ``upper`` the upper median.
+    ``counts`` is a histogram.  ``lower`` and ``upper`` are the values at 0-based
+    ranks ``(n-1) div 2`` and ``n div 2``; their mean is the median and
+    ``upper`` the upper median.  The cut points are written once, because both
+    passes over the histogram must see the same ones.
     """
-    rows = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / ACCURACY
-    bracket = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY)
-    bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), bracket.alias("_b")
-    ).select(*keys, "n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
-    slots = (
-        rows.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(bounds, keys)
-        .withColumn("_side", side)
-        .groupBy(*keys, "n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = cut(
+        counts.groupBy(*keys)
+        .agg(F.sum("count").alias("n"), F.percentile_approx("value", shares, 2000).alias("_cuts"))
     )
-    running = W.partitionBy(*keys).orderBy("_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = slots.withColumn("_cum", F.sum("_c").over(running))
-    at_low = F.col("_cum") > F.floor((F.col("n") - 1) / 2)
-    at_high = F.col("_cum") > F.floor(F.col("n") / 2)
-    picked = ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.min(F.when(at_low & (F.col("_side") == 0), F.col("_v"))).alias("lower"),
-        F.min(F.when(at_high & (F.col("_side") == 0), F.col("_v"))).alias("upper"),
-        F.min(F.when(at_low, F.col("_side"))).alias("_low_side"),
-        F.min(F.when(at_high, F.col("_side"))).alias("_high_side"),
+    above = [(F.col("value") > F.col("_cuts")[i]).cast("int") for i in range(len(shares))]
+    placed = counts.join(cuts, keys).withColumn("_bucket", reduce(lambda a, b: a + b, above))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    across = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    wanted = (
+        placed.groupBy(*keys, "n", "_bucket")
+        .agg(F.sum("count").alias("_in"))
+        .withColumn("_end", F.sum("_in").over(across))
+        .withColumn("_start", F.col("_end") - F.col("_in"))
+        .filter((F.col("_end") > low) & (F.col("_start") <= high))
+        .select(*keys, "_bucket", "_start")
     )
-    inside = (F.col("_low_side") == 0) & (F.col("_high_side") == 0)
-    guard = F.when(inside, F.col("n")).otherwise(
-        F.raise_error(F.lit("median fell outside its bracket")).cast("bigint")
+    inside = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.join(wanted, [*keys, "_bucket"]).withColumn(
+        "_rank", F.col("_start") + F.sum("count").over(inside)
+    )
+    return ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.min(F.when(F.col("_rank") > low, F.col("value"))).alias("lower"),
+        F.min(F.when(F.col("_rank") > high, F.col("value"))).alias("upper"),
     )
-    return picked.select(*keys, guard.alias("n"), "lower", "upper")
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """The exact median per group, as the mean of the two middle values."""
-    mid = exact_middle(rows, keys, value)
+def exact_median(counts: DataFrame, keys: list[str], name: str = "median") -> DataFrame:
+    """The exact median per group of a histogram: the mean of its middle values."""
+    mid = exact_middle(counts, keys)
     return mid.select(*keys, ((F.col("lower") + F.col("upper")) / 2).cast("double").alias(name))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohort_ledger.functions.qc import event_id
 from cohort_ledger.model import DEFAULT_SCHEMA, DONE_SUFFIX, EVENT_COLUMNS, CohortSchema
 from cohort_ledger.operators.qc import ACTIVE_KEY
-from cohort_ledger.session import ensure_checkpoint_dir
+from cohort_ledger.session import cut
 
 CHUNK = 1_000_000
 
@@ -148,7 +148,7 @@ def replay_qc_log(
     An open entry counts unless its key is already open or its entity is
     missing; a close entry closes the open event of its key, named directly or
     through the id of the entry that opened it.  Batch reversals close every
-    open event of an entity.  The entries and their order are each checkpointed
+    open event of an entity.  The entries and their order are each written
     once, because later steps read them several times.
     """
     frames = {"patient": patients, "specimen": specimens, "assay": assays}
@@ -159,8 +159,7 @@ def replay_qc_log(
             for lv in schema.levels
         ],
     )
-    ensure_checkpoint_dir(log.sparkSession)
-    entries = _entries(log).checkpoint()
+    entries = cut(_entries(log))
     opens = entries.filter(F.col("op") == "open")
     orphans = opens.join(known, ["level", "entity_id"], "left_anti")
     opens = opens.join(known, ["level", "entity_id"], "left_semi")
@@ -190,7 +189,7 @@ def replay_qc_log(
     )
     steps = opens.unionByName(by_id).unionByName(by_key).unionByName(all_kinds)
 
-    marked = neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk).checkpoint()
+    marked = cut(neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk))
     before = F.coalesce(F.col("_prev.op"), F.lit("close"))
     turns = marked.filter(F.col("op") != before).drop("_prev")
     from_batch = F.coalesce(F.col("qc_event_id"), F.lit("")) == "*"

@@ -19,7 +19,7 @@ from cohort_ledger.operators.active import (
     active_patients,
     exclusion_breakdown,
 )
-from cohort_ledger.operators.rank import exact_middle
+from cohort_ledger.operators.rank import exact_middle, histogram
 from cohort_ledger.operators.views import rollup_join
 
 
@@ -643,7 +643,7 @@ def phase_timing(log: DataFrame, accounting: DataFrame) -> DataFrame:
         F.max("elapsed_s").alias("max_s"),
         (F.coalesce(F.sum(busy), F.lit(0)) / 3600.0).alias("cpu_hours"),
     )
-    middle = exact_middle(timed, ["phase"], "elapsed_s").select(
+    middle = exact_middle(histogram(timed, ["phase"], "elapsed_s"), ["phase"]).select(
         "phase", F.col("upper").alias("median_s")
     )
     return totals.join(middle, "phase", "left").select(

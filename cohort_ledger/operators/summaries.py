@@ -1,7 +1,9 @@
 """Per-assay summaries of large result files, all assays in one job.
 
 Inputs are rows with ``assay_id`` and the file's content, as raw ``line`` or as
-columns; outputs are one row per assay.
+columns; outputs are one row per assay.  Text is read and parsed once, into a
+histogram per assay that is combined map-side and written once; counts, means
+and the exact median all come from it.
 """
 
 from __future__ import annotations
@@ -10,22 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_ledger.operators.rank import exact_median
+from cohort_ledger.session import cut
 
 
-def _pileup(lines: DataFrame) -> DataFrame:
-    """Modification call, coverage and percentage fields of pileup lines."""
-    text = F.regexp_replace("line", r"\n+\z", "")
-    return (
-        lines.filter((text != "") & ~text.startswith("#"))
-        .withColumn("_f", F.split(text, "\t", -1))
-        .filter(F.size("_f") >= 11)
-        .select(
-            "assay_id",
-            F.get("_f", F.lit(3)).alias("code"),
-            F.get("_f", F.lit(9)).alias("cov"),
-            F.get("_f", F.lit(10)).try_cast("double").alias("frac"),
-        )
+def _value_histogram(parsed: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts per assay and parsed columns; one scan of the text."""
+    return cut(parsed.groupBy("assay_id", *columns).agg(F.count(F.lit(1)).alias("count")))
+
+
+def _median_of(hist: DataFrame, value: str) -> DataFrame:
+    counts = (
+        hist.filter(F.col(value).isNotNull())
+        .groupBy("assay_id", F.col(value).alias("value"))
+        .agg(F.sum("count").alias("count"))
     )
+    return exact_median(counts, ["assay_id"], "_median")
+
+
+def _weighted(test: Column) -> Column:
+    """Sum of the counts where ``test`` holds."""
+    return F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0))
+
+
+def _is_data(line: Column) -> Column:
+    return (line != "") & ~line.startswith("#")
 
 
 def methylation_summary(lines: DataFrame, min_coverage: int = 5) -> DataFrame:
@@ -33,28 +43,28 @@ def methylation_summary(lines: DataFrame, min_coverage: int = 5) -> DataFrame:
 
     An assay without any call gets zeros.
     """
-    calls = _pileup(lines).filter((F.col("code") == "m") & F.col("frac").isNotNull())
-    coverage = F.coalesce(F.col("cov").try_cast("bigint"), F.lit(0))
-    sums = calls.groupBy("assay_id").agg(
-        F.count(F.lit(1)).alias("n_cpg_sites"),
-        F.sum("frac").alias("_sum"),
-        F.count_if(coverage >= min_coverage).alias("_high"),
+    text = F.regexp_replace("line", r"\n+\z", "")
+    fields = F.split(text, "\t", -1)
+    call = _is_data(text) & (F.size(fields) >= 11) & (F.get(fields, F.lit(3)) == "m")
+    share = F.when(call, F.get(fields, F.lit(10)).try_cast("double"))
+    coverage = F.coalesce(F.get(fields, F.lit(9)).try_cast("bigint"), F.lit(0))
+    parsed = lines.select("assay_id", share.alias("frac"), (coverage >= min_coverage).alias("high"))
+    parsed = parsed.withColumn("high", F.col("high") & F.col("frac").isNotNull())
+    hist = _value_histogram(parsed, ["frac", "high"])
+    sites = F.col("frac").isNotNull()
+    sums = hist.groupBy("assay_id").agg(
+        _weighted(sites).alias("n_cpg_sites"),
+        F.sum(F.col("frac") * F.col("count")).alias("_sum"),
+        _weighted(F.col("high")).alias("_high"),
     )
-    medians = exact_median(calls, ["assay_id"], "frac", "_median")
-    n = F.col("n_cpg_sites")
+    n = F.nullif(F.col("n_cpg_sites"), F.lit(0))
     zero = F.lit(0.0)
-    return (
-        lines.select("assay_id")
-        .distinct()
-        .join(sums, "assay_id", "left")
-        .join(medians, "assay_id", "left")
-        .select(
-            "assay_id",
-            F.coalesce(n, F.lit(0)).alias("n_cpg_sites"),
-            F.coalesce(F.round(F.col("_sum") / (n * 100), 4), zero).alias("mean_meth"),
-            F.coalesce(F.round(F.col("_median") / 100, 4), zero).alias("median_meth"),
-            F.coalesce(F.round(100.0 * F.col("_high") / n, 2), zero).alias("pct_high_conf"),
-        )
+    return sums.join(_median_of(hist, "frac"), "assay_id", "left").select(
+        "assay_id",
+        "n_cpg_sites",
+        F.coalesce(F.round(F.col("_sum") / (n * 100), 4), zero).alias("mean_meth"),
+        F.coalesce(F.round(F.col("_median") / 100, 4), zero).alias("median_meth"),
+        F.coalesce(F.round(100.0 * F.col("_high") / n, 2), zero).alias("pct_high_conf"),
     )
 
 
@@ -62,36 +72,33 @@ def methylation_summary_flat(lines: DataFrame) -> DataFrame:
     """The flat-mode variant: any code containing m, NULLs for an assay without calls."""
     text = F.col("line")
     fields = F.split(text, "\t", -1)
-    calls = (
-        lines.filter((text != "") & ~text.startswith("#"))
-        .select(
-            "assay_id",
-            F.get(fields, F.lit(3)).alias("code"),
-            F.get(fields, F.lit(9)).try_cast("double").alias("cov"),
-            F.get(fields, F.lit(10)).try_cast("double").alias("pct"),
-        )
-        .filter(F.lower("code").contains("m"))
+    call = _is_data(text) & F.contains(F.lower(F.get(fields, F.lit(3))), F.lit("m"))
+    parsed = lines.select(
+        "assay_id",
+        F.coalesce(call, F.lit(False)).alias("call"),
+        F.when(call, F.get(fields, F.lit(10)).try_cast("double")).alias("pct"),
+        F.when(call, F.get(fields, F.lit(9)).try_cast("double")).alias("cov"),
     )
-    sums = calls.groupBy("assay_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("pct").alias("_mean"),
-        F.count_if(F.col("pct") > 50).alias("_above"),
-        F.avg("cov").alias("_cov"),
+    hist = _value_histogram(parsed, ["call", "pct", "cov"])
+    sums = hist.groupBy("assay_id").agg(
+        _weighted(F.col("call")).alias("_n"),
+        F.sum(F.col("pct") * F.col("count")).alias("_pct"),
+        _weighted(F.col("pct").isNotNull()).alias("_n_pct"),
+        _weighted(F.col("pct") > 50).alias("_above"),
+        F.sum(F.col("cov") * F.col("count")).alias("_cov"),
+        _weighted(F.col("cov").isNotNull()).alias("_n_cov"),
     )
-    medians = exact_median(calls, ["assay_id"], "pct", "_median")
-    return (
-        lines.select("assay_id")
-        .distinct()
-        .join(sums, "assay_id", "left")
-        .join(medians, "assay_id", "left")
-        .select(
-            "assay_id",
-            F.coalesce("_n", F.lit(0)).alias("modkit_total_cpg"),
-            F.round(F.col("_mean") / 100, 4).alias("modkit_mean_meth"),
-            F.round(F.col("_median") / 100, 4).alias("modkit_median_meth"),
-            F.round(F.col("_above") / F.col("_n"), 4).alias("modkit_meth_above_50pct"),
-            F.round("_cov", 1).alias("modkit_mean_coverage"),
-        )
+
+    def mean(total: str, n: str) -> Column:
+        return F.col(total) / F.nullif(F.col(n), F.lit(0))
+
+    return sums.join(_median_of(hist, "pct"), "assay_id", "left").select(
+        "assay_id",
+        F.col("_n").alias("modkit_total_cpg"),
+        F.round(mean("_pct", "_n_pct") / 100, 4).alias("modkit_mean_meth"),
+        F.round(F.col("_median") / 100, 4).alias("modkit_median_meth"),
+        F.round(mean("_above", "_n"), 4).alias("modkit_meth_above_50pct"),
+        F.round(mean("_cov", "_n_cov"), 1).alias("modkit_mean_coverage"),
     )
 
 
@@ -103,32 +110,32 @@ def sv_summary(lines: DataFrame) -> DataFrame:
     """
     # Variant types.
     known = ("INS", "DEL", "INV", "DUP", "BND")
-    info = F.get(F.split("line", "\t", -1), F.lit(7))
+    info = F.when(_is_data(F.col("line")), F.get(F.split("line", "\t", -1), F.lit(7)))
     given = F.nullif(F.regexp_extract(info, r"(?:^|;)SVTYPE=([^;]+)", 1), F.lit(""))
     size = F.nullif(F.regexp_extract(info, r"(?:^|;)SVLEN=(-?\d+)", 1), F.lit(""))
-    calls = (
-        lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-        .select("assay_id", given.alias("_t"), F.abs(size.try_cast("bigint")).alias("size"))
-        .filter(F.col("_t").isNotNull())
-        .withColumn("type", F.when(F.col("_t").isin(*known), F.col("_t")).otherwise("BND"))
+    parsed = lines.select(
+        "assay_id", given.alias("given"), F.abs(size.try_cast("bigint")).alias("size")
     )
-    counts = calls.groupBy("assay_id").agg(
-        F.count(F.lit(1)).alias("n_svs_total"),
-        *[F.count_if(F.col("type") == t).alias(f"n_{t.lower()}") for t in ("INS", "DEL", "INV")],
-        F.count_if(F.col("type").isin("BND", "DUP")).alias("n_bnd"),
+    hist = _value_histogram(parsed, ["given", "size"]).withColumn(
+        "type",
+        F.when(F.col("given").isin(*known), F.col("given")).when(
+            F.col("given").isNotNull(), "BND"
+        ),
     )
-    medians = exact_median(calls, ["assay_id"], "size", "_median")
-    names = ["n_svs_total", "n_ins", "n_del", "n_inv", "n_bnd"]
-    return (
-        lines.select("assay_id")
-        .distinct()
-        .join(counts, "assay_id", "left")
-        .join(medians, "assay_id", "left")
-        .select(
-            "assay_id",
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in names],
-            F.coalesce(F.floor("_median"), F.lit(0)).cast("bigint").alias("sv_size_median"),
-        )
+    counts = hist.groupBy("assay_id").agg(
+        _weighted(F.col("type").isNotNull()).alias("n_svs_total"),
+        *[_weighted(F.col("type") == t).alias(f"n_{t.lower()}") for t in ("INS", "DEL", "INV")],
+        _weighted(F.col("type").isin("BND", "DUP")).alias("n_bnd"),
+    )
+    medians = _median_of(hist.filter(F.col("type").isNotNull()), "size")
+    return counts.join(medians, "assay_id", "left").select(
+        "assay_id",
+        "n_svs_total",
+        "n_ins",
+        "n_del",
+        "n_inv",
+        "n_bnd",
+        F.coalesce(F.floor("_median"), F.lit(0)).cast("bigint").alias("sv_size_median"),
     )
 
 

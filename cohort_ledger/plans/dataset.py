@@ -29,6 +29,7 @@ MODEL_TABLES = (
     "reference_usage",
     "artifact_derivation",
     "assay_sources",
+    "sheet",
 )
 AS_OF = "2024-06-01 00:00:00"
 
@@ -49,11 +50,13 @@ class Model:
 
     def snapshot(self, path: str) -> None:
         for name in MODEL_TABLES:
-            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @cached_property
     def assay_rows(self) -> DataFrame:
         """Assays without status: line items grouped by their full key."""
+        if self.mapped_folder:
+            return self._mapped("assays").drop("qc_status")
         key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
         grouped = (
             self.raw("lineitem")
@@ -344,6 +347,8 @@ class Model:
     @cached_property
     def sheet(self) -> DataFrame:
         """A wide sample sheet: assays with their specimen and patient columns."""
+        if self.mapped_folder:
+            return self._mapped("sheet")
         orders = self.raw("orders").select(
             F.col("o_orderkey").cast("string").alias("specimen_id"),
             "o_custkey",

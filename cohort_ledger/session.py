@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cohort-ledger", master: str | None = None, **conf) -> SparkSession:
@@ -48,8 +48,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable without overriding a configured folder."""
-    context = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    Ends the lineage like ``checkpoint()``, so a lost executor repeats only
+    later work.  A written table is computed once, stays columnar, and has a
+    known size, from which Spark decides by itself what is small enough to
+    broadcast.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` on the shared folder; cheaper than a table for small rounds."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
