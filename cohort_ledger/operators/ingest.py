@@ -192,7 +192,7 @@ def gate_missing_keys(results: DataFrame, rows: DataFrame, key: str) -> DataFram
 def gate_censored(results: DataFrame, rows: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Result keys whose own status forbids loading; empty when forced."""
     blocked = rows.filter(F.col("qc_status").isin(*QC_EXCLUDED)).select(key, "qc_status")
-    hits = blocked.join(results.select(key), key, "left_semi")
+    hits = blocked.join(results.select(key).distinct(), key, "left_semi")
     return hits.limit(0) if force else hits
 
 

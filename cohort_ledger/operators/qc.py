@@ -134,7 +134,7 @@ def dedupe_active(candidates: DataFrame, events: DataFrame) -> DataFrame:
         .select(*ACTIVE_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
         .select(*candidates.columns)
     )
-    taken = active_events(events).select(*ACTIVE_KEY)
+    taken = active_events(events).select(*ACTIVE_KEY).distinct()
     return one_each.join(taken, ACTIVE_KEY, "left_anti")
 
 
@@ -178,21 +178,16 @@ def bulk_censor(
 ) -> dict[str, DataFrame]:
     """Apply a bulk censor request as one transaction.
 
-    One bad row refuses the whole request: the accepted set is joined to the
-    count of rejects, which is one row by construction (a global aggregate), so
-    the broadcast is bounded and the decision stays in the plan.
+    One bad row refuses the whole request: a scalar subquery with the number of
+    rejects decides, so nothing is collected while the plan is built.
     Revoking consent at patient level also sets the consent columns.
     """
     checked = censor_rejects(rows, events, patients, specimens, assays, schema)
     rejects = checked.filter(F.col("reject").isNotNull())
-    n_bad = rejects.agg(F.count(F.lit(1)).alias("_bad"))
-    gate = n_bad.filter(F.col("_bad") == 0).select(F.lit(True).alias("_gate"))
-    accepted = (
-        new_events(checked.drop("reject"), as_of, transaction_id, created_by)
-        .withColumn("_gate", F.lit(True))
-        .join(F.broadcast(gate), "_gate", "left_semi")
-        .drop("_gate")
-    )
+    n_bad = rejects.agg(F.count(F.lit(1))).scalar()
+    accepted = new_events(
+        checked.drop("reject"), as_of, transaction_id, created_by
+    ).filter(n_bad == 0)
     all_events = events.select(*EVENT_COLUMNS).unionByName(accepted)
     withdrawn = (
         accepted.filter((F.col("kind") == "consent_revoked") & (F.col("level") == "patient"))
@@ -373,7 +368,7 @@ def consent_violations(patients: DataFrame, events: DataFrame) -> DataFrame:
     """Patients whose consent columns contradict the events or each other."""
     revoked_events = active_events(events).filter(
         (F.col("level") == "patient") & (F.col("kind") == "consent_revoked")
-    ).select(F.col("entity_id").alias("patient_id"))
+    ).select(F.col("entity_id").alias("patient_id")).distinct()
     missing_event = (
         patients.filter(F.col("consent_status") == "revoked")
         .join(revoked_events, "patient_id", "left_anti")
@@ -528,7 +523,7 @@ def censor_batch(
         candidates.groupBy(*ACTIVE_KEY)
         .agg(F.min(F.struct("_origin", "reason")).alias("_row"))
         .select(*ACTIVE_KEY, "_row._origin", "_row.reason")
-        .join(active_events(events).select(*ACTIVE_KEY), ACTIVE_KEY, "left_anti")
+        .join(active_events(events).select(*ACTIVE_KEY).distinct(), ACTIVE_KEY, "left_anti")
     )
     added = new_events(first.drop("_origin"), as_of, transaction_id, created_by, source)
     all_events = events.select(*EVENT_COLUMNS).unionByName(added)

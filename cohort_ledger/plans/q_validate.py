@@ -30,8 +30,7 @@ def _with_columns(level: str, *columns: ColumnSpec):
 def _(m: Model) -> DataFrame:
     schema = _with_columns("specimen", ColumnSpec("tumor_purity", "REAL"))
     found = validate.declared_missing(m.tables, schema)
-    rows = m.specimens.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit("specimens"))
-    return found.join(rows, "table").select("table", "key", "n_rows")
+    return found.select("table", "key", m.specimens.agg(F.count(F.lit(1))).scalar().alias("n_rows"))
 
 
 @query(
@@ -146,10 +145,10 @@ def _(m: Model) -> DataFrame:
     )
     fine = orders.select(
         F.concat(F.lit("analysis:specimen/"), F.col("o_orderkey").cast("string"), F.lit("/merge")).alias("down_node"),
-        F.lit("reference:NATION_0").alias("up_node"),
+        F.concat(F.lit("reference:NATION_"), (F.col("o_orderkey") % 25).cast("string")).alias("up_node"),
     )
     refs = m.raw("nation").select(
-        F.lit("reference:NATION_0").alias("down_node"),
+        F.concat(F.lit("reference:"), "n_name").alias("down_node"),
         F.concat(F.lit("reference:"), "n_name").alias("up_node"),
     )
     edges = m.artifact_derivation.unionByName(odd).unionByName(fine).unionByName(refs)
@@ -200,8 +199,7 @@ def _(m: Model) -> DataFrame:
         "doc_id", "n_chars", F.lit("x").alias("n_done"), F.lit("x").alias("dedup_done")
     )
     found = validate.flat_schema(manifest, {"score": ["perplexity", "n_chars"]}, "doc_id")
-    rows = manifest.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit("manifest"))
-    return found.join(rows, "table").select("check", "key", "n_rows")
+    return found.select("check", "key", manifest.agg(F.count(F.lit(1))).scalar().alias("n_rows"))
 
 
 ODD_IDS_SQL = """
@@ -274,8 +272,8 @@ def _(m: Model) -> DataFrame:
     from cohort_ledger.operators.status import analysis_columns
 
     found = validate.schema_drift(m.tables, analysis_columns(job_log(m)))
-    total = m.raw("events").agg(F.count(F.lit(1)).alias("n_events")).withColumn("check", F.lit("undeclared_column"))
-    return found.join(total, "check").select("check", "table", "key", "n_events")
+    total = m.raw("events").agg(F.count(F.lit(1))).scalar()
+    return found.select("check", "table", "key", total.alias("n_events"))
 
 
 @query(

@@ -56,7 +56,8 @@ def export_plan(
                 if child is None
                 else out[child.table].select(F.col(child.parent_key).alias(lv.key))
             )
-            out[lv.table] = out[lv.table].join(keys, lv.key, "left_semi")
+            # Distinct first: a parent of very many children is one row per task.
+            out[lv.table] = out[lv.table].join(keys.distinct(), lv.key, "left_semi")
             child = lv
     out.update(side_tables)
     return out

@@ -153,7 +153,9 @@ def read_results_by_layout(
         .select("*", F.col("_metadata.file_path").alias("_path"))
     )
     marker = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.substring_index(F.url_decode("_path"), marker + "/", -1)
+    # Templates name folders, so the file name is left out.
+    folder = F.regexp_replace(F.url_decode("_path"), r"/[^/]*\z", "/")
+    relative = F.rtrim(F.substring_index(folder, marker + "/", -1), F.lit("/"))
     return infer_layout(frame.withColumn("_path", relative), "_path", templates, analyses)
 
 
