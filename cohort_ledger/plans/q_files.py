@@ -141,7 +141,7 @@ LOG_SQL = """
 def _(m: Model) -> DataFrame:
     path = fresh_path(m.spark, "log")
     lines = m.qc_log.select(F.to_json(F.struct("*")).alias("value"))
-    broken = m.raw("events").filter("event_id % 100 = 0").select(
+    broken = m.raw("events").filter("event_type = 'signup'").select(
         F.concat(F.lit('{"action": "censor", "entity_id": '), F.col("event_id").cast("string")).alias("value")
     )
     lines.unionByName(broken).write.text(path)

@@ -28,10 +28,10 @@ def _edges(m: Model) -> DataFrame:
        UNION ALL SELECT 'panel', source, 'stored' FROM documents GROUP BY source HAVING count(*) = 1
        UNION ALL SELECT 'panel', source, 'repeated_in_batch' FROM documents
                  WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) > 1)
-       UNION ALL SELECT analysis, run_tag, 'already_exists' FROM artifacts WHERE CAST(artifact_id AS BIGINT) % 5 = 0""",
+       UNION ALL SELECT analysis, run_tag, 'already_exists' FROM artifacts WHERE region_scope = 'PROMO'""",
 )
 def _(m: Model) -> DataFrame:
-    again = m.cohort_artifacts.filter(F.col("artifact_id").cast("bigint") % 5 == 0)
+    again = m.cohort_artifacts.filter("region_scope = 'PROMO'")
     fresh = m.raw("documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("artifact_id"),
         F.lit("panel").alias("analysis"),
@@ -143,13 +143,13 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "record_usage",
-    """SELECT artifact_id, ref_key, CASE WHEN CAST(artifact_id AS BIGINT) % 2 = 0 THEN 'v_new' ELSE version_used END AS version_used
+    """SELECT artifact_id, ref_key, CASE WHEN version_used = 'v_old' THEN 'v_new' ELSE version_used END AS version_used
        FROM usage
-       UNION ALL SELECT artifact_id, 'EXTRA', 'v_new' FROM usage WHERE CAST(artifact_id AS BIGINT) % 2 = 0""",
+       UNION ALL SELECT artifact_id, 'EXTRA', 'v_new' FROM usage WHERE version_used = 'v_old'""",
 )
 def _(m: Model) -> DataFrame:
-    even = m.reference_usage.filter(F.col("artifact_id").cast("bigint") % 2 == 0)
-    rows = even.withColumn("version_used", F.lit("v_new"))
+    old = m.reference_usage.filter("version_used = 'v_old'")
+    rows = old.withColumn("version_used", F.lit("v_new"))
     rows = rows.unionByName(rows.withColumn("ref_key", F.lit("EXTRA"))).unionByName(rows)
     return art.record_usage(m.reference_usage, rows).select("artifact_id", "ref_key", "version_used")
 
@@ -160,11 +160,11 @@ def _(m: Model) -> DataFrame:
               CASE WHEN u.artifact_id IS NULL OR NOT u.is_stale THEN ''
                    WHEN u.current_version IS NULL THEN 'reference removed: ' || u.ref_key
                    ELSE u.ref_key || ': ' || u.version_used || ' -> ' || u.current_version END AS reasons
-       FROM artifacts a LEFT JOIN usage_now u ON u.artifact_id = a.artifact_id AND CAST(a.artifact_id AS BIGINT) % 4 <> 1""",
+       FROM artifacts a LEFT JOIN usage_now u ON u.artifact_id = a.artifact_id AND u.version_used <> 'v0'""",
 )
 def _(m: Model) -> DataFrame:
     outputs = m.cohort_artifacts.select(F.lit("cohort").alias("scope"), "artifact_id")
-    usage = m.reference_usage.filter(F.col("artifact_id").cast("bigint") % 4 != 1)
+    usage = m.reference_usage.filter("version_used <> 'v0'")
     out = art.output_staleness(outputs, usage, m.reference_artifacts)
     return out.select("artifact_id", "state", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -232,10 +232,9 @@ def _(m: Model) -> DataFrame:
 
 
 @query("reachability", """
-    SELECT r.node, r.upstream FROM reach r JOIN artifacts a ON a.node = r.node
-    WHERE a.region_scope = 'ECONOMY'""")
+    SELECT node, upstream FROM reach""")
 def _(m: Model) -> DataFrame:
-    nodes = m.cohort_artifacts.filter("region_scope = 'ECONOMY'").select(
+    nodes = m.cohort_artifacts.select(
         F.concat(F.lit("cohort:"), "analysis", F.lit("@"), "run_tag").alias("node")
     )
     return graph.reachability(_edges(m), nodes)
@@ -372,10 +371,10 @@ def _(m: Model) -> DataFrame:
 
 
 @query("upsert_batches", """
-    SELECT batch_id, CASE WHEN CAST(batch_id AS BIGINT) % 3 = 0 THEN 'second' ELSE operator END AS operator FROM batches
+    SELECT CAST(s_suppkey AS VARCHAR) AS batch_id, CASE WHEN s_acctbal < 3000 THEN 'second' ELSE s_name END AS operator FROM supplier
     UNION ALL SELECT 'new-' || r_name, 'second' FROM region""")
 def _(m: Model) -> DataFrame:
-    again = m.batches.filter(F.col("batch_id").cast("bigint") % 3 == 0).select("batch_id")
+    again = m.raw("supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("batch_id"))
     fresh = m.raw("region").select(F.concat(F.lit("new-"), "r_name").alias("batch_id"))
     keys = again.unionByName(fresh)
     rows = keys.select("batch_id", F.lit("first").alias("operator"), F.lit(1).alias("n")).unionByName(

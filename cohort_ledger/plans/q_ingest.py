@@ -258,8 +258,8 @@ def _(m: Model) -> DataFrame:
 
 
 def _specimen_updates(m: Model) -> DataFrame:
-    """Metadata for every other specimen, new ones included, some without a parent."""
-    return m.raw("events").filter("event_id % 2 = 0").select(
+    """Metadata for every fourth specimen key, new ones included, some without a parent."""
+    return m.raw("events").select(
         (F.col("event_id") * 4).cast("string").alias("specimen_id"),
         F.when(F.col("event_id") % 10 == 0, F.lit("nobody")).otherwise(F.col("user_id").cast("string")).alias("patient_id"),
         F.col("event_type").alias("tissue_site"),
@@ -272,7 +272,7 @@ def _specimen_updates(m: Model) -> DataFrame:
     """WITH incoming AS (
          SELECT CAST(event_id * 4 AS VARCHAR) AS specimen_id,
                 CASE WHEN event_id % 10 = 0 THEN 'nobody' ELSE CAST(user_id AS VARCHAR) END AS patient_id,
-                event_type AS tissue_site FROM events WHERE event_id % 2 = 0)
+                event_type AS tissue_site FROM events)
        SELECT s.specimen_id, s.patient_id, s.tissue_site, s.timepoint FROM specimens s
        UNION ALL SELECT i.specimen_id, i.patient_id, i.tissue_site, 'new' FROM incoming i
        WHERE i.specimen_id NOT IN (SELECT specimen_id FROM specimens)
@@ -287,7 +287,7 @@ def _(m: Model) -> DataFrame:
     "upsert_level_overwrite",
     """SELECT s.specimen_id, coalesce(CASE WHEN e.event_id % 10 = 0 THEN 'nobody' ELSE CAST(e.user_id AS VARCHAR) END, s.patient_id) AS patient_id,
               coalesce(e.event_type, s.tissue_site) AS tissue_site
-       FROM specimens s LEFT JOIN events e ON e.event_id % 2 = 0 AND CAST(e.event_id * 4 AS VARCHAR) = s.specimen_id""",
+       FROM specimens s LEFT JOIN events e ON CAST(e.event_id * 4 AS VARCHAR) = s.specimen_id""",
 )
 def _(m: Model) -> DataFrame:
     out = ingest.upsert_level(m.specimens, _specimen_updates(m), "specimen", overwrite=True)
@@ -299,7 +299,7 @@ def _(m: Model) -> DataFrame:
     """WITH incoming AS (
          SELECT CAST(event_id * 4 AS VARCHAR) AS specimen_id,
                 CASE WHEN event_id % 10 = 0 THEN 'nobody' ELSE CAST(user_id AS VARCHAR) END AS patient_id
-         FROM events WHERE event_id % 2 = 0)
+         FROM events)
        SELECT specimen_id AS id, 'missing_parent' AS reject FROM incoming
        WHERE specimen_id NOT IN (SELECT specimen_id FROM specimens)
          AND patient_id NOT IN (SELECT patient_id FROM patients)""",
@@ -312,15 +312,15 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "register_rows",
-    """SELECT 'stub' AS what, CAST(count(DISTINCT user_id + 1000000) AS BIGINT) AS n FROM events WHERE event_id % 5 = 0
-       UNION ALL SELECT 'inserted', count(*) FROM events WHERE event_id % 5 = 0
-                 AND CAST(event_id AS VARCHAR) NOT IN (SELECT specimen_id FROM specimens)
-       UNION ALL SELECT 'already_exists', count(*) FROM events WHERE event_id % 5 = 0
-                 AND CAST(event_id AS VARCHAR) IN (SELECT specimen_id FROM specimens)""",
+    """SELECT 'stub' AS what, CAST(count(DISTINCT user_id + 1000000) AS BIGINT) AS n FROM events
+       UNION ALL SELECT 'inserted', count(*) FROM events
+                 WHERE CAST(event_id * 3 AS VARCHAR) NOT IN (SELECT specimen_id FROM specimens)
+       UNION ALL SELECT 'already_exists', count(*) FROM events
+                 WHERE CAST(event_id * 3 AS VARCHAR) IN (SELECT specimen_id FROM specimens)""",
 )
 def _(m: Model) -> DataFrame:
-    rows = m.raw("events").filter("event_id % 5 = 0").select(
-        F.col("event_id").cast("string").alias("specimen_id"),
+    rows = m.raw("events").select(
+        (F.col("event_id") * 3).cast("string").alias("specimen_id"),
         (F.col("user_id") + 1000000).cast("string").alias("patient_id"),
         F.col("event_type").alias("tissue_site"),
     )
@@ -421,13 +421,13 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "dry_run_counts",
-    """SELECT 'patient' AS level, count(DISTINCT patient_id) FILTER (WHERE CAST(patient_id AS BIGINT) % 2 = 0) AS n_existing,
-              count(DISTINCT patient_id) FILTER (WHERE CAST(patient_id AS BIGINT) % 2 = 1) AS n_new FROM sheet
+    """SELECT 'patient' AS level, count(DISTINCT patient_id) FILTER (WHERE cohort = 'BUILDING') AS n_existing,
+              count(DISTINCT patient_id) FILTER (WHERE cohort <> 'BUILDING') AS n_new FROM sheet
        UNION ALL SELECT 'specimen', count(DISTINCT specimen_id), 0 FROM sheet""",
 )
 def _(m: Model) -> DataFrame:
     frames = ingest.explode_sheet(m.sheet)
-    have = m.patients.filter(F.col("patient_id").cast("bigint") % 2 == 0)
+    have = m.patients.filter("cohort = 'BUILDING'")
     return ingest.dry_run_counts(
         {"patient": frames["patient"], "specimen": frames["specimen"]},
         {"patient": have, "specimen": m.specimens},

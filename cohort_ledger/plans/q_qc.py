@@ -203,7 +203,7 @@ def _(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     turn = F.col("patient_id").cast("bigint") % 7
-    updates = m.patients.filter(turn < 4).select(
+    updates = m.patients.select(
         "patient_id",
         F.when(turn == 0, "withdrawn").when(turn == 1, "consented").when(turn == 2, "withdrawn")
         .otherwise("unheard_of").alias("consent_status"),
@@ -274,7 +274,7 @@ def _(m: Model) -> DataFrame:
 
 
 HITS_SQL = """
-    chosen AS (SELECT batch_id FROM batches WHERE CAST(batch_id AS BIGINT) % 10 = 3),
+    chosen AS (SELECT CAST(s_suppkey AS VARCHAR) AS batch_id FROM supplier WHERE s_acctbal < 1000),
     own AS (SELECT assay_id FROM assays WHERE batch_id IN (SELECT batch_id FROM chosen)),
     downstream AS (SELECT * FROM sources WHERE source_assay_id IN (SELECT assay_id FROM own)),
     targets AS (
@@ -285,7 +285,8 @@ HITS_SQL = """
 
 
 def _chosen(m: Model) -> DataFrame:
-    return m.batches.filter(F.col("batch_id").cast("bigint") % 10 == 3).select("batch_id")
+    poor = m.raw("supplier").filter("s_acctbal < 1000")
+    return poor.select(F.col("s_suppkey").cast("string").alias("batch_id"))
 
 
 @query(

@@ -375,7 +375,7 @@ def job_log(m: Model) -> DataFrame:
     """WITH jobs AS (
          SELECT CASE event_type WHEN 'view' THEN 'premerge_flagstat' WHEN 'click' THEN 'merge_ont'
                      WHEN 'purchase' THEN 'modkit_merged' WHEN 'signup' THEN 'other:custom' ELSE 'censor' END AS phase,
-                CASE WHEN event_id % 7 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS elapsed,
+                CASE WHEN value >= 2 THEN CAST(floor(value * 10) AS BIGINT) END AS elapsed,
                 1 + event_id % 8 AS cpus
          FROM events WHERE event_id % 11 <> 0),
        ranked AS (
@@ -387,7 +387,7 @@ def job_log(m: Model) -> DataFrame:
        FROM jobs j GROUP BY j.phase""",
 )
 def _(m: Model) -> DataFrame:
-    accounting = m.raw("events").filter("event_id % 7 <> 0").select(
+    accounting = m.raw("events").filter("value >= 2").select(
         F.col("event_id").cast("string").alias("slurm_job_id"),
         F.floor(F.col("value") * 10).cast("bigint").alias("elapsed_s"),
         (1 + F.col("event_id") % 8).alias("req_cpus"),

@@ -36,13 +36,13 @@ def _(m: Model) -> DataFrame:
 @query(
     "fk_orphans",
     """SELECT 'specimens' AS "table", specimen_id AS "key", patient_id AS detail FROM specimens
-       WHERE CAST(patient_id AS BIGINT) % 9 = 2
+       WHERE patient_id IN (SELECT patient_id FROM patients WHERE cohort = 'BUILDING')
        UNION ALL SELECT 'assays', assay_id, specimen_id FROM assay_rows
        WHERE specimen_id NOT IN (SELECT specimen_id FROM specimens)""",
 )
 def _(m: Model) -> DataFrame:
     tables = dict(m.tables)
-    tables["patient"] = m.patients.filter(F.col("patient_id").cast("bigint") % 9 != 2)
+    tables["patient"] = m.patients.filter("cohort <> 'BUILDING'")
     return validate.fk_orphans(tables).select("table", "key", "detail")
 
 
@@ -106,10 +106,10 @@ def _(m: Model) -> DataFrame:
        UNION ALL SELECT merged_assay_id, 'merged_assay_id' FROM sources
        WHERE merged_assay_id IN (SELECT assay_id FROM assay_rows WHERE n_reads < 3)
        UNION ALL SELECT consumer_specimen_id, 'consumer_specimen_id' FROM sources
-       WHERE CAST(consumer_specimen_id AS BIGINT) % 13 = 5""",
+       WHERE consumer_specimen_id IN (SELECT specimen_id FROM specimens WHERE tissue_site = 'P')""",
 )
 def _(m: Model) -> DataFrame:
-    known = m.specimens.filter(F.col("specimen_id").cast("bigint") % 13 != 5)
+    known = m.specimens.filter("tissue_site <> 'P'")
     return validate.lineage_orphans(m.assay_sources, m.assay_rows.filter("n_reads >= 3"), known).select(
         "key", "detail"
     )
@@ -117,10 +117,13 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "batch_orphans",
-    """SELECT assay_id AS "key", batch_id AS detail FROM assay_rows WHERE CAST(batch_id AS BIGINT) % 10 = 4""",
+    """SELECT assay_id AS "key", batch_id AS detail FROM assay_rows
+       WHERE batch_id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < 1000)""",
 )
 def _(m: Model) -> DataFrame:
-    known = m.batches.filter(F.col("batch_id").cast("bigint") % 10 != 4)
+    known = m.raw("supplier").filter("s_acctbal >= 1000").select(
+        F.col("s_suppkey").cast("string").alias("batch_id")
+    )
     return validate.batch_orphans(m.assay_rows, known).select("key", "detail")
 
 
@@ -253,12 +256,12 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "case_variants",
-    """SELECT lower(c_name) AS "key" FROM customer WHERE c_custkey % 3 = 0""",
+    """SELECT lower(c_name) AS "key" FROM customer WHERE c_mktsegment = 'BUILDING'""",
 )
 def _(m: Model) -> DataFrame:
     tables = dict(m.tables)
-    names = m.raw("customer").select(F.col("c_name").alias("patient_id"), "c_custkey")
-    shouted = names.filter("c_custkey % 3 = 0").withColumn("patient_id", F.upper("patient_id"))
+    names = m.raw("customer").select(F.col("c_name").alias("patient_id"), "c_mktsegment")
+    shouted = names.filter("c_mktsegment = 'BUILDING'").withColumn("patient_id", F.upper("patient_id"))
     tables["patient"] = names.unionByName(shouted)
     return validate.case_variants(tables).select("key")
 

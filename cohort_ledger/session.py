@@ -26,14 +26,17 @@ def build_session(app: str = "cohort-ledger", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or the session's checkpoint folder.
 
-    Only where that setting is absent (a local test run) is a temporary folder
-    made, once per session.
+    Only where neither is set (a local test run) is a temporary folder made,
+    once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = spark.conf.get("spark.cohort.scratch", None)
