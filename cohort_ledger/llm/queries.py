@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_ledger.llm import quality_gbt, sharding, token_files
+from cohort_ledger.llm import quality_gbt, sharding, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,33 @@ def op7(spark, folder):
     return quality_gbt.judge(docs, quality_gbt.fit(docs, labels))
 
 
+SUBSTRING_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM doc WHERE len(ws) >= 20)
+), removed AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1
+), flat AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM doc
+), kept AS (
+  SELECT f.doc_id, string_agg(f.w, ' ' ORDER BY f.i) AS text, count(*) AS n
+  FROM flat f ANTI JOIN removed r ON f.doc_id = r.doc_id AND f.i = r.i GROUP BY f.doc_id
+)
+SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def op8(spark, folder):
+    cleaned = substring_dedup.without_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op9_token_files")
 def op9(spark, folder):
     import public_tokenizers
