@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 SHARDS = 16
 SEED = 20_260_101
-BUCKET_ROWS = 20_000  #: rows for which a bucket is planned
+BUCKET_ROWS = 2_000  #: rows for which a bucket is planned
+MOST_BUCKETS = 65_536  #: their counts are summed in one task; beyond it buckets grow, results stay
 
 
 def _even(value: Column) -> Column:
@@ -34,7 +35,7 @@ def _even(value: Column) -> Column:
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, carry: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, ``carry`` columns) of every document."""
     n = docs.count()
-    buckets = max(16, n // bucket_rows)
+    buckets = max(64, min(n // bucket_rows, MOST_BUCKETS))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
