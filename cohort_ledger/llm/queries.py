@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_ledger.llm import quality_gbt, sharding, substring_dedup, token_files
+from cohort_ledger.llm import prob_minhash, quality_gbt, sharding, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op6_prob_minhash")
+def op6(spark, folder):
+    return prob_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_quality_rules")
 def op7(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
