@@ -26,6 +26,7 @@ its own start; a NULL doc_id stands first; an empty table gives no block.
 from __future__ import annotations
 
 import hashlib
+import operator
 import sys
 import types
 import zlib
@@ -44,43 +45,98 @@ MAGIC = b"IDZB0001"
 DICTIONARY_DOCS, DICTIONARY_BYTES, PIECE_IDS = 400, 65_536, 2_048
 BLOCK_IDS = 1_000_000  #: a block ends at this many ids
 BATCH_BYTES = 4_000_000  #: text whose new words are encoded in one call
-KNOWN_WORDS = 300_000  #: words a worker remembers at most
+KNOWN_WORDS = 1_000_000  #: words a worker remembers at most
 LEVEL = 3
 NO_ID = -(2**63)  #: stands for a NULL doc_id in the index
 BLOCKS = "part int, block int, first_id long, last_id long, n_docs long, n_tokens long, start_in_part long, payload binary"
 
 
-class _Known(dict):
-    """Ids of words seen so far, as bytes; kept by the worker between tasks."""
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _worker_state(tokenizer: str, width: int):
-    """The tokenizer and the known words of this process."""
-    home = sys.modules.setdefault("_token_files_worker", types.ModuleType("_token_files_worker"))
-    key = (tokenizer, width)
-    if getattr(home, "key", None) != key:
+class _Worker:
+    """The tokenizer of this process and the ids of words it has seen, as bytes; kept between tasks.
+
+    A word of Latin letters with marks behind it is two pieces for a tokenizer
+    that ends each with ``</w>``; letters then are encoded many at a time, and
+    the ids are parted at those ends.  All other words are encoded one by one.
+    """
+
+    def __init__(self, tokenizer: str, width: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        home.key, home.tool, home.known = key, Tokenizer.from_file(tokenizer), _Known()
-    return home.tool, home.known
+        self.key, self.kind = (tokenizer, width), f"<u{width}"
+        self.tool = Tokenizer.from_file(tokenizer)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        size = self.tool.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tool.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        lower = self.tool.encode("Ab", add_special_tokens=False).ids == self.tool.encode("ab", add_special_tokens=False).ids
+        self.parts_words = bool(self.ends.any()) and lower
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 4_096):
+            part = texts[at : at + 4_096]
+            groups = [part[i : i + 64] for i in range(0, len(part), 64)]
+            for group, e in zip(groups, self.tool.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.asarray(e.ids, self.kind)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(group):
+                    out += self._plain(group)
+                    continue
+                raw, w, a = ids.tobytes(), ids.itemsize, 0
+                for b in cuts.tolist():
+                    out.append(raw[a * w : b * w])
+                    a = b
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of words not seen before."""
+        from unicodedata import is_normalized
+
+        odd, whole, cores, tails = [], [], [], []
+        for w in words:
+            text = w.decode().lower() if self.parts_words else ""
+            core = text.rstrip(_MARKS)
+            if core and core.isalpha() and (core.isascii() or max(core) < "\u0250" and is_normalized("NFC", core)):
+                whole.append(w)
+                cores.append(core)
+                tails.append(text[len(core) :])
+            else:
+                odd.append(w)
+        fresh = list(set(cores) - self.parts.keys())
+        self.parts.update(zip(fresh, self._letters(fresh)))
+        marks = [t for t in set(tails) - self.parts.keys() if t]
+        self.parts.update(zip(marks, self._plain(marks)))
+        self.parts[""] = b""
+        find = self.parts.__getitem__
+        self.known.update(zip(whole, map(operator.add, map(find, cores), map(find, tails))))
+        self.known.update(zip(odd, self._plain([w.decode() for w in odd])))
+
+    def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
+        each = [(t or b"").split() for t in texts]
+        wanted = set().union(*each)
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known, self.parts, new = {}, {}, wanted
+        self.learn(list(new))
+        find, last = self.known.__getitem__, int(end).to_bytes(self.key[1], "little")
+        return [b"".join(map(find, p)) + last for p in each]
 
 
 def encoded(texts: list[bytes | None], tokenizer: str, width: int, end: int) -> list[bytes]:
     """Ids of each text with the end id, as little-endian bytes of ``width`` each."""
-    tool, known = _worker_state(tokenizer, width)
-    kind, last = f"<u{width}", int(end).to_bytes(width, "little")
-    parts = [(t or b"").split() for t in texts]
-    new = list(set().union(*parts) - known.keys())
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = list(set().union(*parts))
-    for w, e in zip(new, tool.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-        known[w] = np.asarray(e.ids, kind).tobytes()
-    find = known.__getitem__
-    return [b"".join(map(find, p)) + last for p in parts]
+    home = sys.modules.setdefault("_token_files_worker", types.ModuleType("_token_files_worker"))
+    if getattr(home, "worker", None) is None or home.worker.key != (tokenizer, width):
+        home.worker = _Worker(tokenizer, width)
+    return home.worker.encode(texts, end)
 
 
 def _pieces(column, limit: int):
@@ -100,8 +156,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int) -> b
     """A zstandard dictionary from a bounded sample of documents; empty if there is too little text."""
     import zstandard
 
-    sample = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit("dictionary"), "doc_id").alias("h")).orderBy("h", "text").limit(DICTIONARY_DOCS)
-    ids = encoded([bytes(r.text) if r.text is not None else None for r in sample.collect()], tokenizer, width, end)
+    draw = F.xxhash64(F.lit("dictionary"), "doc_id")
+    picked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(draw.alias("draw"), F.col("doc_id").alias("id")).distinct().orderBy("draw", "id").limit(DICTIONARY_DOCS)
+    sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("draw", F.col("text").cast("binary").alias("text"))
+    ids = encoded([bytes(r.text) for r in sorted(sample.collect())[:DICTIONARY_DOCS]], tokenizer, width, end)
     pieces = [x[i : i + PIECE_IDS * width] for x in ids for i in range(0, len(x), PIECE_IDS * width)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
@@ -151,7 +209,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 2, block_ids: i
         import zstandard
         from pyspark import TaskContext
 
-        tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids, frames, counts, held = [], [], [], 0
 
