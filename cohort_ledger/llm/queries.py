@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_ledger.llm import decontaminate, prob_minhash, quality_gbt, sharding, substring_dedup, token_files
+from cohort_ledger.llm import decontaminate, line_dedup, prob_minhash, quality_gbt, sharding, substring_dedup, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_line_dedup")
+def op1(spark, folder):
+    found = line_dedup.duplicate_lines(table(spark, folder, "documents"))
+    return found.withColumn("n_removed", F.col("n_equal") + F.col("n_near"))
+
+
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+@query("op2_url_filter")
+def op2(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages"), RULES)
+
+
 DECONTAMINATE_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
