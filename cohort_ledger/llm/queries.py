@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_ledger.llm import decontaminate, line_dedup, prob_minhash, quality_gbt, sharding, substring_dedup, token_files, url_filter
+from cohort_ledger.llm import decontaminate, line_dedup, mixing, prob_minhash, quality_cnn, quality_gbt, sharding, substring_dedup, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,6 +83,25 @@ def op3(spark, folder):
     )
 
 
+@query("op4_quality_cnn")
+def op4(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, labels))
+
+
+#: Domains of the labelled table and the shares of words that the query asks for.
+DOMAIN_SQL = "CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END"
+DOMAINS = ["low", "good", "toxic"]
+TARGETS = [0.06, 0.88, 0.06]
+
+
+@query("op5_mixing")
+def op5(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = mixing.rates(docs, mixing.fit(docs, labels, F.expr(DOMAIN_SQL), len(DOMAINS)), TARGETS)
+    return found.select("doc_id", "n_words", *[F.col("posterior")[d].alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", "copies")
+
+
 @query("op6_prob_minhash")
 def op6(spark, folder):
     return prob_minhash.near_duplicates(table(spark, folder, "documents"))
