@@ -149,4 +149,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the benchmark occurs."""
     dirty = hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("dirty_id"))
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]), "left_anti")

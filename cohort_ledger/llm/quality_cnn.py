@@ -69,6 +69,8 @@ class Network:
         doc = np.repeat(np.arange(texts.n), size)
         padded[np.arange(len(texts.data)) + doc * WIDTH] = texts.data
         response = self.responses(np.concatenate([padded, np.zeros(WIDTH - 1, np.uint8)]))
+        beyond = (starts + size)[:, None] + np.arange(1, WIDTH)  # these would see the next document
+        response[beyond.ravel()] = 0
         first = np.concatenate([[0], np.cumsum(blocks)])
         owner = np.repeat(np.arange(texts.n), blocks)
         at = starts[owner] + (np.arange(len(owner)) - first[owner]) * half

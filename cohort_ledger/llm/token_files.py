@@ -156,6 +156,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int) -> b
     """A zstandard dictionary from a bounded sample of documents; empty if there is too little text."""
     import zstandard
 
+    docs = docs.select("doc_id", "text")
     draw = F.xxhash64(F.lit("dictionary"), "doc_id")
     picked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(draw.alias("draw"), F.col("doc_id").alias("id")).distinct().orderBy("draw", "id").limit(DICTIONARY_DOCS)
     sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("draw", F.col("text").cast("binary").alias("text"))
