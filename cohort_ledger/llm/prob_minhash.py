@@ -15,10 +15,10 @@ one node throughout, so copies never meet each other.
 
 A band shared by up to ``SMALL`` texts gives all its pairs.  In a larger one
 all texts are compared with two of them: the smallest, and the one that shares
-the most large bands (the centre of a family of variants).  Beside that all
-texts of large bands get ``FINE_BANDS`` narrower keys of more registers, from
-which smaller groups come, and again so for groups that are still large.  Work
-grows with the texts, not with the square of a group.
+the most large bands (the centre of a family of variants).  Where that does not
+bring all of them into one class, they get ``FINE_BANDS`` narrower keys of more
+registers, from which smaller groups come, and again so for groups that are
+still large.  Work grows with the texts, not with the square of a group.
 
 Chance to miss a link of similarity 0.8 outside large bands: 7e-5; inside them
 a pair that neither centre joins is found with about 0.99.
@@ -161,28 +161,19 @@ def _pairs(grouped: DataFrame) -> DataFrame:
     return inner.union(outer).where("a < b").distinct()
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes worth verifying, by their signatures."""
-    found, grouped = None, _grouped(_coarse(signed))
-    for rows in (*FINE_ROWS, 0):
-        pairs = _pairs(grouped)
-        found = pairs if found is None else found.union(pairs)
-        large = grouped.where(F.col("n") > SMALL)
-        if not rows or large.isEmpty():
-            break
-        members = large.select("node").distinct()
-        grouped = _grouped(_fine(signed.join(members, "node", "left_semi"), rows))
+def hopeful(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs worth verifying, by the estimate of their signatures."""
 
-    def hopeful(batches):
+    def estimate(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.stack([np.frombuffer(x.as_py(), "<u4") for x in batch.column(c)]) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(axis=1) >= SIMILARITY - SLACK))
 
-    a, b = (signed.select(F.col("node").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in "ab")
-    both = found.distinct().join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
-    return both.mapInArrow(hopeful, "a long, b long")
+    a, b = (signed.select(F.col("node").alias(f"n{c}"), F.col("signature").alias(f"s{c}")).hint("merge") for c in "ab")
+    both = pairs.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
+    return both.mapInArrow(estimate, "a long, b long")
 
 
 def similarities(left: W.Texts, right: W.Texts) -> np.ndarray:
@@ -214,38 +205,54 @@ def links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
                 yield batch.slice(at, stop - at).select(["a", "b"]).filter(pa.array(good))
                 at = stop
 
-    b = texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
-    a = texts.select(F.col("node").alias("na"), F.col("text").alias("ta"))
+    b = texts.select(F.col("node").alias("nb"), F.col("text").alias("tb")).hint("merge")
+    a = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")).hint("merge")
     # The member's text first: the centre of a large group is the same for many pairs, which can be split on the left.
     both = pairs.join(b, F.col("b") == F.col("nb")).join(a, F.col("a") == F.col("na")).select("a", "b", "ta", "tb")
     return both.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links, class_size) of every row of ``docs``.
+def _unfinished(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes of large groups that are not yet in one class."""
+    large = grouped.where(F.col("n") > SMALL).select(F.col("node").alias("member"), "key")
+    known = labels.select("node", "label")
+    classed = large.join(known, F.col("member") == F.col("node"), "left").select("member", "key", F.coalesce("label", "member").alias("class"))
+    mixed = classed.groupBy(F.col("key").alias("open")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    return classed.join(mixed, F.col("key") == F.col("open"), "left_semi").select("member").distinct()
+
 
-    ``n_links`` counts the verified links of the row's text to other texts.
-    """
+def classes(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of every node that has a verified link."""
+    grouped = _grouped(_coarse(signed))
+    nodes = grouped.select(F.col("node").alias("wanted")).distinct().hint("merge")
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("node"), "text")
+    texts = cut(texts.join(nodes, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
+    labels = None
+    for rows in (*FINE_ROWS, 0):
+        edges = links(cut(hopeful(_pairs(grouped), signed)), texts, similarity)
+        if labels is not None:
+            edges = edges.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = components(edges)
+        if not rows:
+            break
+        members = cut(_unfinished(grouped, labels))
+        if members.isEmpty():
+            break
+        grouped = _grouped(_fine(signed.join(members, F.col("node") == F.col("member"), "left_semi"), rows))
+    return labels
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, class_size) of every row of ``docs``."""
     signed_rows = cut(signatures(docs))
     signed = cut(signed_rows.where("signature IS NOT NULL").select("node", "signature").dropDuplicates(["node"]))
-    pairs = cut(candidates(signed))
-    nodes = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct()
-    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("node"), "text")
-    texts = texts.join(nodes, F.col("node") == F.col("wanted"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    edges = cut(links(pairs, texts, similarity))
-    labels = components(edges)
-    degree = edges.select(F.col("a").alias("end")).union(edges.select("b")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = (
-        signed_rows.select("doc_id", F.col("node").alias("own"))
-        .join(labels, F.col("own") == F.col("node"), "left")
-        .join(degree, F.col("own") == F.col("end"), "left")
-        .select("doc_id", F.coalesce("label", "own").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    classes = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
-    return rows.join(classes, F.col("class") == F.col("of"), "left").select(
+    labels = classes(signed, docs, similarity)
+    rows = signed_rows.select("doc_id", F.col("node").alias("own")).join(labels, F.col("own") == F.col("node"), "left")
+    rows = rows.select("doc_id", F.coalesce("label", "own").alias("class"))
+    sizes = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    return rows.join(sizes, F.col("class") == F.col("of"), "left").select(
         "doc_id",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
-        "n_links",
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
     )
 
@@ -253,5 +260,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class: the one with the smallest doc_id; rows without a text or an id all stay."""
     kept = near_duplicates(docs, similarity).where("class_id IS NOT NULL AND class_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.where("text IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    chosen = docs.where("text IS NOT NULL").join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return chosen.union(docs.where("text IS NULL OR doc_id IS NULL"))
