@@ -5,10 +5,10 @@ for every term of the benchmark, written once to the shared folder; each
 document also has one posting of the empty term, at the number of its words.
 
 A phrase is found from its rarest terms: postings of the rarest term, each
-moved back by the term's place in the phrase, are the possible starts; they are
-intersected with the moved postings of the second and third rarest.  What is
-left is compared word by word with the texts of the few documents concerned.
-Frequencies are counted over the whole index.
+moved back by the term's place, are the possible starts; they are intersected
+with the moved postings of the second rarest.  What is left is compared word by
+word with the texts of the documents concerned.  Frequencies are counted over
+the whole index.
 
 ``proximity`` finds items whose three rarest terms stand close together in any
 order, which catches reworded passages.
@@ -35,7 +35,8 @@ from cohort_ledger.llm.words import LOWER, TERM_GAP_PATTERN, UPPER
 from cohort_ledger.session import cut
 
 SIZE = 10  #: words of a phrase
-ANCHORS = 3  #: rarest terms that are intersected
+ANCHORS = 2  #: rarest terms of a window whose lists are intersected
+NEAR_TERMS = 3  #: rarest terms of an item that a proximity match needs
 NEAR_WORDS = 20  #: reach of a proximity match
 
 
@@ -46,11 +47,15 @@ def terms(text: Column) -> Column:
 
 
 def phrases(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, phrase, text, words) of every window of ``size`` words of every item."""
+    """(item_id, body, at, phrase, text, words) of every window of ``size`` words of every item.
+
+    ``body`` stands for an item's words, so equal items are searched once; ``at`` counts from 0.
+    """
     items = benchmark.select("item_id", terms(F.col("text")).alias("all")).where("size(all) > 0")
-    at = items.select("item_id", "all", F.explode(F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1)))).alias("at"))
-    windows = at.select("item_id", F.slice("all", F.col("at"), size).alias("words")).withColumn("text", F.array_join("words", " "))
-    return windows.select("item_id", F.xxhash64("text").alias("phrase"), "text", "words")
+    last = F.greatest(F.size("all") - size, F.lit(0))
+    at = items.select("item_id", "all", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    windows = at.select("item_id", F.xxhash64(F.array_join("all", " ")).alias("body"), "at", F.slice("all", F.col("at") + 1, size).alias("words"))
+    return windows.withColumn("text", F.array_join("words", " ")).withColumn("phrase", F.xxhash64("text"))
 
 
 def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -60,43 +65,56 @@ def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return cut(listed.join(vocabulary, "term", "left_semi").select("term", "doc_id", "pos"))
 
 
-def anchors(windows: DataFrame, postings: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """(phrase, n, anchors): the rarest terms of each distinct phrase with their places."""
+def anchors(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """(body, phrase, at, n, anchors): places in the body and terms of each window's rarest words, rarest first.
+
+    Windows with a word that no document has are left out.
+    """
     frequency = postings.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-    distinct = windows.groupBy("phrase").agg(F.first("words").alias("words"))
-    each = distinct.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
-    counted = each.join(frequency, "term", "left").groupBy("phrase", "n").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "place", "term"))).alias("by_freq")
+    each = windows.select("body", "at", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("place", "term")).distinct()
+    counted = each.join(frequency, "term", "left").groupBy("body", "at", "phrase", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), (F.col("at") + F.col("place")).alias("place"), "term"))).alias("anchors")
     )
-    return counted.where("by_freq[0].freq > 0").select("phrase", "n", F.slice("by_freq", 1, count).alias("anchors"))
-
-
-def starts(postings: DataFrame, rare: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """Possible starts (phrase, doc_id, start) that all rare terms agree on."""
-    near = None
-    for k in range(count):
-        these = rare.where(F.size("anchors") > k).select("phrase", "n", F.col("anchors")[k]["term"].alias("term"), F.col("anchors")[k]["place"].alias("place"))
-        moved = postings.join(these, "term").select("phrase", "doc_id", (F.col("pos") - F.col("place")).alias("start"), "n")
-        if near is None:
-            near = moved.where("start >= 0")
-            continue
-        step = moved.select("phrase", F.col("doc_id").alias("d"), F.col("start").alias("s")).withColumnRenamed("phrase", "p")
-        agrees = near.where(F.col("n") > k).join(step, (F.col("phrase") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")), "left_semi")
-        near = agrees.union(near.where(F.col("n") <= k))
-    return near
+    return counted.where("anchors[0].freq > 0").withColumn("anchors", F.slice("anchors", 1, ANCHORS))
+
+
+def starts(postings: DataFrame, rare: DataFrame) -> DataFrame:
+    """Possible starts (phrase, doc_id, start, n): all rare terms of a window stand where they should.
+
+    A posting of the rarest term puts the item's start at ``pos - place`` of the
+    document.  Windows of an item with the same rare places share this start,
+    so it is looked for once.  It stays if the next rarest terms have a posting
+    at the same start plus their own place.
+    """
+    places = [F.coalesce(F.col("anchors")[k]["place"], F.lit(-1)).alias(f"place{k}") for k in range(ANCHORS)]
+    words = [F.col("anchors")[k]["term"].alias(f"term{k}") for k in range(ANCHORS)]
+    rare = rare.select("body", "at", "phrase", "n", *places, *words)
+    keys = ["body", *[f"place{k}" for k in range(ANCHORS)]]
+    sought = rare.select(*keys, *[f"term{k}" for k in range(ANCHORS)]).distinct()
+    near = postings.join(sought, F.col("term") == F.col("term0")).select("doc_id", (F.col("pos") - F.col("place0")).alias("base"), *keys, *[f"term{k}" for k in range(1, ANCHORS)])
+    for k in range(1, ANCHORS):
+        used = postings.join(sought.select(F.col(f"term{k}").alias("used")).distinct(), F.col("term") == F.col("used"), "left_semi")
+        moved = used.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("p"))
+        same = (F.col(f"term{k}") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("base") + F.col(f"place{k}") == F.col("p"))
+        near = cut(near.where(F.col(f"place{k}") >= 0).join(moved.hint("merge"), same, "left_semi").union(near.where(F.col(f"place{k}") < 0)))
+    own = rare.select(*[F.col(c).alias(f"own_{c}") for c in keys], "at", "phrase", "n").distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"own_{c}"))
+    return near.join(own, same).select("phrase", "doc_id", (F.col("base") + F.col("at")).alias("start"), "n").where("start >= 0").distinct()
 
 
 def matches(docs: DataFrame, windows: DataFrame, possible: DataFrame) -> DataFrame:
     """Exact occurrences (doc_id, start, n, phrase), compared with the documents' own words."""
     wanted = windows.groupBy("phrase").agg(F.first("text").alias("wanted"))
     listed = possible.join(wanted, "phrase").groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("phrase", "wanted", "start", "n")).alias("spans"))
-    texts = docs.select("doc_id", "text").join(listed, F.col("doc_id").eqNullSafe(F.col("d")))
+    texts = docs.select("doc_id", "text").join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")))
     words = texts.select("doc_id", terms(F.col("text")).alias("words"), "spans")
     each = words.select("doc_id", F.explode(F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ") == s["wanted"])).alias("s"))
     return each.select("doc_id", "s.phrase", "s.start", "s.n").distinct()
 
 
-def proximity(postings: DataFrame, benchmark: DataFrame, reach: int = NEAR_WORDS, count: int = ANCHORS) -> DataFrame:
+def proximity(postings: DataFrame, benchmark: DataFrame, reach: int = NEAR_WORDS, count: int = NEAR_TERMS) -> DataFrame:
     """(item_id, doc_id) where the item's ``count`` rarest terms stand within ``reach`` words of each other."""
     items = benchmark.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
     each = items.select("item_id", F.explode(F.array_distinct("words")).alias("term"))
@@ -136,7 +154,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
         lambda s: s["n_hit"],
     )
     covered = spans.select(F.col("doc_id").alias("d"), step.alias("n_hit"))
-    owners = windows.select("item_id", F.col("phrase").alias("p")).distinct()
+    owners = windows.where("item_id IS NOT NULL").select("item_id", F.col("phrase").alias("p")).distinct()
     items = found.select("doc_id", "phrase").distinct().join(owners, F.col("phrase") == F.col("p")).groupBy(F.col("doc_id").alias("e")).agg(F.collect_set("item_id").alias("items"))
     lengths = postings.where("term = ''").select("doc_id", F.col("pos").cast("long").alias("n_words"))
     return (
