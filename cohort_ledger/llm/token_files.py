@@ -25,6 +25,7 @@ its own start; a NULL doc_id stands first; an empty table gives no block.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import operator
 import sys
@@ -44,7 +45,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"IDZB0001"
 DICTIONARY_DOCS, DICTIONARY_BYTES, PIECE_IDS = 400, 65_536, 2_048
 BLOCK_IDS = 1_000_000  #: a block ends at this many ids
-BATCH_BYTES = 4_000_000  #: text whose new words are encoded in one call
+BATCH_BYTES = 8_000_000  #: text whose new words are encoded in one call
 KNOWN_WORDS = 1_000_000  #: words a worker remembers at most
 LEVEL = 3
 NO_ID = -(2**63)  #: stands for a NULL doc_id in the index
@@ -136,7 +137,11 @@ def encoded(texts: list[bytes | None], tokenizer: str, width: int, end: int) ->
     home = sys.modules.setdefault("_token_files_worker", types.ModuleType("_token_files_worker"))
     if getattr(home, "worker", None) is None or home.worker.key != (tokenizer, width):
         home.worker = _Worker(tokenizer, width)
-    return home.worker.encode(texts, end)
+    gc.disable()  # millions of words are listed here, and none refers to another
+    try:
+        return home.worker.encode(texts, end)
+    finally:
+        gc.enable()
 
 
 def _pieces(column, limit: int):
