@@ -18,9 +18,9 @@ where a partition can be split; each phrase has one row per rare term on the
 right.  Per document only spans and item ids are gathered, bounded by its
 length and by the benchmark.
 
-Defined results: NULL texts and ids of items without words match nothing; a
-NULL document text has no words and is clean; an item of fewer than ``SIZE``
-words is one phrase; items with equal texts all count; rows with equal doc_id
+Defined results: items without words match nothing; an item without an id marks
+words but is not listed; a NULL document text has no words and is clean; an
+item of fewer than ``SIZE`` words is one phrase; items with equal texts all count; rows with equal doc_id
 are one document if their texts are equal, and get the spans of both otherwise;
 a NULL doc_id is an id of its own; empty tables give no matches; other columns
 are not read.
@@ -86,8 +86,8 @@ def starts(postings: DataFrame, rare: DataFrame) -> DataFrame:
     so it is looked for once.  It stays if the next rarest terms have a posting
     at the same start plus their own place.
     """
-    places = [F.coalesce(F.col("anchors")[k]["place"], F.lit(-1)).alias(f"place{k}") for k in range(ANCHORS)]
-    words = [F.col("anchors")[k]["term"].alias(f"term{k}") for k in range(ANCHORS)]
+    places = [F.coalesce(F.get("anchors", F.lit(k))["place"], F.lit(-1)).alias(f"place{k}") for k in range(ANCHORS)]
+    words = [F.get("anchors", F.lit(k))["term"].alias(f"term{k}") for k in range(ANCHORS)]
     rare = rare.select("body", "at", "phrase", "n", *places, *words)
     keys = ["body", *[f"place{k}" for k in range(ANCHORS)]]
     sought = rare.select(*keys, *[f"term{k}" for k in range(ANCHORS)]).distinct()
