@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohort_ledger.model import (
     CONSENT_USABLE,
@@ -65,6 +66,10 @@ def consent_usable(status: Column, include_consent_revoked: bool = False) -> Col
     return status.isin(*CONSENT_USABLE)
 
 
+#: Text that is read as a number where a flag is expected; words such as "infinity" are free text.
+NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\z"
+
+
 def _token(value: Column) -> Column:
     return F.lower(F.trim(value.cast("string"), F.lit(" \t\r\n\f\v")))
 
@@ -79,6 +84,23 @@ def is_false_token(value: Column) -> Column:
     return F.coalesce(_token(value).isin(*FALSE_TOKENS), F.lit(False))
 
 
+def flag_value(rows: DataFrame, column: str) -> Column:
+    """A flag column of any type as boolean: NULL where it says neither yes nor no.
+
+    Booleans count as they are and numbers by being 0 or not, NaN as neither.
+    Text counts by its token, else by the number it spells, for one blank cell
+    turns a column of 0 and 1 into text like ``0.0``.
+    """
+    kind, value = rows.schema[column].dataType, F.col(column)
+    by_number = lambda x: F.when(x.isNotNull() & ~F.isnan(x), x != 0)
+    if isinstance(kind, T.BooleanType):
+        return value
+    if isinstance(kind, T.NumericType):
+        return by_number(value.cast("double"))
+    spelled = F.when(_token(value).rlike(NUMBER), _token(value).try_cast("double"))
+    return F.coalesce(to_boolean(value), by_number(spelled))
+
+
 def to_boolean(value: Column) -> Column:
     """Declared-boolean coercion; anything outside the token sets is NULL."""
     return F.when(is_true_token(value), F.lit(True)).when(is_false_token(value), F.lit(False))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from cohort_ledger.functions.qc import (
     ethics_reason_ok,
     event_id,
-    is_false_token,
-    is_true_token,
+    flag_value,
     kind_severity,
     severity_status,
 )
@@ -422,8 +421,9 @@ def qc_event_summary(events: DataFrame) -> DataFrame:
 def autoflag_extract(results: DataFrame, key: str, source: str = "slurm") -> DataFrame:
     """Pass/fail columns of a result file as ``(entity_id, action, reason)`` rows."""
     has = set(results.columns)
-    failed = is_false_token(F.col("qc_pass")) if "qc_pass" in has else F.lit(False)
-    warned = is_true_token(F.col("qc_warn")) if "qc_warn" in has else F.lit(False)
+    no = F.lit(False)
+    failed = F.coalesce(~flag_value(results, "qc_pass"), no) if "qc_pass" in has else no
+    warned = F.coalesce(flag_value(results, "qc_warn"), no) if "qc_warn" in has else no
     text = (
         F.nullif(F.trim(F.col("qc_fail_reason").cast("string"), F.lit(" \t\r\n")), F.lit(""))
         if "qc_fail_reason" in has

@@ -318,24 +318,10 @@ NONE_LABEL = "(none)"
 FAILING_LABELS = ("FAIL", "CENSORED", "CONSENT_REVOKED", NONE_LABEL)
 
 
-def partition_values(specimens: DataFrame, pair_by: str) -> list[str]:
-    """Distinct non-blank values of the partition column, in order.
-
-    This is what ``pivot`` does on its own; the same setting bounds it, and too
-    many values is an error, never a cut.
-    """
-    limit = int(specimens.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    column = F.col(pair_by).cast("string")
-    found = (
-        specimens.select(column.alias("v"))
-        .filter(F.col("v").isNotNull() & (F.col("v") != ""))
-        .distinct()
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"{pair_by!r} has more than {limit} values; it is not a partition column")
-    return sorted(r.v for r in found)
+def partition_count(specimens: DataFrame, pair_by: str) -> Column:
+    """Number of distinct non-blank values of the partition column, as a scalar subquery."""
+    value = F.nullif(F.col(pair_by).cast("string"), F.lit(""))
+    return specimens.agg(F.count_distinct(value)).scalar()
 
 
 def specimen_labels(
@@ -398,46 +384,55 @@ def pair_by(
     partitions: list[str] | None = None,
     schema: CohortSchema = DEFAULT_SCHEMA,
 ) -> DataFrame:
-    """Per patient: readiness over all partitions, one label column per partition.
-
-    Two specimens of one patient in one partition: the highest specimen id
-    counts.  One shuffle on the patient; the conditional maxima are combined
-    before it.
+    """Per patient: readiness over all partitions.
+
+    Rows hold the labels by partition as a map, the partitions present in
+    order, how many are missing and how many pass.  Two specimens of one patient
+    in one partition: the highest specimen id counts.  However many partitions
+    there are, a patient gathers only its own; nothing runs before the first
+    action.  With ``partitions`` only these are looked at, and each gets a
+    column of labels; the missing ones are then listed.
     """
-    found = partitions or partition_values(specimens, pair_by)
-    first = [p for p in (partition_order or []) if p in found]
-    ordered = first + [p for p in found if p not in first]
     labels = specimen_labels(patients, specimens, assays, pair_by, assay_type, schema)
-    latest = F.struct("specimen_id", "label")
-    row = labels.groupBy("patient_id").agg(
-        *[F.max(F.when(F.col("part") == p, latest)).alias(f"_p{i}") for i, p in enumerate(ordered)]
-    )
-    row = row.select(
-        "patient_id",
-        *[F.col(f"_p{i}.label").alias(f"_l{i}") for i in range(len(ordered))],
-    )
-    cells = [F.col(f"_l{i}") for i in range(len(ordered))]
-    zero = F.lit(0)
-    n_present = sum((c.isNotNull().cast("int") for c in cells), zero)
-    n_passing = sum(
-        (F.coalesce(~c.isin(*FAILING_LABELS), F.lit(False)).cast("int") for c in cells), zero
-    )
-    pick = lambda test: F.array_compact(
-        F.array(*[F.when(test(c), F.lit(p)) for c, p in zip(cells, ordered)])
-    )
+    if partitions is not None:
+        labels = labels.filter(F.col("part").isin(*partitions))
+    n_parts = F.lit(len(partitions)) if partitions is not None else partition_count(specimens, pair_by)
+    cells = labels.groupBy("patient_id", "part").agg(F.max(F.struct("specimen_id", "label")).alias("_latest"))
+    place = F.lit(len(partition_order or []))
+    for i, p in enumerate(partition_order or []):
+        place = F.when(F.col("part") == p, F.lit(i)).otherwise(place)
+    label = F.col("_latest.label")
+    row = cells.groupBy("patient_id").agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), "part", label.alias("label")))).alias("_cells"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~label.isin(*FAILING_LABELS)).alias("passing"),
+    )
+    row = row.withColumn("_parts", n_parts.cast("bigint"))
     status = (
-        F.when((n_present == 1) & (F.lit(len(ordered)) > 1), "singleton")
-        .when(n_present < len(ordered), "incomplete")
-        .when(n_passing < len(ordered), "broken")
+        F.when((F.col("_n") == 1) & (F.col("_parts") > 1), "singleton")
+        .when(F.col("_n") < F.col("_parts"), "incomplete")
+        .when(F.col("passing") < F.col("_parts"), "broken")
         .otherwise("complete")
     )
-    return row.filter(n_present > 0).select(
+    table = row.select(
         "patient_id",
-        *[F.coalesce(c, F.lit(NONE_LABEL)).alias(p) for c, p in zip(cells, ordered)],
+        F.map_from_entries(F.transform("_cells", lambda c: F.struct(c["part"], c["label"]))).alias("labels"),
         status.alias("status"),
-        pick(lambda c: c.isNotNull()).alias("present"),
-        pick(lambda c: c.isNull()).alias("missing"),
-        n_passing.alias("passing"),
+        F.transform("_cells", lambda c: c["part"]).alias("present"),
+        (F.col("_parts") - F.col("_n")).alias("n_missing"),
+        "passing",
+    )
+    if partitions is None:
+        return table
+    first = [p for p in (partition_order or []) if p in partitions]
+    ordered = first + [p for p in partitions if p not in first]
+    return table.select(
+        "patient_id",
+        *[F.coalesce(F.try_element_at("labels", F.lit(p)), F.lit(NONE_LABEL)).alias(p) for p in ordered],
+        "status",
+        "present",
+        F.array_except(F.array(*[F.lit(p) for p in ordered]), F.col("present")).alias("missing"),
+        "passing",
     )
 
 

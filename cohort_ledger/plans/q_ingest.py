@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -205,6 +207,33 @@ def _(m: Model) -> DataFrame:
     return qc.autoflag_extract(_flag_results(m), "specimen_id")
 
 
+@query(
+    "autoflag_by_value",
+    """SELECT CAST(event_id AS VARCHAR) AS entity_id, form, CASE event_id % 5 WHEN 0 THEN 'fail' ELSE 'warn' END AS action
+       FROM events, (SELECT unnest(['double', 'bigint', 'boolean', 'text', 'token']) AS form) WHERE event_id % 5 IN (0, 1)""",
+)
+def _(m: Model) -> DataFrame:
+    """Flags as numbers, booleans and text: 0 fails, 1 passes, blanks, NaN and free text say nothing."""
+    turn = F.col("event_id") % 5
+    no, yes, silent = turn == 0, turn == 1, turn == 2
+    spelled = {
+        "double": [F.lit(0.0), F.lit(1.0), F.lit(float("nan"))],
+        "bigint": [F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.lit(None).cast("bigint")],
+        "boolean": [F.lit(False), F.lit(True), F.lit(None).cast("boolean")],
+        "text": [F.lit("0.0"), F.lit("1.0"), F.lit("nan")],
+        "token": [F.lit(" No "), F.lit("Yes"), F.lit("see the report")],
+    }
+    found = []
+    for form, (zero, one, blank) in spelled.items():
+        results = m.raw("events").select(
+            "event_id",
+            F.when(no, zero).when(silent, blank).otherwise(one).alias("qc_pass"),
+            F.when(yes, one).when(silent, blank).otherwise(zero).alias("qc_warn"),
+        )
+        found.append(qc.autoflag_extract(results, "event_id").select("entity_id", F.lit(form).alias("form"), "action"))
+    return reduce(DataFrame.unionAll, found)
+
+
 @query(
     "autoflag_apply",
     "WITH " + FLAGS_SQL

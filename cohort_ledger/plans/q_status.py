@@ -46,7 +46,7 @@ PAIR_TYPED = PAIR_SQL.format(
 
 
 def _pairs(m: Model, **options) -> DataFrame:
-    table = status.pair_by(*m.levels, "tissue_site", **options)
+    table = status.pair_by(*m.levels, "tissue_site", partitions=["F", "O", "P"], **options)
     return table.select(
         "patient_id",
         F.col("F").alias("f"),
@@ -233,6 +233,40 @@ def _(m: Model) -> DataFrame:
     return _pairs(m, assay_type="A")
 
 
+LONG_SQL = """
+    WITH label AS (
+      SELECT patient_id, CAST({part} AS VARCHAR) AS part, specimen_id,
+             CASE WHEN qc_status IN ('fail', 'censored', 'consent_revoked') THEN upper(qc_status) ELSE coalesce(qc_status, 'pass') END AS label
+      FROM specimens WHERE {part} IS NOT NULL AND CAST({part} AS VARCHAR) <> ''),
+    cell AS (SELECT patient_id, part, arg_max(label, specimen_id) AS label FROM label GROUP BY patient_id, part),
+    total AS (SELECT count(DISTINCT part) AS n_parts FROM label),
+    patient AS (
+      SELECT patient_id, count(*) AS n, string_agg(part, ',' ORDER BY part) AS present,
+             string_agg(part || '=' || label, ',' ORDER BY part) AS labels,
+             count(*) FILTER (WHERE label NOT IN ('FAIL', 'CENSORED', 'CONSENT_REVOKED', '(none)')) AS passing
+      FROM cell GROUP BY patient_id)
+    SELECT patient_id, labels, present, n_parts - n AS n_missing, passing,
+           CASE WHEN n = 1 AND n_parts > 1 THEN 'singleton' WHEN n < n_parts THEN 'incomplete'
+                WHEN passing < n_parts THEN 'broken' ELSE 'complete' END AS status
+    FROM patient, total"""
+
+
+def _long(m: Model, part: str) -> DataFrame:
+    table = status.pair_by(*m.levels, part)
+    labels = F.transform("present", lambda p: F.concat_ws("=", p, F.element_at("labels", p)))
+    return table.select("patient_id", F.array_join(labels, ",").alias("labels"), F.array_join("present", ",").alias("present"), "n_missing", "passing", "status")
+
+
+@query("pair_by_timepoint", LONG_SQL.format(part="timepoint"))
+def _(m: Model) -> DataFrame:
+    return _long(m, "timepoint")
+
+
+@query("pair_by_many_partitions", LONG_SQL.format(part="specimen_id"))
+def _(m: Model) -> DataFrame:
+    return _long(m, "specimen_id")
+
+
 @query("pair_by_require", PAIR_PLAIN + "SELECT count(*) FILTER (WHERE passing >= 2) AS require_satisfied FROM paired")
 def _(m: Model) -> DataFrame:
     return status.pair_by_require(status.pair_by(*m.levels, "tissue_site"), 2)

@@ -108,13 +108,13 @@ def test_empty_tables(cohort):
 
 def test_pair_by_paired_cohort(cohort, rows):
     patients, specimens, assays = cohort
-    fine = status.pair_by(patients, specimens, assays, "tissue_site", partition_order=["tumor", "normal"])
+    fine = status.pair_by(patients, specimens, assays, "tissue_site", partition_order=["tumor", "normal"], partitions=["normal", "tumor"])
     assert dict(rows(fine, "patient_id", "status")) == {
         "P1": "complete", "P2": "singleton", "P3": "singleton", "P4": "singleton"
     }
     assert fine.columns[1:3] == ["tumor", "normal"]
     broken = assays.withColumn("qc_status", F.when(F.col("assay_id") == "A2", "fail").otherwise("pass"))
-    typed = status.pair_by(patients, specimens, broken, "tissue_site", assay_type="ONT")
+    typed = status.pair_by(patients, specimens, broken, "tissue_site", assay_type="ONT", partitions=["normal", "tumor"])
     by_patient = {r.patient_id: r for r in typed.collect()}
     assert by_patient["P1"].status == "broken" and by_patient["P1"].normal == "FAIL"
     assert by_patient["P2"].tumor == "(none)" and by_patient["P3"].tumor == "CONSENT_REVOKED"
@@ -140,7 +140,18 @@ def test_highest_specimen_wins_in_a_partition(spark):
         [("1", "H1", "tumor", "pass"), ("2", "H1", "tumor", "fail")],
         "specimen_id string, patient_id string, site string, qc_status string",
     )
-    assert status.pair_by(None, specimens, None, "site").first().tumor == "FAIL"
+    assert status.pair_by(None, specimens, None, "site").first().labels == {"tumor": "FAIL"}
+
+
+def test_pair_by_has_no_bound_on_partitions(spark):
+    specimens = spark.range(12).selectExpr("CAST(id AS string) AS specimen_id", "id % 2 AS patient_id", "CAST(id AS string) AS part", "'pass' AS qc_status")
+    bound = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    try:
+        got = status.pair_by(None, specimens, None, "part", partition_order=["9"]).collect()
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", bound)
+    assert {r.patient_id: (r.present[:2], r.n_missing, r.passing, r.status) for r in got} == {0: (["0", "10"], 6, 6, "incomplete"), 1: (["9", "1"], 6, 6, "incomplete")}
 
 
 def test_matrix_and_next_up(cohort, rows):
