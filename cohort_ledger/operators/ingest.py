@@ -64,6 +64,25 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def _meeting(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both: numbers widen, text is the last resort."""
+    if a == b:
+        return a
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        whole = all(isinstance(t, T.IntegralType) for t in (a, b))
+        return T.LongType() if whole else T.DoubleType()
+    return T.StringType()
+
+
+def _aligned(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames with keys of one type, so that comparing them cannot fail."""
+    kind = _meeting(left.schema[key].dataType, right.schema[key].dataType)
+    return tuple(
+        f if f.schema[key].dataType == kind else f.withColumn(key, F.col(key).cast(kind))
+        for f in (left, right)
+    )
+
+
 def merge_fill(
     left: DataFrame,
     right: DataFrame,
@@ -74,11 +93,14 @@ def merge_fill(
     """One join that fills or replaces columns of ``left`` from unique ``right`` rows.
 
     Columns only on one side are kept.  With ``overwrite`` matched rows take the
-    right value even when it is NULL.
+    right value even when it is NULL.  Where both sides differ in type, keys are
+    compared and values kept in a type that holds both, text at the last.
     """
+    own_key = left.schema[key].dataType
+    left, right = _aligned(left, right, key)
     incoming = [c for c in right.columns if c != key]
     renamed = right.select(
-        F.col(key).cast(left.schema[key].dataType).alias(key),
+        key,
         F.lit(True).alias("_hit"),
         *[F.col(c).alias(f"_r{i}") for i, c in enumerate(incoming)],
     )
@@ -86,14 +108,17 @@ def merge_fill(
     right_of = {c: F.col(f"_r{i}") for i, c in enumerate(incoming)}
 
     def value(c: str) -> Column:
+        if c == key and not allow_new:  # only keys of the left are there
+            return F.col(c).cast(own_key).alias(c)
         if c == key or c not in right_of:
             return F.col(c)
         if c not in left.columns:
             return right_of[c].alias(c)
-        new = right_of[c].cast(left.schema[c].dataType)
+        kind = _meeting(left.schema[c].dataType, right.schema[c].dataType)
+        old, new = F.col(c).cast(kind), right_of[c].cast(kind)
         if overwrite:
-            return F.when(F.col("_hit"), new).otherwise(F.col(c)).alias(c)
-        return F.coalesce(F.col(c), new).alias(c)
+            return F.when(F.col("_hit"), new).otherwise(old).alias(c)
+        return F.coalesce(old, new).alias(c)
 
     columns = left.columns + [c for c in incoming if c not in left.columns]
     return merged.select(*[value(c) for c in columns])
@@ -186,13 +211,17 @@ def prefix_columns(results: DataFrame, prefix: str, key: str, analysis: str) ->
 
 def gate_missing_keys(results: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Result keys that the level table does not have; must be empty to load."""
-    return results.select(key).distinct().join(rows.select(key), key, "left_anti")
+    own = results.schema[key].dataType
+    asked, known = _aligned(results.select(key).distinct(), rows.select(key), key)
+    return asked.join(known, key, "left_anti").select(F.col(key).cast(own).alias(key))
 
 
 def gate_censored(results: DataFrame, rows: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Result keys whose own status forbids loading; empty when forced."""
     blocked = rows.filter(F.col("qc_status").isin(*QC_EXCLUDED)).select(key, "qc_status")
-    hits = blocked.join(results.select(key).distinct(), key, "left_semi")
+    own = rows.schema[key].dataType
+    blocked, asked = _aligned(blocked, results.select(key).distinct(), key)
+    hits = blocked.join(asked, key, "left_semi").select(F.col(key).cast(own).alias(key), "qc_status")
     return hits.limit(0) if force else hits
 
 

@@ -288,27 +288,28 @@ def _(m: Model) -> DataFrame:
 RING_SQL = """
     ring AS (
       SELECT 'cohort:ring' || (p_partkey // 5) || '@r' || p_partkey AS down_node,
-             'cohort:ring' || (p_partkey // 5) || '@r' || (CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END) AS up_node,
-             p_partkey // 5 AS grp
-      FROM part WHERE p_partkey < 5 * ((SELECT count(*) FROM part) // 5)),
+             'cohort:ring' || (p_partkey // 5) || '@r' || (CASE WHEN p_partkey = high THEN low ELSE p_partkey + 1 END) AS up_node,
+             p_partkey // 5 AS grp, p_partkey = high AS last
+      FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_partkey // 5) AS low,
+                   max(p_partkey) OVER (PARTITION BY p_partkey // 5) AS high FROM part)),
     ringed AS (
-      SELECT down_node, up_node FROM ring WHERE NOT (grp % 2 = 1 AND up_node LIKE '%@r' || (grp * 5))
+      SELECT down_node, up_node FROM ring WHERE NOT (grp % 2 = 1 AND last)
       UNION ALL SELECT a.node, 'cohort:ring' || (CAST(a.artifact_id AS BIGINT) // 5) || '@r' || a.artifact_id FROM artifacts a)
 """
 
 
 def _ringed(m: Model) -> DataFrame:
-    """Five-node rings over the parts, every other one cut open, with nodes pointing in."""
+    """Rings of five parts (fewer at the end), every other one cut open, with nodes pointing in."""
     part = m.raw("part")
     group = F.expr("p_partkey div 5")
 
     def name(key):
         return F.concat(F.lit("cohort:ring"), group.cast("string"), F.lit("@r"), key.cast("string"))
 
-    last = F.col("p_partkey") % 5 == 4
-    onward = F.when(last, F.col("p_partkey") - 4).otherwise(F.col("p_partkey") + 1)
-    total = part.agg(F.count(F.lit(1)).alias("n")).first().n
-    ring = part.filter(F.col("p_partkey") < 5 * (total // 5)).filter(~((group % 2 == 1) & last)).select(
+    ends = part.groupBy(group.alias("ring")).agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    last = F.col("p_partkey") == F.col("high")
+    onward = F.when(last, F.col("low")).otherwise(F.col("p_partkey") + 1)
+    ring = part.join(ends, group == F.col("ring")).filter(~((group % 2 == 1) & last)).select(
         name(F.col("p_partkey")).alias("down_node"), name(onward).alias("up_node")
     )
     inward = part.select(

@@ -6,6 +6,7 @@ import fnmatch
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +22,30 @@ def _strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _by_name(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str] | None = None, sep: str = "\t"
+) -> DataFrame:
+    """Columns of a delimited file by their header names, in the schema's types.
+
+    The file may hold the columns in any order, and others beside them.  Absent
+    columns are NULL unless ``required`` (all, if not given); a cell that does
+    not parse is NULL.  Files of a folder must agree in their header.
+    """
+    text = _delimited(spark, sep).option("enforceSchema", False).csv(path)
+    missing = [n for n in (schema.names if required is None else required) if n not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+
+    def cell(f: T.StructField):
+        value = F.col(f"`{f.name}`") if f.name in text.columns else F.lit(None).cast("string")
+        return (value if f.dataType == T.StringType() else F.trim(value).try_cast(f.dataType)).alias(f.name)
+
+    return text.select(*[cell(f) for f in schema.fields])
+
+
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A flat manifest.  Without a schema the types are sniffed over the file."""
-    reader = _delimited(spark)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return _by_name(spark, path, schema) if schema else _delimited(spark).option("inferSchema", True).csv(path)
 
 
 def _files_below(spark: SparkSession, root: str, pattern: str, max_depth: int) -> list[str]:
@@ -96,16 +117,14 @@ def read_levels(
 
 def read_sample_sheet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A wide sample sheet, every column text."""
-    reader = _delimited(spark)
-    return (reader.schema(_strings(columns)) if columns else reader).csv(path)
+    return _by_name(spark, path, _strings(columns)) if columns else _delimited(spark).csv(path)
 
 
 def read_results(
     spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
 ) -> DataFrame:
     """Summary tables of an analysis; a folder of files is one job."""
-    reader = _delimited(spark)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return _by_name(spark, path, schema) if schema else _delimited(spark).option("inferSchema", True).csv(path)
 
 
 def infer_layout(
@@ -162,21 +181,35 @@ def read_results_by_layout(
 def read_event_log(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """The provenance log as rows of the log schema.
 
-    Bad lines are dropped, or fail the read when ``strict``.  A log without
-    ``seq`` is numbered by position: the byte offset of its split plus the row
-    number in the task, which increases along a file.
+    A line that is no JSON object is dropped, or fails the read when ``strict``.
+    Each field is parsed by itself, so one odd field is NULL and the rest of its
+    line stays, whatever columns are asked for.  Lines without ``seq`` are
+    numbered through all files in the order of their names: by the place of the
+    file, then of the line in it (files of up to a terabyte).
     """
-    if strict:
-        rows = spark.read.schema(LOG_SCHEMA).option("mode", "FAILFAST").json(path)
-    else:
-        with_bad = T.StructType(LOG_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-        rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").json(path)
-    offset = F.col("_metadata.file_block_start")
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.select("*", (offset + in_task).alias("_position"))
-    if not strict:
-        rows = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return rows.withColumn("seq", F.coalesce("seq", "_position")).drop("_position")
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    first = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
+    files = lines.select("_file").distinct()
+    ranks = files.select("_file", (F.row_number().over(W.orderBy("_file")) - 1).cast("bigint").alias("_rank"))
+    place = F.col("_rank") * (1 << 40) + F.col("_block") + F.col("_id") - F.col("_first")
+    entry = F.parse_json("value") if strict else F.try_parse_json("value")
+    rows = (
+        lines.filter(F.trim("value") != "")
+        .join(first, ["_file", "_block"])
+        .join(ranks, "_file")
+        .select(place.alias("_place"), entry.alias("_entry"))
+        .filter(F.schema_of_variant("_entry").startswith("OBJECT"))
+    )
+
+    def field(f: T.StructField):
+        return F.try_variant_get("_entry", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+
+    return rows.select("_place", *[field(f) for f in LOG_SCHEMA.fields]).withColumn("seq", F.coalesce("seq", "_place")).drop("_place")
 
 
 def _required(frame: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -194,21 +227,25 @@ def _required(frame: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]
 def read_bulk_qc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Bulk censor rows, and the rows with a blank required cell."""
     names = ["level", "entity_id", "kind", "reason"]
-    frame = _delimited(spark).schema(_strings(names)).csv(path)
-    return _required(frame, names)
+    return _required(_by_name(spark, path, _strings(names)), names)
 
 
 def read_bulk_lineage(
     spark: SparkSession, path: str, kind: str = "links", sep: str = "\t"
 ) -> tuple[DataFrame, DataFrame]:
-    """Bulk batches or links; the delimiter is explicit."""
+    """Bulk batches or links; the delimiter is explicit.
+
+    Only the id column must be there, and for links one of the two targets.
+    """
     if kind == "batches":
         names, required = ["batch_id", "prep_date", "reagent_lot", "operator", "notes"], ["batch_id"]
     else:
         names = ["source_assay_id", "merged_assay_id", "consumer_specimen_id"]
         required = ["source_assay_id"]
-    frame = _delimited(spark, sep).option("enforceSchema", False).schema(_strings(names)).csv(path)
-    return _required(frame, required)
+        header = _delimited(spark, sep).csv(path).columns
+        if not set(names[1:]) & set(header):
+            raise ValueError(f"{path} has neither of the columns {names[1:]}")
+    return _required(_by_name(spark, path, _strings(names), required, sep), required)
 
 
 def parse_artifact_inputs(frame: DataFrame, column: str) -> DataFrame:
@@ -226,16 +263,21 @@ def parse_artifact_inputs(frame: DataFrame, column: str) -> DataFrame:
 
 
 def read_artifact_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """An inputs file: one id per line, or a table with a header and optional role."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value"))
-    lines = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#"))
+    """An inputs file: one id per line, or a table whose header names ``assay_id`` and maybe ``role``.
+
+    The first cell is the id.  A role counts only under a header of that name.
+    """
+    lines = spark.read.text(path)
+    top = lines.first()
+    names = [c.strip().lower() for c in top.value.split("\t")] if top else []
+    headed = bool(names) and names[0] == "assay_id"
+    if headed:
+        lines = lines.filter(F.col("value") != top.value)
     cells = F.split("value", "\t")
-    return (
-        lines.filter(F.get(cells, F.lit(0)) != "assay_id")
-        .select(
-            F.trim(F.get(cells, F.lit(0))).alias("assay_id"),
-            F.nullif(F.trim(F.get(cells, F.lit(1))), F.lit("")).alias("role"),
-        )
+    role = F.trim(F.get(cells, F.lit(names.index("role")))) if headed and "role" in names else F.lit(None).cast("string")
+    return lines.filter(F.trim("value") != "").select(
+        F.trim(F.get(cells, F.lit(0))).alias("assay_id"),
+        F.nullif(role, F.lit("")).alias("role"),
     )
 
 

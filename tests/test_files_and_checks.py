@@ -139,14 +139,39 @@ def test_layout(spark, tmp_path, rows):
     assert sorted(r[0] for r in rows(bad, "reject")) == ["level_disagrees", "no_template_matches", "tool_not_declared"]
 
 
+def test_columns_are_read_by_name(spark, tmp_path, rows):
+    bulk = tmp_path / "bulk.tsv"
+    bulk.write_text("entity_id\textra\tlevel\tkind\treason\nA1\tx\tassay\tqc_fail\tbad\n")
+    good, bad = sources.read_bulk_qc(spark, str(bulk))
+    assert rows(good, "level", "entity_id", "kind", "reason") == [("assay", "A1", "qc_fail", "bad")] and bad.isEmpty()
+    links = tmp_path / "links.tsv"
+    links.write_text("merged_assay_id\tsource_assay_id\nM\tA1\nM\t\n")
+    good, bad = sources.read_bulk_lineage(spark, str(links))
+    assert rows(good) == [("A1", "M", None)] and bad.first().reject == "blank: source_assay_id"
+    links.write_text("source_assay_id\tnote\nA1\tx\n")
+    with pytest.raises(ValueError):
+        sources.read_bulk_lineage(spark, str(links))
+    batches = tmp_path / "batches.csv"
+    batches.write_text("operator,batch_id\nann,b1\n")
+    assert rows(sources.read_bulk_lineage(spark, str(batches), "batches", ",")[0]) == [("b1", None, None, "ann", None)]
+    table = tmp_path / "table.tsv"
+    table.write_text("x\tid\n1.5\t7\nbad\t8\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.DoubleType())])
+    assert rows(sources.read_manifest(spark, str(table), schema)) == [(7, 1.5), (8, None)]
+    assert rows(sources.read_results(spark, str(table), schema)) == [(7, 1.5), (8, None)]
+    assert rows(sources.read_sample_sheet(spark, str(table), ["id", "x"])) == [("7", "1.5"), ("8", "bad")]
+
+
 def test_small_readers(spark, tmp_path, rows):
     bulk = tmp_path / "bulk.tsv"
     bulk.write_text("level\tentity_id\tkind\treason\nassay\tA1\tqc_fail\tbad\nassay\tA2\tqc_fail\t\n")
     good, bad = sources.read_bulk_qc(spark, str(bulk))
     assert rows(good, "entity_id") == [("A1",)] and rows(bad, "entity_id", "reject") == [("A2", "blank: reason")]
     inputs = tmp_path / "inputs.txt"
-    inputs.write_text("assay_id\trole\nA1\ttumor\nA2\t\n\n# note\n")
-    assert rows(sources.read_artifact_inputs(spark, str(inputs))) == [("A1", "tumor"), ("A2", None)]
+    inputs.write_text("Assay_ID\tnote\tRole\nA1\tx\ttumor\nA2\ty\t\n\n#A3\n")
+    assert rows(sources.read_artifact_inputs(spark, str(inputs))) == [("#A3", None), ("A1", "tumor"), ("A2", None)]
+    inputs.write_text("A1\t/data/a1.bam\n")
+    assert rows(sources.read_artifact_inputs(spark, str(inputs))) == [("A1", None)]
     listed = spark.createDataFrame([("x", "A1:tumor, A2,A3:")], "artifact_id string, inputs string")
     assert rows(sources.parse_artifact_inputs(listed, "inputs"), "assay_id", "role") == [("A1", "tumor"), ("A2", None), ("A3", None)]
     samples = tmp_path / "samples.txt"

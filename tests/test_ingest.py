@@ -214,3 +214,31 @@ def test_whole_append(spark, levels, rows):
     assert out["candidate_edges"].count() == 2
     once = ingest.append_results(levels["assay"], results, "assay", "cov", "d")
     assert rows(ingest.append_results(once, results, "assay", "cov", "e")) == rows(once)
+
+
+def test_merges_across_types(spark, rows):
+    manifest = spark.createDataFrame([(1, None, "a"), (2, 5, None)], "id int, n int, note string")
+    results = spark.createDataFrame([("1", "NA?", 3.5), ("x9", "7", 1.0)], "id string, n string, note double")
+    assert rows(ingest.fill_only(manifest, results, "id"), "id", "n", "note") == [(1, "NA?", "a"), (2, "5", None)]
+    flat = ingest.append_flat(manifest, results.select("id", "n"), "id", "cov", "t", allow_new=True)
+    assert rows(flat, "id", "n") == [("1", "NA?"), ("2", "5"), ("x9", "7")]
+    wide = spark.createDataFrame([(1, 2.5)], "id bigint, n double")
+    assert rows(ingest.append_flat(manifest, wide, "id", "cov", "t"), "id", "n") == [(1, 2.5), (2, 5.0)]
+    missing = ingest.gate_missing_keys(results, manifest, "id")
+    assert rows(missing) == [("x9",)]
+    censored = manifest.withColumn("qc_status", F.lit("fail"))
+    assert rows(ingest.gate_censored(results, censored, "id")) == [(1, "fail")]
+
+
+def test_flags_of_any_type(spark, rows):
+    from cohort_ledger.operators import qc
+
+    table = spark.createDataFrame(
+        [("a", 0.0, "0.0"), ("b", 1.0, "1.0"), ("c", float("nan"), "nan"), ("d", None, " NO "), ("e", 2.0, "fine, 0 errors"), ("f", -0.0, "infinity")],
+        "id string, qc_pass double, as_text string",
+    )
+    assert rows(qc.autoflag_extract(table, "id"), "entity_id") == [("a",), ("f",)]
+    spelled = table.select("id", F.col("as_text").alias("qc_pass"))
+    assert rows(qc.autoflag_extract(spelled, "id"), "entity_id") == [("a",), ("d",)]
+    warned = table.select("id", F.col("qc_pass").alias("qc_warn"))
+    assert rows(qc.autoflag_extract(warned, "id"), "entity_id") == [("b",), ("e",)]

@@ -239,3 +239,13 @@ def test_log_reports(spark, rows):
     assert timing["censor"].n_jobs == 1 and timing["censor"].median_s is None
     assert rows(status.analysis_columns(log)) == [("merge", "merge_done"), ("merge", "x")]
     assert rows(status.last_status_change(log), "project_id", "to_status") == [("p", "archived")]
+
+
+def test_event_log_of_several_files_and_odd_fields(spark, tmp_path):
+    for name, ids in (("a.jsonl", "12"), ("b.jsonl", "345")):
+        (tmp_path / name).write_text("".join('{"action": "censor", "entity_id": "%s", "columns_added": "text"}\n' % i for i in ids))
+    log = sources.read_event_log(spark, str(tmp_path))
+    got = log.orderBy("seq").collect()
+    assert [r.entity_id for r in got] == list("12345") and len({r.seq for r in got}) == 5
+    assert log.select("entity_id", "columns_added").count() == log.select("entity_id").count() == 5
+    assert sources.read_event_log(spark, str(tmp_path), strict=True).count() == 5
