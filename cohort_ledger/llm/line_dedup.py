@@ -147,38 +147,33 @@ def candidates(all_lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHAR
     return pairs.distinct(), texts
 
 
-def _common(a: str, b: str, most: str, back: bool) -> Column:
-    """Length of the common prefix (or suffix) of two texts, ``most`` at most, by halving steps."""
-    piece = (lambda x: f"substring({x}, length({x}) - p - s + 1, s)") if back else (lambda x: f"substring({x}, p + 1, s)")
-    steps = f"transform(sequence(CAST(floor(log2({most} + 1)) AS int), 0, -1), e -> shiftleft(1, e))"
-    return F.expr(f"aggregate({steps}, 0, (p, s) -> if(p + s <= {most} AND {piece(a)} = {piece(b)}, p + s, p))")
-
-
 def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
+    """``use`` of a value that is worked out once, wherever the optimizer moves it."""
     return F.transform(F.array(value), use)[0]
 
 
-def within(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The rows of (..., longer, shorter) whose texts are at most ``edits`` edits apart.
+def _common(a: Column, b: Column, most: Column, start) -> Column:
+    """Length of the common run of two texts, ``most`` at most, by halving steps.
 
-    Common ends are cut off.  A column of the distance matrix is kept as two
-    words of ``2 * edits + 1`` bits, the rises and falls down a band around the
-    diagonal, and moved on by a character of the shorter text at a time.
-    ``score`` follows the band's lower edge; once it is beyond ``edits`` and all
-    that the band above could win back, the pair is given up.
+    ``start`` gives the place of the next ``step`` characters behind ``have``.
     """
-    k, width = edits, 2 * edits + 1
-    mask = (1 << width) - 1
+    highest = F.floor(F.log2(most + 1)).cast("int")
+    steps = F.transform(F.sequence(highest, F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+    same = lambda have, step: F.substring(a, start(a, have, step), step) == F.substring(b, start(b, have, step), step)
+    return F.aggregate(steps, F.lit(0), lambda have, step: F.when((have + step <= most) & same(have, step), have + step).otherwise(have))
+
+
+def _characters(text: Column, start: Column, size: Column) -> Column:
+    return F.regexp_extract_all(F.substring(text, start, size), F.lit("(?s)."), F.lit(0))
+
+
+def _distance(longer: Column, shorter: Column, gap: Column, k: int) -> Column:
+    """Edit distance of two arrays of characters, right up to ``k`` and larger beyond."""
+    width, mask = 2 * k + 1, (1 << (2 * k + 1)) - 1
     cover = lambda x: x.bitwiseAND(F.lit(mask))
-    rows = rows.withColumn("head", _common("longer", "shorter", "length(shorter)", False))
-    rows = rows.withColumn("tail", _common("longer", "shorter", "(length(shorter) - head)", True))
-    for side in ("longer", "shorter"):
-        rows = rows.withColumn(f"{side}_mid", F.expr(f"regexp_extract_all(substring({side}, head + 1, length({side}) - head - tail), '(?s).', 0)"))
-    rows = rows.withColumn("gap", F.size("longer_mid") - F.size("shorter_mid")).where(F.col("gap") <= k)
 
     def equal_at(x):
-        bits = [F.when(F.get("longer_mid", x["j"] + (b - k)) == x["c"], 1 << b).otherwise(0) for b in range(width)]
+        bits = [F.when(F.get(longer, x["j"] + (b - k)) == x["c"], 1 << b).otherwise(0) for b in range(width)]
         whole = bits[0]
         for bit in bits[1:]:
             whole = whole.bitwiseOR(bit)
@@ -196,14 +191,39 @@ def within(rows: DataFrame, edits: int = EDITS) -> DataFrame:
         return _let(_let(_let(equal_at(x), diagonal), across), down)
 
     def settled(s):
-        above = F.expr(f"shiftleft(1, {k} - gap) - 1")
-        rise = lambda v: F.bit_count(F.call_function("shiftright", v, F.col("gap") + k).bitwiseAND(above))
+        above = F.call_function("shiftleft", F.lit(1), F.lit(k) - gap) - 1
+        rise = lambda v: F.bit_count(F.call_function("shiftright", v, gap + k).bitwiseAND(above))
         return s["score"] - rise(s["vp"]) + rise(s["vn"])
 
     start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("score"))
-    text = F.transform("shorter_mid", lambda c, j: F.struct(c.alias("c"), j.alias("j")))
-    distance = F.aggregate(text, start, lambda s, x: F.when(s["score"] > 2 * k - F.col("gap"), s).otherwise(moved(s, x)), settled)
-    return rows.withColumn("distance", F.when(F.size("shorter_mid") == 0, F.col("gap")).otherwise(distance)).where(F.col("distance") <= k)
+    text = F.transform(shorter, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+    return F.aggregate(text, start, lambda s, x: F.when(s["score"] > 2 * k - gap, s).otherwise(moved(s, x)), settled)
+
+
+def within(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The rows of (..., longer, shorter) at most ``edits`` edits apart, with their ``distance``.
+
+    Common ends are cut off.  A column of the distance matrix is kept as two
+    words of ``2 * edits + 1`` bits, the rises and falls down a band around the
+    diagonal, and moved on by a character of the shorter text at a time.
+    ``score`` follows the band's lower edge; once it is beyond ``edits`` and all
+    that the band above could win back, the pair is given up.
+    """
+
+    def measured(t):
+        a, b = t["longer"], t["shorter"]
+        head = _common(a, b, F.length(b), lambda x, have, step: have + 1)
+        tail = lambda h: _common(a, b, F.length(b) - h, lambda x, have, step: F.length(x) - have - step + 1)
+        middle = lambda e: F.struct(
+            _characters(a, e["head"] + 1, F.length(a) - e["head"] - e["tail"]).alias("longer"),
+            _characters(b, e["head"] + 1, F.length(b) - e["head"] - e["tail"]).alias("shorter"),
+        )
+        ends = _let(head, lambda h: F.struct(h.alias("head"), tail(h).alias("tail")))
+        gap = F.length(a) - F.length(b)
+        return _let(_let(ends, middle), lambda m: F.when(F.size(m["shorter"]) == 0, gap).otherwise(_distance(m["longer"], m["shorter"], gap, edits)))
+
+    near = rows.where(F.length("longer") - F.length("shorter") <= edits)
+    return near.withColumn("distance", _let(F.struct("longer", "shorter"), measured)).where(F.col("distance") <= edits)
 
 
 def links(all_lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
