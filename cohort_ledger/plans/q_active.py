@@ -276,11 +276,11 @@ def _(m: Model) -> DataFrame:
     "merge_outer",
     """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, '') AS lang,
               coalesce(l.toxic, -1) AS toxic
-       FROM (SELECT doc_id, lang FROM documents WHERE lang <> 'en') d
+       FROM (SELECT CASE WHEN lang <> 'en' THEN doc_id ELSE -1 - doc_id END AS doc_id, lang FROM documents) d
        FULL JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def _(m: Model) -> DataFrame:
-    others = m.raw("documents").filter("lang <> 'en'").select("doc_id", "lang")
+    others = m.raw("documents").selectExpr("CASE WHEN lang <> 'en' THEN doc_id ELSE -1 - doc_id END AS doc_id", "lang")
     out = views.merge_outer(others, m.raw("labels").select("doc_id", "toxic"), "doc_id")
     return out.fillna("", ["lang"]).fillna(-1, ["toxic"])
 

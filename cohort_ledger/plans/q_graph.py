@@ -164,7 +164,9 @@ def _(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     outputs = m.cohort_artifacts.select(F.lit("cohort").alias("scope"), "artifact_id")
-    usage = m.reference_usage.filter("version_used <> 'v0'")
+    untracked = F.col("version_used") == "v0"
+    other = F.when(untracked, F.concat(F.lit("other-"), "artifact_id")).otherwise(F.col("artifact_id"))
+    usage = m.reference_usage.withColumn("artifact_id", other)
     out = art.output_staleness(outputs, usage, m.reference_artifacts)
     return out.select("artifact_id", "state", F.array_join("reasons", "; ").alias("reasons"))
 

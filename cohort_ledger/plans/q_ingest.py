@@ -85,13 +85,16 @@ def _(m: Model) -> DataFrame:
 @query(
     "append_flat_allow_new",
     """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.source, '') AS source,
-              CAST(coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.n_chars END, l.quality, -1) AS INTEGER) AS quality,
+              CAST(coalesce(CASE WHEN d.filled THEN d.n_chars END, l.quality, -1) AS INTEGER) AS quality,
               coalesce(l.toxic, -1) AS toxic,
               CASE WHEN l.doc_id IS NOT NULL THEN '2024-06-01' ELSE '' END AS labels_done
-       FROM (SELECT * FROM documents WHERE lang <> 'en') d FULL JOIN labels l ON l.doc_id = d.doc_id""",
+       FROM (SELECT * REPLACE (CASE WHEN lang <> 'en' THEN doc_id ELSE -1 - doc_id END AS doc_id),
+                    doc_id % 3 = 0 AS filled FROM documents) d FULL JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def _(m: Model) -> DataFrame:
-    manifest = _documents(m).join(m.raw("documents").filter("lang <> 'en'").select("doc_id"), "doc_id", "left_semi")
+    own = F.when(F.col("lang") != "en", F.col("doc_id")).otherwise(-1 - F.col("doc_id"))
+    keys = m.raw("documents").select("doc_id", own.alias("_own"))
+    manifest = _documents(m).join(keys, "doc_id").withColumn("doc_id", F.col("_own")).drop("_own")
     out = ingest.append_flat(manifest, _labels(m), "doc_id", "labels", "2024-06-01", allow_new=True)
     return out.fillna(-1, ["quality", "toxic"]).fillna("", ["labels_done", "source"])
 
@@ -365,25 +368,6 @@ def _(m: Model) -> DataFrame:
     )
 
 
-@query(
-    "route_columns",
-    """SELECT 'patient' AS level, 'cohort,patient_id,site' AS "columns", CAST(count(*) AS BIGINT) AS n FROM sheet
-       UNION ALL SELECT 'specimen', 'patient_id,specimen_id,timepoint,tissue_site', count(*) FROM sheet
-       UNION ALL SELECT 'assay', 'assay_id,assay_type,batch_id,specimen_id', count(*) FROM sheet""",
-)
-def _(m: Model) -> DataFrame:
-    routed = ingest.route_columns(m.sheet.columns)
-    labels = [
-        F.struct(F.lit(lv).alias("level"), F.lit(",".join(sorted(cols))).alias("columns"))
-        for lv, cols in routed.items()
-    ]
-    return (
-        m.sheet.agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(F.array(*labels)).alias("_r"), "n")
-        .select("_r.*", "n")
-    )
-
-
 def _dirty_sheet(m: Model) -> DataFrame:
     """The sheet with planted conflicts and blanks."""
     number = F.split_part("assay_id", F.lit("-"), F.lit(2)).cast("int")
@@ -452,15 +436,17 @@ def _(m: Model) -> DataFrame:
     "dry_run_counts",
     """SELECT 'patient' AS level, count(DISTINCT patient_id) FILTER (WHERE cohort = 'BUILDING') AS n_existing,
               count(DISTINCT patient_id) FILTER (WHERE cohort <> 'BUILDING') AS n_new FROM sheet
-       UNION ALL SELECT 'specimen', count(DISTINCT specimen_id), 0 FROM sheet""",
+       UNION ALL SELECT 'specimen', count(DISTINCT specimen_id), 0 FROM sheet
+       UNION ALL SELECT 'assay', count(DISTINCT assay_id), 0 FROM sheet""",
 )
 def _(m: Model) -> DataFrame:
-    frames = ingest.explode_sheet(m.sheet)
-    have = m.patients.filter("cohort = 'BUILDING'")
-    return ingest.dry_run_counts(
-        {"patient": frames["patient"], "specimen": frames["specimen"]},
-        {"patient": have, "specimen": m.specimens},
-    )
+    return ingest.dry_run_counts(ingest.explode_sheet(m.sheet), {**m.tables, "patient": _half_known(m)})
+
+
+def _half_known(m: Model) -> DataFrame:
+    """The patients, those outside one cohort under other ids."""
+    own = F.when(F.col("cohort") == "BUILDING", F.col("patient_id")).otherwise(F.concat(F.lit("x"), "patient_id"))
+    return m.patients.withColumn("patient_id", own)
 
 
 @query(
@@ -469,8 +455,7 @@ def _(m: Model) -> DataFrame:
        FROM assay_rows a JOIN specimens s ON s.specimen_id = a.specimen_id JOIN patients p ON p.patient_id = s.patient_id""",
 )
 def _(m: Model) -> DataFrame:
-    empty = {lv: frame.limit(0) for lv, frame in m.tables.items()}
-    out = ingest.register_cohort(m.sheet, empty)
+    out = ingest.register_cohort(m.sheet, {**m.tables, "patient": _half_known(m)})
     return (
         out["assay"].select("assay_id", "specimen_id", "assay_type")
         .join(out["specimen"].select("specimen_id", "patient_id", "tissue_site"), "specimen_id")

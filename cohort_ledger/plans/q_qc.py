@@ -382,19 +382,6 @@ def _(m: Model) -> DataFrame:
     )
 
 
-@query(
-    "replay_qc_log_chunked",
-    "WITH " + REPLAY_SQL + """
-       SELECT id, p.level, p.entity_id, kind, after IS NULL AS active FROM paired p
-       JOIN known k ON k.level = p.level AND k.entity_id = p.entity_id WHERE op = 'open'""",
-)
-def _(m: Model) -> DataFrame:
-    events = replay.replay_qc_log(m.qc_log, *m.levels, chunk=500)["events"]
-    return events.select(
-        "id", "level", "entity_id", "kind", F.col("resolved_at").isNull().alias("active")
-    )
-
-
 @query(
     "replay_warnings",
     "WITH " + REPLAY_SQL + """
@@ -429,7 +416,7 @@ def _(m: Model) -> DataFrame:
     second = docs.select(
         F.lit("second.tsv").alias("results_file"), key, F.col("lang").alias("cohort"), F.col("source").alias("site")
     )
-    log = m.raw("region").filter("r_regionkey < 2").select(
+    log = m.raw("region").select(
         F.col("r_regionkey").cast("bigint").alias("seq"),
         F.lit("add_metadata").alias("action"),
         F.lit("patient").alias("level"),

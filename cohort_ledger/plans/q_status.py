@@ -319,18 +319,6 @@ def _(m: Model) -> DataFrame:
     return status.completion_matrix(m.specimens, "specimen", m.assays)
 
 
-@query(
-    "row_level_choice",
-    """SELECT 'assay' AS row_level, analysis, count(done) AS done FROM done_pivot GROUP BY analysis""",
-)
-def _(m: Model) -> DataFrame:
-    frames = m.tables
-    level = status.row_level_choice(frames)
-    return status.completion_counts(frames[level]).select(
-        F.lit(level).alias("row_level"), "analysis", "done"
-    )
-
-
 @query(
     "next_up",
     """WITH ready AS (

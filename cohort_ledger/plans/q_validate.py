@@ -23,16 +23,6 @@ def _with_columns(level: str, *columns: ColumnSpec):
     return replace(DEFAULT_SCHEMA, levels=tuple(levels))
 
 
-@query(
-    "declared_missing",
-    """SELECT 'specimens' AS "table", 'tumor_purity' AS "key", count(*) AS n_rows FROM orders""",
-)
-def _(m: Model) -> DataFrame:
-    schema = _with_columns("specimen", ColumnSpec("tumor_purity", "REAL"))
-    found = validate.declared_missing(m.tables, schema)
-    return found.select("table", "key", m.specimens.agg(F.count(F.lit(1))).scalar().alias("n_rows"))
-
-
 @query(
     "fk_orphans",
     """SELECT 'specimens' AS "table", specimen_id AS "key", patient_id AS detail FROM specimens
@@ -192,19 +182,6 @@ def _(m: Model) -> DataFrame:
     return validate.flat_empty_columns(manifest).select("key")
 
 
-@query(
-    "flat_schema",
-    """SELECT 'recorded_missing' AS "check", 'perplexity' AS "key", count(*) AS n_rows FROM documents
-       UNION ALL SELECT 'done_without_data', 'dedup_done', count(*) FROM documents""",
-)
-def _(m: Model) -> DataFrame:
-    manifest = m.raw("documents").select(
-        "doc_id", "n_chars", F.lit("x").alias("n_done"), F.lit("x").alias("dedup_done")
-    )
-    found = validate.flat_schema(manifest, {"score": ["perplexity", "n_chars"]}, "doc_id")
-    return found.select("check", "key", manifest.agg(F.count(F.lit(1))).scalar().alias("n_rows"))
-
-
 ODD_IDS_SQL = """
     odd AS (
       SELECT p_partkey,
@@ -266,19 +243,6 @@ def _(m: Model) -> DataFrame:
     return validate.case_variants(tables).select("key")
 
 
-@query(
-    "schema_drift",
-    """SELECT 'undeclared_column' AS "check", 'specimens' AS "table", 'collection_date' AS "key", count(*) AS n_events FROM events
-       UNION ALL SELECT 'undeclared_column', 'assays', 'n_reads', count(*) FROM events""",
-)
-def _(m: Model) -> DataFrame:
-    from cohort_ledger.operators.status import analysis_columns
-
-    found = validate.schema_drift(m.tables, analysis_columns(job_log(m)))
-    total = m.raw("events").agg(F.count(F.lit(1))).scalar()
-    return found.select("check", "table", "key", total.alias("n_events"))
-
-
 @query(
     "constraints",
     """SELECT 'patients' AS "table", c_mktsegment AS "key", 'unique:cohort' AS detail FROM customer GROUP BY 2 HAVING count(*) > 1
