@@ -50,6 +50,20 @@ def neighbour(
     )
 
 
+def last_before(rows: DataFrame, keys: list[str], order: str, marked, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``: the ``order`` of the last earlier row of a key for which ``marked`` holds.
+
+    As in ``neighbour``, chunks of the order keep a hot key in many tasks.
+    """
+    rows = rows.withColumn("_at", F.when(marked, F.col(order))).withColumn("_chunk", F.floor(F.col(order) / chunk))
+    inside = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_chunk").agg(F.max("_at").alias("_top"))
+    before = tops.select(*keys, "_chunk", F.max("_top").over(across).alias("_far"))
+    local = rows.withColumn("_near", F.max("_at").over(inside))
+    return local.join(before, [*keys, "_chunk"], "left").withColumn(name, F.coalesce("_near", "_far")).drop("_at", "_chunk", "_near", "_far")
+
+
 def _entries(log: DataFrame) -> DataFrame:
     """Log rows as single open and close entries on ``(level, entity_id, kind)``.
 
@@ -146,10 +160,11 @@ def replay_qc_log(
     """Events, consent updates and warnings from the log.
 
     An open entry counts unless its key is already open or its entity is
-    missing; a close entry closes the open event of its key, named directly or
-    through the id of the entry that opened it.  Batch reversals close every
-    open event of an entity.  The entries and their order are each written
-    once, because later steps read them several times.
+    missing.  A close entry that names an id opened before it closes that event
+    and no other: only the first such entry counts, and only if no close by key
+    came between.  Any other close entry closes the open event of its key.
+    Batch reversals close every open event of an entity.  The entries and their
+    order are each written once, because later steps read them several times.
     """
     frames = {"patient": patients, "specimen": specimens, "assay": assays}
     known = reduce(
@@ -168,16 +183,21 @@ def replay_qc_log(
     named = (
         opens.filter(F.col("qc_event_id").isNotNull())
         .groupBy("qc_event_id")
-        .agg(F.min(F.struct(*ACTIVE_KEY)).alias("_k"))
+        .agg(F.min("seq").alias("_opened"), F.min_by(F.struct(*ACTIVE_KEY), "seq").alias("_k"))
     )
-    by_id = closes.filter(F.col("qc_event_id").isNotNull()).join(named, "qc_event_id", "left")
-    by_id = by_id.select(
-        *[
-            (F.coalesce(F.col(f"_k.{c}"), F.col(c)).alias(c) if c in ACTIVE_KEY else F.col(c))
-            for c in entries.columns
-        ]
+    with_id = closes.filter(F.col("qc_event_id").isNotNull()).join(named, "qc_event_id", "left")
+    late = F.col("_opened") < F.col("seq")
+    as_key = with_id.filter(~F.coalesce(late, F.lit(False))).select(*entries.columns)
+    first = (
+        with_id.filter(late)
+        .groupBy("qc_event_id")
+        .agg(F.min_by(F.struct(*[c for c in with_id.columns if c != "qc_event_id"]), "seq").alias("_c"))
+        .select("qc_event_id", "_c.*")
+    )
+    by_id = first.select(
+        *[(F.col(f"_k.{c}").alias(c) if c in ACTIVE_KEY else F.col(c)) for c in entries.columns], "_opened"
     )
-    by_key = closes.filter(F.col("qc_event_id").isNull())
+    by_key = closes.filter(F.col("qc_event_id").isNull()).unionByName(as_key)
     opened_kinds = opens.select(*ACTIVE_KEY).distinct()
     all_kinds = (
         entries.filter(F.col("op") == "close_all")
@@ -187,7 +207,12 @@ def replay_qc_log(
         .withColumn("qc_event_id", F.lit("*"))
         .select(*entries.columns)
     )
-    steps = opens.unionByName(by_id).unionByName(by_key).unionByName(all_kinds)
+    never = F.lit(None).cast("bigint").alias("_opened")
+    by_keys = by_key.unionByName(all_kinds)
+    closings = by_id.unionByName(by_keys.select("*", never))
+    closings = last_before(closings, ACTIVE_KEY, "seq", F.col("_opened").isNull(), "_closed", chunk)
+    spent = F.coalesce(F.col("_closed") > F.col("_opened"), F.lit(False))
+    steps = opens.unionByName(closings.filter(~spent).select(*entries.columns))
 
     marked = cut(neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk))
     before = F.coalesce(F.col("_prev.op"), F.lit("close"))

@@ -249,3 +249,28 @@ def test_event_log_of_several_files_and_odd_fields(spark, tmp_path):
     assert [r.entity_id for r in got] == list("12345") and len({r.seq for r in got}) == 5
     assert log.select("entity_id", "columns_added").count() == log.select("entity_id").count() == 5
     assert sources.read_event_log(spark, str(tmp_path), strict=True).count() == 5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replay_closes_by_id(spark, cohort, seed):
+    """Late, repeated and unknown ids: a close that names an event resolves that one or nothing."""
+    rng = random.Random(seed)
+    known = [("patient", r.patient_id) for r in cohort[0].collect()][:3]
+    opened, events, entries = {}, {}, []
+    for seq in range(150):
+        level, entity = rng.choice(known)
+        key = (level, entity, "qc_fail")
+        base = {"seq": seq, "timestamp": f"2024-01-01T00:{seq // 60:02d}:{seq % 60:02d}", "level": level, "entity_id": entity, "kind": "qc_fail"}
+        if key not in opened and rng.random() < 0.6:
+            entries.append({**base, "action": "censor", "qc_event_id": str(seq)})
+            opened[key], events[str(seq)] = str(seq), [key, None]
+            continue
+        named = rng.choice([None, str(rng.randrange(150)), *list(events)[-4:]])
+        entries.append({**base, "action": "uncensor", "qc_event_id": named})
+        target = named if named in events else opened.get(key)
+        if target is not None and events[target][1] is None:
+            events[target][1] = base["timestamp"]
+            del opened[events[target][0]]
+    for chunk in (7, 1_000_000):
+        got = replay.replay_qc_log(log_rows(spark, entries), *cohort, chunk=chunk)["events"].collect()
+        assert {r.id: r.resolved_at is not None for r in got} == {i: e[1] is not None for i, e in events.items()}
