@@ -30,14 +30,73 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _thin(steps: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Nodes with one step in and one step out, but for those in ``keep``."""
+    once = lambda c: steps.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("node")
+    thin = once("_from").join(once("_to"), "node", "left_semi")
+    return checkpointed(thin if keep is None else thin.join(keep, "node", "left_anti"))
+
+
+def _chain_ends(steps: DataFrame, thin: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, end)`` of each thin node: where its chain leaves the thin nodes; and the nodes of pure rings.
+
+    Pointers double in each round, so a chain of n nodes takes log n rounds.
+    A round settles some node of every chain that is still open; when none is
+    settled, only rings are left.
+    """
+    here = thin.select(F.col("node").alias("_t"))
+    pointers = checkpointed(steps.join(here, F.col("_from") == F.col("_t"), "left_semi").select(F.col("_from").alias("node"), F.col("_to").alias("end")))
+    still = None
+    while True:
+        open_ends = pointers.join(here, F.col("end") == F.col("_t"), "left_semi")
+        left = open_ends.count()
+        if left in (0, still):
+            rings = open_ends.select("node")
+            return pointers.join(rings, "node", "left_anti"), rings
+        still = left
+        further = pointers.select(F.col("node").alias("_t"), F.col("end").alias("_further"))
+        pointers = checkpointed(
+            pointers.join(further, F.col("end") == F.col("_t"), "left").select("node", F.coalesce("_further", "end").alias("end"))
+        )
+
+
+def _reversed(steps: DataFrame) -> DataFrame:
+    return steps.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+
+
 def fixpoint(
     seed: DataFrame, steps: DataFrame, key: str = "node", hops: int = HOPS_PER_ROUND
 ) -> DataFrame:
     """All rows reachable from ``seed`` in one or more steps.
 
     ``steps`` has columns ``(_from, _to)``.  Columns of ``seed`` other than
-    ``key`` are carried along; a row is expanded once, so cycles end.
+    ``key`` are carried along; a row is expanded once, so cycles end.  Chains
+    without branches are walked as one step, and their nodes then get what
+    the start of the chain has.
     """
+    steps = checkpointed(steps.distinct())
+    keep = seed.select(F.col(key).alias("node")).distinct()
+    thin = _thin(steps, keep)
+    if thin.isEmpty():
+        return _walk(seed, steps, key, hops)
+    starts, rings = _chain_ends(_reversed(steps), thin)
+    inner = starts.select(F.col("node").alias("_inner"), F.col("end").alias("_start"))
+    here = thin.select(F.col("node").alias("_t"))
+    short = (
+        steps.join(here, F.col("_to") == F.col("_t"), "left_anti")
+        .join(inner, F.col("_from") == F.col("_inner"), "left")
+        .select(F.coalesce("_start", "_from").alias("_from"), "_to")
+    )
+    found = checkpointed(_walk(seed, short, key, hops))
+    ahead = found.unionByName(seed).distinct()
+    within = ahead.join(inner, F.col(key) == F.col("_start")).select(
+        *[F.col("_inner").alias(c) if c == key else F.col(c) for c in seed.columns]
+    )
+    return found.unionByName(within)
+
+
+def _walk(seed: DataFrame, steps: DataFrame, key: str, hops: int) -> DataFrame:
+    """The rounds of ``fixpoint``."""
     columns = seed.columns
     carried = [c for c in columns if c != key]
 
@@ -286,14 +345,41 @@ def _smallest_ancestor(edges: DataFrame, steps: int = 1) -> DataFrame:
 def find_cycles(edges: DataFrame) -> DataFrame:
     """Every edge that lies on a cycle; empty for an acyclic graph.
 
-    Edges outside the cyclic core are trimmed first.  The core is split into
+    Chains without branches are taken as one edge, and rings without branches are
+    cycles as they are.  Edges outside the cyclic core are trimmed.  The core is split into
     strongly connected components by colouring: a node's colour is the smallest
     node that reaches it, and the component of a colour's root is what reaches
     the root inside the colour.  Memory stays linear in the edges; no pairs of
     mutually reachable nodes are formed.
     """
     edges = checkpointed(edges.select("down_node", "up_node").distinct())
-    cyclic = [edges.filter(F.col("down_node") == F.col("up_node"))]
+    loops = edges.filter(F.col("down_node") == F.col("up_node"))
+    steps = _up_steps(edges.filter(F.col("down_node") != F.col("up_node")))
+    thin = _thin(steps)
+    if thin.isEmpty():
+        return loops.unionByName(_core_cycles(edges))
+    ends, rings = _chain_ends(steps, thin)
+    starts, _ = _chain_ends(_reversed(steps), thin)
+    tails = starts.select(F.col("node").alias("_a"), F.col("end").alias("_start"))
+    heads = ends.select(F.col("node").alias("_b"), F.col("end").alias("_end"))
+    on_ring = rings.select(F.col("node").alias("_r"))
+    spans = checkpointed(
+        steps.join(on_ring, F.col("_from") == F.col("_r"), "left_anti")
+        .join(tails, F.col("_from") == F.col("_a"), "left")
+        .join(heads, F.col("_to") == F.col("_b"), "left")
+        .select("_from", "_to", F.coalesce("_start", "_from").alias("_s"), F.coalesce("_end", "_to").alias("_e"))
+    )
+    short = spans.select(F.col("_s").alias("down_node"), F.col("_e").alias("up_node")).distinct()
+    closed = _core_cycles(short).unionByName(short.filter(F.col("down_node") == F.col("up_node")))
+    whole = closed.select(F.col("down_node").alias("_s"), F.col("up_node").alias("_e")).distinct()
+    in_rings = steps.join(on_ring, F.col("_from") == F.col("_r"), "left_semi")
+    found = spans.join(whole, ["_s", "_e"], "left_semi").select("_from", "_to").unionByName(in_rings)
+    return loops.unionByName(found.select(F.col("_from").alias("down_node"), F.col("_to").alias("up_node")))
+
+
+def _core_cycles(edges: DataFrame) -> DataFrame:
+    """``find_cycles`` of edges between different nodes, without looking for chains."""
+    cyclic = [edges.limit(0).select("down_node", "up_node")]
     core = _trim(edges)
     while not core.isEmpty():
         colors = _smallest_ancestor(core)

@@ -171,3 +171,23 @@ def test_link_sources(spark, rows):
     assert sorted(r[3] for r in rows(out["rejects"])) == [
         "no_target", "self_edge", "two_targets", "unknown_merged_assay", "unknown_source", "unknown_specimen"
     ]
+
+
+def test_long_chains_and_rings_take_few_rounds(spark):
+    n = 2000
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(n)]
+    ring = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)]
+    theta = [("t0", "t1"), ("t1", "t2"), ("t2", "t0"), ("t1", "u"), ("u", "v"), ("v", "t0"), ("v", "out"), ("r0", "c5")]
+    edges = spark.createDataFrame(chain + ring + theta, "down_node string, up_node string")
+    got = {(r.down_node, r.up_node) for r in graph.find_cycles(edges).collect()}
+    assert got == set(ring) | set(theta[:6])
+    seed = spark.createDataFrame([("c1500",), ("t2",)], "node string")
+    reached = {r.node for r in graph.derived_stale_nodes(edges, seed).collect()}
+    want, frontier = set(), {"c1500", "t2"}
+    down = {}
+    for a, b in chain + ring + theta:
+        down.setdefault(b, []).append(a)
+    while frontier:
+        frontier = {x for f in frontier for x in down.get(f, [])} - want
+        want |= frontier
+    assert reached == want
