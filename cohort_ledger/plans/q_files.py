@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort_ledger import sinks, sources, streaming
-from cohort_ledger.operators import qc, summaries, validate, views
-from cohort_ledger.plans.dataset import Model
+from cohort_ledger.operators import summaries, validate, views
+from cohort_ledger.plans.dataset import AS_OF, Model
+from cohort_ledger.plans.q_qc import REPLAY_SQL
 from cohort_ledger.plans.registry import query
 from cohort_ledger.session import fresh_path
 
@@ -544,9 +545,37 @@ def _(m: Model) -> DataFrame:
     return rows.fillna("~")
 
 
+@query(
+    "stream_flags",
+    """SELECT DISTINCT CAST(e.user_id AS VARCHAR) AS entity_id, 'qc_fail' AS kind, 'wave ' || CASE WHEN f.n = 1 THEN 'second' ELSE 'first' END AS reason
+       FROM events e JOIN (SELECT user_id, min(CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END) AS n FROM events GROUP BY user_id) f ON f.user_id = e.user_id
+       WHERE CAST(e.user_id AS VARCHAR) IN (SELECT patient_id FROM patients)
+         AND NOT EXISTS (SELECT 1 FROM active_events a WHERE a.level = 'patient' AND a.kind = 'qc_fail' AND a.entity_id = CAST(e.user_id AS VARCHAR))""",
+)
+def _(m: Model) -> DataFrame:
+    """Failed flags that come twice, for known and unknown patients, in two waves."""
+    spark = m.spark
+    landing, out, checkpoint = (fresh_path(spark, n) for n in ("landing", "stream", "progress"))
+    names = ("patient_id", "qc_pass", "qc_fail_reason")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    for n, wave in enumerate(("first", "second")):
+        rows = m.raw("events").filter(F.col("event_id") % 2 == n).select(
+            F.col("user_id").cast("string").alias("patient_id"), F.lit("0.0").alias("qc_pass"), F.lit(f"wave {wave}").alias("qc_fail_reason")
+        )
+        rows.write.mode("append").option("header", True).option("sep", "\t").csv(landing)
+        streaming.stream_append(
+            spark, landing, schema, "patient_id", "wave", out, checkpoint, AS_OF, level="patient"
+        ).awaitTermination()
+    flags = spark.read.parquet(f"{out}/events")
+    found = streaming.current_flags(flags, m.patients, m.qc_events, "patient_id")
+    return found.select("entity_id", "kind", "reason")
+
+
 @query(
     "stream_qc_log",
-    """SELECT level, entity_id, qc_status FROM statuses""",
+    "WITH " + REPLAY_SQL + """
+       SELECT id, p.level, p.entity_id, kind, after IS NULL AS active FROM paired p
+       JOIN known k ON k.level = p.level AND k.entity_id = p.entity_id WHERE op = 'open'""",
 )
 def _(m: Model) -> DataFrame:
     spark = m.spark
@@ -555,7 +584,5 @@ def _(m: Model) -> DataFrame:
     for action in ("uncensor", "censor"):
         m.qc_log.filter(F.col("action") == action).write.mode("append").json(landing)
         streaming.stream_qc_log(spark, landing, out, checkpoint).awaitTermination()
-    events = streaming.current_events(
-        spark.read.parquet(f"{out}/opens"), spark.read.parquet(f"{out}/closes")
-    )
-    return qc.derive_status(events)
+    events = streaming.current_events(spark.read.parquet(f"{out}/log"), *m.levels)
+    return events.select("id", "level", "entity_id", "kind", F.col("resolved_at").isNull().alias("active"))

@@ -2,9 +2,11 @@
 
 from cohort_ledger.streaming.jobs import (
     current_events,
+    current_flags,
+    current_log,
     current_rows,
     stream_append,
     stream_qc_log,
 )
 
-__all__ = ["current_events", "current_rows", "stream_append", "stream_qc_log"]
+__all__ = ["current_events", "current_flags", "current_log", "current_rows", "stream_append", "stream_qc_log"]

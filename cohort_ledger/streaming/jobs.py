@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cohort_ledger.functions.qc import event_id
 from cohort_ledger.model import (
     AUTOFLAG_COLUMNS,
     DEFAULT_SCHEMA,
-    EVENT_COLUMNS,
     LOG_SCHEMA,
     CohortSchema,
 )
-from cohort_ledger.operators.ingest import merge_fill, one_per_key, stamp_done
-from cohort_ledger.operators.qc import autoflag_extract, new_events
+from cohort_ledger.operators.ingest import gate_censored, merge_fill, one_per_key, stamp_done
+from cohort_ledger.operators.qc import ACTIVE_KEY, autoflag_extract, dedupe_active, new_events
+from cohort_ledger.operators.replay import replay_qc_log
 
 
 def _append(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -41,10 +40,13 @@ def stream_append(
     level: str = "assay",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Result files landing in a folder, as appended results and flag events."""
-    files = (
-        spark.readStream.schema(schema).option("sep", "\t").option("header", True).csv(landing)
-    )
+    """Result files landing in a folder, as appended results and flag events.
+
+    A file whose header differs from ``schema`` in names or order fails its
+    batch; columns are never taken by position alone.
+    """
+    reader = spark.readStream.schema(schema).option("sep", "\t").option("header", True)
+    files = reader.option("enforceSchema", False).csv(landing)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamped = stamp_done(batch.drop(*AUTOFLAG_COLUMNS), analysis, as_of)
@@ -66,41 +68,47 @@ def stream_append(
     )
 
 
-def current_rows(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Level rows filled from all appended batches; the earliest value wins."""
+def current_rows(rows: DataFrame, results: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """Level rows filled from all appended batches; the earliest value wins.
+
+    Unknown keys are left out, and so are results of rows whose own status
+    forbids loading, unless forced.
+    """
+    if "qc_status" in rows.columns and not force:
+        barred = gate_censored(results, rows, key).select(F.col(key).cast("string").alias("_barred"))
+        results = results.join(barred, F.col(key).cast("string") == F.col("_barred"), "left_anti")
     return merge_fill(rows, one_per_key(results, key, "_batch", "first_value"), key)
 
 
+def current_flags(flags: DataFrame, rows: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """The appended flag events that count, beside the ``events`` there are.
+
+    Only known entities; of repeated flags the first batch's; none whose kind is
+    already active on its entity.
+    """
+    once = (
+        flags.groupBy(*ACTIVE_KEY)
+        .agg(F.min(F.struct("_batch", *[c for c in flags.columns if c not in (*ACTIVE_KEY, "_batch")])).alias("_e"))
+        .select(*ACTIVE_KEY, "_e.*")
+        .drop("_batch")
+        .select(*[c for c in flags.columns if c != "_batch"])
+    )
+    known = rows.select(F.col(key).cast("string").alias("entity_id"))
+    return dedupe_active(once.join(known, "entity_id", "left_semi").select(*once.columns), events)
+
+
 def stream_qc_log(
     spark: SparkSession, landing: str, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Log lines as appended opens and closes, matched by event id at read time."""
+    """Log lines as appended rows of the log schema.
+
+    Lines without ``seq`` are numbered by batch and place in it.
+    """
     lines = spark.readStream.schema(LOG_SCHEMA).json(landing)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fallback = event_id(
-            F.col("level"), F.col("entity_id"), F.col("kind"), F.col("transaction_id")
-        )
-        at = F.to_timestamp(F.coalesce("created_at", "timestamp"))
-        opens = batch.filter(F.col("action") == "censor").select(
-            F.coalesce("qc_event_id", fallback).alias("id"),
-            "level",
-            "entity_id",
-            "kind",
-            "reason",
-            F.coalesce("source", F.lit("manual")).alias("source"),
-            at.alias("created_at"),
-            F.coalesce("created_by", F.lit("unknown")).alias("created_by"),
-            "transaction_id",
-        )
-        closes = batch.filter(F.col("action").isin("uncensor", "ethics_override")).select(
-            F.col("qc_event_id").alias("id"),
-            F.to_timestamp(F.coalesce("resolved_at", "timestamp")).alias("resolved_at"),
-            F.coalesce("resolved_by", F.lit("unknown")).alias("resolved_by"),
-            F.col("reason").alias("resolved_reason"),
-        )
-        _append(opens, batch_id, f"{out}/opens")
-        _append(closes, batch_id, f"{out}/closes")
+        place = F.lit(batch_id) * (1 << 44) + F.monotonically_increasing_id()
+        _append(batch.withColumn("seq", F.coalesce("seq", place)), batch_id, f"{out}/log")
 
     return (
         lines.writeStream.foreachBatch(write)
@@ -110,17 +118,16 @@ def stream_qc_log(
     )
 
 
-def current_events(opens: DataFrame, closes: DataFrame) -> DataFrame:
-    """Event rows from appended opens and closes.
+def current_log(log: DataFrame) -> DataFrame:
+    """The appended log without lines delivered twice, which share their ``seq``."""
+    return log.drop("_batch").dropDuplicates(["seq"])
+
 
-    A close that came before its open simply waits in the table until the open
-    is there; repeated lines collapse on the event id.
+def current_events(
+    log: DataFrame, patients: DataFrame, specimens: DataFrame, assays: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA
+) -> DataFrame:
+    """Event rows from the appended log: its replay, by ids, keys, batches and legacy entries.
+
+    The order is that of ``seq``, so it does not matter in which batch a line came.
     """
-    rest = [c for c in opens.columns if c not in ("id", "_batch")]
-    first = one_per_key(opens.select("id", *rest), "id", keep="first_row")
-    done = closes.filter(F.col("id").isNotNull()).groupBy("id").agg(
-        F.min(F.struct("resolved_at", "resolved_by", "resolved_reason")).alias("_c")
-    )
-    return first.join(done, "id", "left").select(
-        "id", *rest, "_c.resolved_at", "_c.resolved_by", "_c.resolved_reason"
-    ).select(*EVENT_COLUMNS)
+    return replay_qc_log(current_log(log), patients, specimens, assays, schema)["events"]

@@ -204,20 +204,24 @@ def test_event_log_reader(spark, tmp_path, rows):
     assert rows(active.log_filter(log.withColumn("timestamp", F.lit("t")), last=1), "entity_id") == [("A2",)]
 
 
-def test_stream_of_log_lines(spark, tmp_path, rows):
+def test_stream_of_log_lines(spark, tmp_path, rows, cohort):
     landing, out = tmp_path / "landing", str(tmp_path / "out")
     landing.mkdir()
     lines = [
-        '{"action": "uncensor", "qc_event_id": "e1", "reason": "ok", "timestamp": "2024-01-02T00:00:00"}',
-        '{"action": "censor", "qc_event_id": "e1", "level": "assay", "entity_id": "A1", "kind": "qc_fail", "timestamp": "2024-01-01T00:00:00"}',
-        '{"action": "censor", "qc_event_id": "e2", "level": "assay", "entity_id": "A2", "kind": "qc_warn", "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 5, "action": "uncensor", "qc_event_id": "e1", "reason": "ok", "timestamp": "2024-01-02T00:00:00"}',
+        '{"seq": 1, "action": "censor", "qc_event_id": "e1", "level": "assay", "entity_id": "A01", "kind": "qc_fail", "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 2, "action": "censor", "qc_event_id": "e2", "level": "assay", "entity_id": "A02", "kind": "qc_warn", "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 2, "action": "censor", "qc_event_id": "e2", "level": "assay", "entity_id": "A02", "kind": "qc_warn", "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 3, "action": "censor_batch", "batch_id": "b", "reason": "bad lot", "censored_assays": ["A03"], "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 4, "action": "censor", "level": "assay", "entity_id": "A_MERGED", "kind": "qc_fail", "timestamp": "2024-01-01T00:00:00"}',
+        '{"seq": 6, "action": "uncensor", "level": "assay", "entity_id": "A_MERGED", "kind": "qc_fail", "timestamp": "2024-01-03T00:00:00"}',
     ]
     for i, line in enumerate(lines):
         (landing / f"{i}.json").write_text(line + "\n")
         streaming.stream_qc_log(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
-    events = streaming.current_events(spark.read.parquet(f"{out}/opens"), spark.read.parquet(f"{out}/closes"))
-    assert rows(qc.derive_status(events)) == [("assay", "A2", "warn")]
-    assert events.count() == 2
+    events = streaming.current_events(spark.read.parquet(f"{out}/log"), *cohort)
+    assert rows(qc.derive_status(events)) == [("assay", "A02", "warn"), ("assay", "A03", "fail")]
+    assert events.count() == 4
 
 
 def test_log_reports(spark, rows):
