@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cohort_ledger.plans import registry  # noqa: E402
 from cohort_ledger.plans.dataset import Model  # noqa: E402
-from cohort_ledger.session import build_session  # noqa: E402
+from cohort_ledger.session import build_session, run_folder  # noqa: E402
 
 HEADLINE = [
     "active_assays",
@@ -76,9 +76,10 @@ def main() -> None:
     for name in HEADLINE:
         best = None
         for _ in range(runs):
-            started = time.perf_counter()
-            registry.run(name, spark, folder, mapped).write.format("noop").mode("overwrite").save()
-            spent = time.perf_counter() - started
+            with run_folder(spark):
+                started = time.perf_counter()
+                registry.run(name, spark, folder, mapped).write.format("noop").mode("overwrite").save()
+                spent = time.perf_counter() - started
             best = spent if best is None else min(best, spent)
         seconds[name] = round(best, 3)
     print(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the run's folder, or else the shared folder."""
+    base = spark.conf.get("spark.cohort.run", None) or shared_folder(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder that owns what ``cut`` and ``fresh_path`` write inside the block.
+
+    It is deleted at the end, so results must be written or collected before.
+    """
+    before = spark.conf.get("spark.cohort.run", None)
+    folder = fresh_path(spark, "run")
+    spark.conf.set("spark.cohort.run", folder)
+    try:
+        yield folder
+    finally:
+        if before is None:
+            spark.conf.unset("spark.cohort.run")
+        else:
+            spark.conf.set("spark.cohort.run", before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -214,3 +214,17 @@ def test_flat_checks(spark, rows):
     assert rows(validate.flat_empty_columns(flat), "key") == [("nothing",)]
     assert rows(validate.flat_schema(flat, {"mod": ["mod_done", "mod_x"]}), "check", "key") == [("recorded_missing", "mod_x")]
     assert rows(validate.flat_schema(flat, {}), "check", "key") == [("done_without_data", "mod_done")]
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from cohort_ledger.session import cut, fresh_path, run_folder
+
+    with run_folder(spark) as folder:
+        assert cut(spark.range(5)).count() == 5 and fresh_path(spark, "x").startswith(folder)
+        assert Path(folder).exists()
+        with run_folder(spark) as inner:
+            assert cut(spark.range(2)).count() == 2 and inner.startswith(folder)
+        assert not Path(inner).exists()
+    assert not Path(folder).exists() and not fresh_path(spark, "x").startswith(folder)
