@@ -26,6 +26,7 @@ from cohort_ledger.model import (
     CohortSchema,
 )
 from cohort_ledger.operators.artifacts import record_usage
+from cohort_ledger.session import cut
 
 
 def one_per_key(
@@ -441,10 +442,10 @@ def _blank(c: str) -> Column:
 def validate_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> DataFrame:
     """Every problem of a wide sheet as ``(check, key, detail)`` rows.
 
-    A missing key or required column raises at once.  Conflicts are keys with
-    more than one distinct attribute row: repeated rows collapse map-side in a
-    hash aggregate, and the shuffle is on the whole row, so a key with very many
-    versions is spread out before it is counted.
+    A missing key or required column raises at once.  Conflicts are keys whose
+    rows differ in their attributes, seen from the least and largest 64-bit hash
+    of them: numbers that a hash aggregate combines before the one shuffle of
+    each level.
     """
     routed = route_columns(sheet.columns, schema)
     required = {lv.name: [lv.key] + [c.name for c in lv.columns if c.required] for lv in schema.levels}
@@ -467,31 +468,21 @@ def validate_sheet(sheet: DataFrame, schema: CohortSchema = DEFAULT_SCHEMA) -> D
         attributes = [
             F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols
         ]
-        versions = (
+        parent = lv.parent_key if lv is not schema.levels[-1] and lv.parent_key in cols else None
+        whole = F.xxhash64(*attributes)
+        above = F.xxhash64(F.coalesce(F.col(parent).cast("string"), F.lit(""))) if parent else F.lit(0)
+        spread = (
             sheet.filter(~_blank(lv.key))
-            .select(F.col(lv.key).cast("string").alias("key"), *attributes)
-            .distinct()
+            .groupBy(F.col(lv.key).cast("string").alias("key"))
+            .agg((F.min(whole) < F.max(whole)).alias("_differ"), (F.min(above) < F.max(above)).alias("_parents"))
+            .filter("_differ")
         )
-        parent = lv.parent_key if lv is not schema.levels[-1] and lv.parent_key in cols else None
+        found = [(F.col("_differ"), f"{lv.name}_conflict", "attributes differ between rows")]
         if parent:
-            several = (
-                versions.select("key", parent).distinct()
-                .groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-            )
-            issues.append(
-                several.select(
-                    F.lit(f"{lv.name}_with_several_parents").alias("check"),
-                    "key",
-                    F.lit(parent).alias("detail"),
-                )
-            )
-        differing = versions.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            found.append((F.col("_parents"), f"{lv.name}_with_several_parents", parent))
+        each = [F.when(test, F.struct(F.lit(check).alias("check"), F.lit(detail).alias("detail"))) for test, check, detail in found]
         issues.append(
-            differing.select(
-                F.lit(f"{lv.name}_conflict").alias("check"),
-                "key",
-                F.lit("attributes differ between rows").alias("detail"),
-            )
+            spread.select("key", F.explode(F.array_compact(F.array(*each))).alias("_i")).select("_i.check", "key", "_i.detail")
         )
     return reduce(DataFrame.unionByName, issues)
 
@@ -537,18 +528,20 @@ def register_cohort(
 ) -> dict[str, DataFrame]:
     """Load a wide sheet into all levels, parents first.
 
-    Returns the new tables, ``issues`` of the sheet and ``rejects``.  A caller
+    Each level's frame and its keys, which the next level needs, are written
+    once.  Returns the new tables, ``issues`` of the sheet and ``rejects``.  A caller
     that wants all-or-nothing checks both before writing a snapshot.
     """
     issues = validate_sheet(sheet, schema)
-    frames = explode_sheet(sheet, schema)
+    frames = {level: cut(frame) for level, frame in explode_sheet(sheet, schema).items()}
     out: dict[str, DataFrame] = {"issues": issues}
     rejects, parents = [], None
     for lv in schema.levels:
         done = upsert_level(
             tables[lv.name], frames[lv.name], lv.name, parents, True, overwrite, schema=schema
         )
-        out[lv.name] = parents = done["rows"]
+        out[lv.name] = done["rows"]
+        parents = None if lv is schema.levels[-1] else cut(done["rows"].select(lv.key))
         rejects.append(done["rejects"].withColumn("level", F.lit(lv.name)))
     out["rejects"] = reduce(DataFrame.unionByName, rejects)
     return out

@@ -10,6 +10,7 @@ from cohort_ledger.functions.qc import consent_usable, qc_usable
 from cohort_ledger.model import DEFAULT_SCHEMA, CohortSchema
 from cohort_ledger.operators import artifacts as art
 from cohort_ledger.operators import graph
+from cohort_ledger.session import cut
 
 
 def joined(
@@ -74,33 +75,28 @@ def cohort_artifacts_view(
     include_censored: bool = False,
     include_consent_revoked: bool = False,
 ) -> DataFrame:
-    """Artifacts with input, reference and derived staleness."""
-    counts = art.censored_inputs(
-        inputs, patients, specimens, assays, include_censored, include_consent_revoked
-    ).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"))
-    refs = (
-        art.usage_with_current(usage.filter(F.col("scope") == "cohort"), references)
-        .filter("is_stale")
-        .select("artifact_id")
-        .distinct()
-        .withColumn("_ref", F.lit(True))
-    )
-    scopes = references.select(F.col("ref_key").alias("scope_ref_key"))
-    direct = graph.direct_staleness(
-        artifacts, inputs, patients, specimens, assays, usage, references
-    )
+    """Artifacts with input, reference and derived staleness.
+
+    The cascade runs once: each node's own causes are written, and both the
+    counts and the seeds of the walk down the edges are read from them.
+    """
+    direct = cut(graph.direct_staleness(artifacts, inputs, patients, specimens, assays, usage, references))
     edges = graph.combined_edges(derivation, usage, artifacts)
     derived = graph.derived_stale_nodes(edges, direct.filter("directly_stale").select("node"))
+    own = direct.select(F.col("node").alias("_node"), F.col("stale_inputs").alias("_n"), (F.col("stale_refs") > 0).alias("_ref"))
+    if include_censored or include_consent_revoked:
+        lenient = art.censored_inputs(inputs, patients, specimens, assays, include_censored, include_consent_revoked)
+        counts = lenient.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"))
+        artifacts_with = artifacts.join(counts, "artifact_id", "left")
+        own = own.drop("_n")
+    else:
+        artifacts_with = artifacts
+    scopes = references.select(F.col("ref_key").alias("scope_ref_key"))
     out = (
-        artifacts.join(counts, "artifact_id", "left")
-        .join(refs, "artifact_id", "left")
+        artifacts_with.withColumn("_node", cohort_node(F.col("analysis"), F.col("run_tag")))
+        .join(own, "_node", "left")
         .join(scopes, F.col("region_scope") == F.col("scope_ref_key"), "left")
-        .withColumn("_node", cohort_node(F.col("analysis"), F.col("run_tag")))
-        .join(
-            derived.select(F.col("node").alias("_node"), F.lit(True).alias("_derived")),
-            "_node",
-            "left",
-        )
+        .join(derived.select(F.col("node").alias("_node"), F.lit(True).alias("_derived")), "_node", "left")
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
     return out.select(
@@ -113,6 +109,15 @@ def cohort_artifacts_view(
     )
 
 
+def with_input_staleness(
+    artifacts: DataFrame, inputs: DataFrame, patients: DataFrame, specimens: DataFrame, assays: DataFrame
+) -> DataFrame:
+    """Artifacts with the number of their inputs that are not usable, and whether there is one."""
+    counts = art.censored_inputs(inputs, patients, specimens, assays).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return artifacts.join(counts, "artifact_id", "left").select(*artifacts.columns, n.alias("n_censored_inputs"), (n > 0).alias("stale"))
+
+
 def reference_usage_view(usage: DataFrame, references: DataFrame) -> DataFrame:
     """Usage rows with the current version and whether it differs."""
     return art.usage_with_current(usage, references)
@@ -263,7 +268,21 @@ def register_views(
     schema: CohortSchema = DEFAULT_SCHEMA,
     **others: DataFrame,
 ) -> list[str]:
-    """Temporary views for ad-hoc SQL: the tables, ``_``, ``_active`` and any others."""
+    """Temporary views for ad-hoc SQL: the tables, ``_``, ``_active`` and any others.
+
+    With the tables of the provenance graph among the others, named as
+    ``cohort_artifacts_view`` takes them, its three views are there too.
+    """
+    graph_tables = ("artifacts", "inputs", "usage", "references", "derivation")
+    if all(n in others for n in graph_tables):
+        a, i, u, r, d = (others[n] for n in graph_tables)
+        known = cohort_artifacts_view(a, i, patients, specimens, assays, u, r, d)
+        stale = known.filter("derived_stale").select(cohort_node(F.col("analysis"), F.col("run_tag")).alias("node"))
+        others = {n: f for n, f in others.items() if n not in graph_tables} | {
+            "_cohort_artifacts": known,
+            "_reference_usage": reference_usage_view(u, r),
+            "_artifact_derivation": derivation_view(d, stale),
+        }
     views = {
         "patients": patients,
         "specimens": specimens,

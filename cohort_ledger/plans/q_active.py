@@ -285,6 +285,27 @@ def _(m: Model) -> DataFrame:
     return out.fillna("", ["lang"]).fillna(-1, ["toxic"])
 
 
+@query(
+    "sql_graph_views",
+    """SELECT a.analysis, count(*) AS n, CAST(count(*) FILTER (WHERE d.stale_inputs > 0) AS BIGINT) AS stale,
+              CAST(count(*) FILTER (WHERE n.node IS NOT NULL) AS BIGINT) AS derived,
+              (SELECT count(*) FROM usage_now WHERE is_stale) AS stale_uses,
+              (SELECT count(*) FROM derivation e JOIN stale_nodes x ON x.node = e.down_node) AS derived_edges
+       FROM artifacts a JOIN direct d ON d.node = a.node LEFT JOIN stale_nodes n ON n.node = a.node GROUP BY a.analysis""",
+)
+def _(m: Model) -> DataFrame:
+    views.register_views(
+        m.spark, *m.levels, artifacts=m.cohort_artifacts, inputs=m.cohort_artifact_inputs, usage=m.reference_usage,
+        references=m.reference_artifacts, derivation=m.artifact_derivation,
+    )
+    return m.spark.sql(
+        """SELECT analysis, count(*) AS n, count_if(stale) AS stale, count_if(derived_stale) AS derived,
+                  (SELECT count(*) FROM _reference_usage WHERE is_stale) AS stale_uses,
+                  (SELECT count(*) FROM _artifact_derivation WHERE down_derived_stale) AS derived_edges
+           FROM _cohort_artifacts GROUP BY analysis"""
+    )
+
+
 @query(
     "sql_views",
     """SELECT p.cohort, s.tissue_site, count(*) AS n_assays, sum(a.n_reads) AS reads

@@ -270,6 +270,38 @@ def _(m: Model) -> DataFrame:
     return out
 
 
+@query(
+    "export_everything",
+    """SELECT 'cohort_artifacts' AS "table", a.artifact_id AS "key", CAST(d.stale_inputs AS VARCHAR) || ' ' || CAST(d.stale_inputs > 0 AS VARCHAR) AS detail
+       FROM artifacts a JOIN direct d ON d.node = a.node
+       UNION ALL SELECT 'cohort_artifact_inputs', CAST(artifact_id AS VARCHAR), assay_id FROM artifact_inputs
+       UNION ALL SELECT 'reference_usage', CAST(artifact_id AS VARCHAR), ref_key || ' ' || version_used FROM usage
+       UNION ALL SELECT 'patients', patient_id, cohort FROM active_p
+       UNION ALL SELECT 'specimens', specimen_id, patient_id FROM active_s
+       UNION ALL SELECT 'assays', assay_id, specimen_id FROM active_a""",
+)
+def _(m: Model) -> DataFrame:
+    frames = sinks.export_plan(
+        *m.levels, cohort_artifacts=m.cohort_artifacts, cohort_artifact_inputs=m.cohort_artifact_inputs, reference_usage=m.reference_usage
+    )
+    paths = sinks.export_tables(frames, fresh_path(m.spark, "export"), "parquet")
+    details = {
+        "cohort_artifacts": ("artifact_id", ["n_censored_inputs", "stale"]), "cohort_artifact_inputs": ("artifact_id", ["assay_id"]),
+        "reference_usage": ("artifact_id", ["ref_key", "version_used"]), "patients": ("patient_id", ["cohort"]),
+        "specimens": ("specimen_id", ["patient_id"]), "assays": ("assay_id", ["specimen_id"]),
+    }
+    parts = [
+        m.spark.read.parquet(paths[t]).select(
+            F.lit(t).alias("table"), F.col(key).cast("string").alias("key"), F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("detail")
+        )
+        for t, (key, columns) in details.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "export_joined",
     """SELECT a.assay_id, s.patient_id, a.qc_status AS assay_qc_status, s.qc_status AS specimen_qc_status

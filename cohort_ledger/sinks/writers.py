@@ -41,7 +41,8 @@ def export_plan(
     """The frames of a per-level export: active rows, optionally a subset of assays.
 
     With ``subset`` (a frame of assay keys) the levels above keep only what the
-    chosen assays belong to.
+    chosen assays belong to.  Artifacts among the side tables are marked by the
+    staleness of their inputs where ``cohort_artifact_inputs`` is there too.
     """
     flags = (include_censored, include_consent_revoked)
     out = {
@@ -59,6 +60,11 @@ def export_plan(
             # Distinct first: a parent of very many children is one row per task.
             out[lv.table] = out[lv.table].join(keys.distinct(), lv.key, "left_semi")
             child = lv
+    if {"cohort_artifacts", "cohort_artifact_inputs"} <= side_tables.keys():
+        marked = views.with_input_staleness(
+            side_tables["cohort_artifacts"], side_tables["cohort_artifact_inputs"], patients, specimens, assays
+        )
+        side_tables = {**side_tables, "cohort_artifacts": marked}
     out.update(side_tables)
     return out
 
