@@ -42,7 +42,7 @@ from cohort_ledger.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW, SEED_WORDS = 20, 10
-RANGE_BYTES = 32_000_000  #: text for which one hash range is planned
+RANGE_BYTES = 128_000_000  #: text for which one hash range is planned
 NULL_ID = -(2**63)
 PACKED = "range_no int, names binary, ids binary, starts binary, sure_ids binary, sure_starts binary"
 RUNS = "doc_id long, run_start int, run_stop int"
@@ -174,14 +174,12 @@ def _packed(seed: int, length: int, last: bool, ranges: int):
             s_ids, s_starts = s_ids[by_place], s_starts[by_place]
             deal = np.lexsort((sent_starts, ids[lead], where))
             where, n, d, p = where[deal], names[lead][deal], ids[lead][deal], sent_starts[deal]
-            bounds = np.searchsorted(where, np.arange(ranges + 1))
+            held = np.unique(np.append(where, home)) if len(s_ids) else np.unique(where)
             rows = []
-            for r in range(ranges):
-                a, b = bounds[r], bounds[r + 1]
+            for r, a, b in zip(held.tolist(), np.searchsorted(where, held), np.searchsorted(where, held, side="right")):
                 mine = r == home and len(s_ids)
-                if a < b or mine:
-                    name = n[a:b] if last else (n[a:b] >> np.uint64(32)).astype(np.uint32)
-                    rows.append([r, name.tobytes(), _delta(d[a:b]), _delta(p[a:b]), _delta(s_ids) if mine else b"", _delta(s_starts) if mine else b""])
+                name = n[a:b] if last else (n[a:b] >> np.uint64(32)).astype(np.uint32)
+                rows.append([r, name.tobytes(), _delta(d[a:b]), _delta(p[a:b]), _delta(s_ids) if mine else b"", _delta(s_starts) if mine else b""])
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["range_no", "names", "ids", "starts", "sure_ids", "sure_starts"])
 
