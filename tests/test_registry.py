@@ -14,6 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "active_assays", "status_by_analysis", "pair_by_assay_type", "completion_matrix", "append_results",
     "upsert_level", "replay_qc_log", "all_stale_outputs", "derived_reasons", "constraints", "sv_summary",
+    "pair_by_timepoint", "pair_by_many_partitions", "autoflag_by_value", "dry_run_counts", "register_cohort", "validate_sheet",
+    "find_cycles", "output_staleness", "read_event_log", "stream_flags", "export_everything", "sql_graph_views", "merge_outer",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
 
