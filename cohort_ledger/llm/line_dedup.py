@@ -39,9 +39,14 @@ HOT = 8  #: a key is paired if its pairs are at most this many times its members
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, node) of every line; a document without text has one row of NULLs."""
-    rows = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.withColumn("node", F.when(F.col("line").rlike(r"[^\x00-\x20]"), F.xxhash64("line")))
+    """(doc_id, line_no, line, n, node) of every line; a document without text has one row of NULLs.
+
+    Length ``n`` and ``node`` are made before the lines are listed, so that
+    they are worked out once however often they are used.
+    """
+    node = lambda x: F.when(x.rlike(r"[^\x00-\x20]"), F.xxhash64(x))
+    each = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("n"), node(x).alias("node")))
+    return docs.select("doc_id", F.posexplode_outer(each).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.n", "l.node")
 
 
 def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
@@ -60,19 +65,38 @@ def _places(edits: int, shift: int) -> list[tuple[int, int]]:
     ]
 
 
-def _keys(text: Column, length: Column, edits: int, shift: int, under: Column | None = None, probe: bool = True) -> list[Column]:
-    """Structs (key, at, size): hashed segments of a line, as probe of lines ``shift`` shorter or as index."""
-    out = []
-    for i, off in _places(edits, shift) if probe else [(i, 0) for i in range(edits + 1)]:
-        start, size = _segment(length - shift, edits + 1, i)
-        at = start + off
-        parts = [F.lit(i), length - shift, text.substr(at, size)]
-        out.append(F.struct(F.xxhash64(*([under] if under is not None else []), *parts).alias("key"), at.alias("at"), size.alias("size")))
-    return out
+def _spots(edits: int, shifts: range, probe: bool) -> list[tuple[int, int, int]]:
+    """(segment, offset, shift) of each key of a line, as probe or as index."""
+    return [(i, off, s) for s in shifts for i, off in (_places(edits, s) if probe else [(i, 0) for i in range(edits + 1)])]
+
+
+def _place(length: Column, spot: tuple[int, int, int], edits: int) -> tuple[Column, Column]:
+    """Where a key's segment starts in a line, and its size."""
+    i, off, shift = spot
+    start, size = _segment(length - shift, edits + 1, i)
+    return start + off, size
+
+
+def _key(text: Column, length: Column, spot: tuple[int, int, int], edits: int, *under: Column) -> Column:
+    at, size = _place(length, spot, edits)
+    return F.xxhash64(*under, F.lit(spot[0]), length - spot[2], text.substr(at, size))
+
+
+def _keyed(rows: DataFrame, spots: list[tuple[int, int, int]], edits: int, *keep: str) -> DataFrame:
+    """(keep, spot, key): a row for each key of (text, n, ...)."""
+    under = [F.col("under")] if "under" in rows.columns else []
+    keys = [_key(F.col("text"), F.col("n"), s, edits, *under) for s in spots]
+    return rows.select(*keep, F.posexplode(F.array(*keys)).alias("spot", "key"))
+
+
+def _shift(spots: list[tuple[int, int, int]]) -> Column:
+    return F.get(F.array(*[F.lit(s[2]) for s in spots]), F.col("spot"))
 
 
-def _exploded(rows: DataFrame, keys: list[Column], *keep: str) -> DataFrame:
-    return rows.select(*keep, F.explode(F.array(*keys)).alias("k")).select(*keep, "k.key", "k.at", "k.size")
+def _placed(rows: DataFrame, spots: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """Rows of (n, spot, ...) with ``at``, ``size`` and ``shift`` of their keys."""
+    places = [F.struct(*[x.alias(c) for x, c in zip(_place(F.col("n"), s, edits), ("at", "size"))]) for s in spots]
+    return rows.withColumn("shift", _shift(spots)).withColumn("p", F.get(F.array(*places), F.col("spot"))).select(*rows.columns, "shift", "p.at", "p.size")
 
 
 def _met(index: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,16 +132,14 @@ def _without(text: str, at: str, size: str) -> Column:
 
 def candidates(all_lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) of nodes that share a segment, and the texts (node, text) of nodes in question."""
-    long = all_lines.where(F.col("node").isNotNull() & (F.length("line") >= least)).select("node", "line", F.length("line").alias("n"))
-    text, n = F.col("line"), F.col("n")
-    index = _exploded(long, _keys(text, n, edits, 0, probe=False), "node")
-    shifted = [F.when(n - s >= least, F.array(*[F.struct(k["key"].alias("key"), k["at"].alias("at"), k["size"].alias("size"), F.lit(s).alias("shift")) for k in _keys(text, n, edits, s)])) for s in range(edits + 1)]
-    asked = long.select("node", F.explode(F.concat(*[F.coalesce(x, F.expr("CAST(array() AS array<struct<key:bigint,at:int,size:int,shift:int>>)")) for x in shifted])).alias("k"))
-    probes = asked.select("node", "k.key", "k.at", "k.size", "k.shift")
+    long = all_lines.where(F.col("node").isNotNull() & (F.col("n") >= least)).select("node", F.col("line").alias("text"), "n")
+    own, asked = _spots(edits, range(1), False), _spots(edits, range(edits + 1), True)
+    index = _keyed(long, own, edits, "node", "n")
+    probes = _keyed(long, asked, edits, "node", "n").where(F.col("n") - _shift(asked) >= least)
 
     index, probes = _met(index, probes)
     concerned = index.select(F.col("node").alias("wanted")).union(probes.select("node")).distinct()
-    texts = cut(long.join(concerned, F.col("node") == F.col("wanted"), "left_semi").groupBy("node").agg(F.first("line").alias("text")))
+    texts = cut(long.join(concerned, F.col("node") == F.col("wanted"), "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     held = texts.select(F.col("node").alias("owner"), "text")
     found, first = [], True
     while True:
@@ -129,17 +151,20 @@ def candidates(all_lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHAR
         among = lambda rows, keys: rows.join(keys, F.col("key") == F.col("sized"), "left_semi")
         found.append(_paired(among(index, calm), among(probes, calm)))
         index, probes = among(index, hot), among(probes, hot)
+        index, probes = _placed(index, own, edits), _placed(probes, asked, edits)
         if first:
             index, probes = (x.join(held, F.col("node") == F.col("owner")).drop("owner") for x in (index, probes))
             first = False
-        index = cut(index.select("node", F.col("key").alias("under"), _without("text", "at", "size").alias("text")).distinct())
+        rest = _without("text", "at", "size")
+        index = cut(index.select("node", F.col("key").alias("under"), rest.alias("text")).distinct())
         if index.isEmpty():
             break
-        probes = probes.select("node", F.col("key").alias("under"), "shift", _without("text", "at", "size").alias("text")).distinct()
-        rest, size, under = F.col("text"), F.length("text"), F.col("under")
-        index = _exploded(index, _keys(rest, size, edits, 0, under, probe=False), "node", "text")
-        choices = F.coalesce(*[F.when(F.col("shift") == s, F.array(*_keys(rest, size, edits, s, under))) for s in range(edits + 1)])
-        probes = probes.select("node", "text", "shift", F.explode(choices).alias("k")).select("node", "text", "shift", "k.key", "k.at", "k.size").where("at >= 1")
+        probes = probes.select("node", F.col("key").alias("under"), "shift", rest.alias("text")).distinct()
+        index, probes = (x.withColumn("n", F.length("text")) for x in (index, probes))
+        # A line stays as much longer than its partner as it was.
+        by_shift = probes.withColumnRenamed("shift", "gap")
+        index = _keyed(index, own, edits, "node", "text", "n")
+        probes = _keyed(by_shift, asked, edits, "node", "text", "n", "gap").where(F.col("gap") == _shift(asked)).drop("gap")
         index, probes = _met(index, probes)
     pairs = found[0]
     for more in found[1:]:
