@@ -90,6 +90,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
 
 
+def test_near_duplicates_hidden_in_a_crowd(spark):
+    """Texts at 0.77 to 0.79 of each other by shared boilerplate; some have a partner just above 0.8."""
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(10**7)}"
+    base = [word() for _ in range(100)]
+    texts = []
+    for i in range(900):
+        parts = base + [word() for _ in range(13 + i % 2)]
+        texts.append(" ".join(parts))
+        if i % 9 == 0:
+            texts.append(" ".join(parts[:-12] + [word() for _ in range(12)]))
+    draw.shuffle(texts)
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want) == 100
+    got = prob_minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    got = sorted(((r.doc_id, r.class_id) for r in got), key=str)
+    assert sum(x != y for x, y in zip(got, want)) == 0
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = prob_minhash.near_duplicates(odd).collect()
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(awkward() + WITHOUT_ID)
