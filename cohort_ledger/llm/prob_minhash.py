@@ -1,11 +1,13 @@
 """Near duplicates: ProbMinHash signatures, banding and exact verification.
 
-Shingles are ``SHINGLE`` words in a row, weighted by 1 + ln(times they occur).
-Each is a Poisson process of its weight as rate; every arrival falls into a
-random register, which keeps the first arrival and the shingle it came from.
+Shingles are ``SHINGLE`` words in a row.  Each is a Poisson process of its weight
+as rate; every arrival falls into a random register, which keeps the first
+arrival and the shingle it came from.  Links are judged by the sets of shingles,
+so every distinct shingle has the same weight, however often it occurs.
 All processes advance together and one stops once its next arrival is later
 than every register of its document (early termination).  The share of equal
-registers of two documents estimates their probability Jaccard similarity.
+registers of two documents estimates their probability Jaccard similarity,
+which for equal weights is the Jaccard similarity of the sets.
 
 Registers are banded.  Documents that share a band are candidates; candidates
 whose estimate is not hopeless (``SLACK``, four standard deviations) are
@@ -85,7 +87,7 @@ def shingles(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def registers(n_docs: int, doc: np.ndarray, name: np.ndarray, times: np.ndarray, k: int = REGISTERS) -> np.ndarray:
-    """The shingle of the first arrival in each register: (document, register) of 64-bit hashes."""
+    """The shingle of the first arrival in each register: (document, register) of 64-bit hashes; the weight is 1 + ln(times)."""
     first, owner = np.full(n_docs * k, np.inf), np.zeros(n_docs * k, np.uint64)
     rate = 1.0 + np.log(times)
     clock, step = np.zeros(len(name)), 0
@@ -110,9 +112,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
             for texts in W.slices(batch.column("text")):
-                doc, name, times = shingles(texts)
+                doc, name, _ = shingles(texts)
                 filled = np.bincount(doc, minlength=texts.n) > 0
-                out = (registers(texts.n, doc, name, times) >> np.uint64(32)).astype("<u4")
+                out = (registers(texts.n, doc, name, np.ones(len(name))) >> np.uint64(32)).astype("<u4")
                 values = [out[i].tobytes() if filled[i] else None for i in range(texts.n)]
                 cut_ = slice(texts.rows.start, texts.rows.stop)
                 yield pa.RecordBatch.from_arrays([batch.column(c)[cut_] for c in ("doc_id", "node")] + [pa.array(values, pa.binary())], names=["doc_id", "node", "signature"])

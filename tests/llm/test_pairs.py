@@ -110,6 +110,22 @@ def test_near_duplicates_hidden_in_a_crowd(spark):
     assert sum(x != y for x, y in zip(got, want)) == 0
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    """A passage stands once in one text and 100 times in its near copy: the sets of shingles hardly differ."""
+    draw = random.Random(12)
+    word = lambda: f"w{draw.randrange(10**7)}"
+    rows = []
+    for i in range(20):
+        body, line = [word() for _ in range(60)], [word() for _ in range(10)]
+        for j, times in enumerate((1, 100)):
+            text = " ".join(body + line * times)
+            rows.append((2 * i + j, text, "en", "a", 1))
+    want = brute_classes(rows)
+    assert [c for _, c in sorted(want)] == [i - i % 2 for i in range(40)]
+    got = prob_minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = prob_minhash.near_duplicates(odd).collect()
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(awkward() + WITHOUT_ID)
