@@ -9,6 +9,7 @@ rows may arrive in any order, and losing an executor repeats one batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +23,7 @@ from cohort_ledger.model import (
 from cohort_ledger.operators.ingest import gate_censored, merge_fill, one_per_key, stamp_done
 from cohort_ledger.operators.qc import ACTIVE_KEY, autoflag_extract, dedupe_active, new_events
 from cohort_ledger.operators.replay import replay_qc_log
+from cohort_ledger.session import cut
 
 
 def _append(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -100,15 +102,14 @@ def current_flags(flags: DataFrame, rows: DataFrame, events: DataFrame, key: str
 def stream_qc_log(
     spark: SparkSession, landing: str, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Log lines as appended rows of the log schema.
+    """Log lines as appended rows of the log schema, with the ``_place`` of each in its batch.
 
-    Lines without ``seq`` are numbered by batch and place in it.
+    Places number the rows of a batch in the order it was read.
     """
     lines = spark.readStream.schema(LOG_SCHEMA).json(landing)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        place = F.lit(batch_id) * (1 << 44) + F.monotonically_increasing_id()
-        _append(batch.withColumn("seq", F.coalesce("seq", place)), batch_id, f"{out}/log")
+        _append(batch.withColumn("_place", F.monotonically_increasing_id()), batch_id, f"{out}/log")
 
     return (
         lines.writeStream.foreachBatch(write)
@@ -118,9 +119,38 @@ def stream_qc_log(
     )
 
 
+def _numbered(rows: DataFrame, order: list[str], start) -> DataFrame:
+    """``seq`` counted up from ``start`` in the order of the columns, in as many tasks as there are ranges."""
+    part = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range.
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_of", before.alias("_start"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    counted = part.withColumn("_nth", place).join(starts, F.col("_part") == F.col("_of"))
+    return counted.withColumn("seq", (start + F.col("_start") + F.col("_nth")).cast("bigint")).drop("_part", "_of", "_start", "_nth")
+
+
 def current_log(log: DataFrame) -> DataFrame:
-    """The appended log without lines delivered twice, which share their ``seq``."""
-    return log.drop("_batch").dropDuplicates(["seq"])
+    """The appended log without lines delivered twice, each line with a ``seq`` of its own.
+
+    A line with ``seq`` is delivered twice if all its fields are equal; a line
+    without one never, as a repeated batch replaces itself.  Lines keep the
+    ``seq`` they bring.  Where different lines bring the same one, all lines with
+    ``seq`` are numbered anew by ``seq``, batch and place.  Lines without follow
+    after them, by batch and place.
+    """
+    names = [c for c in log.columns if c not in ("_batch", "_place")]
+    given = log.filter(F.col("seq").isNotNull()).groupBy(*names).agg(F.min(F.struct("_batch", "_place")).alias("_at"))
+    given = cut(given.select(*names, "_at._batch", "_at._place"))
+    if not given.groupBy("seq").count().filter("count > 1").isEmpty():
+        given = _numbered(given, ["seq", "_batch", "_place"], F.lit(0))
+    plain = log.filter(F.col("seq").isNull())
+    if plain.isEmpty():
+        return given.select(*names)
+    last = given.agg(F.max("seq")).first()[0]
+    plain = _numbered(plain, ["_batch", "_place"], F.lit(-1 if last is None else last) + 1)
+    return given.select(*names).unionByName(plain.select(*names))
 
 
 def current_events(

@@ -224,6 +224,40 @@ def test_stream_of_log_lines(spark, tmp_path, rows, cohort):
     assert events.count() == 4
 
 
+def test_stream_keeps_different_log_lines(spark, tmp_path):
+    """Places beyond 2,048 partitions, two files that number their lines from 0, and a line delivered twice."""
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    for i in range(2):
+        (landing / f"{i}.json").write_text("".join('{"seq": %d, "action": "censor", "entity_id": "A%d%d"}\n' % (j, i, j) for j in range(3)))
+        streaming.stream_qc_log(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
+    (landing / "2.json").write_text('{"seq": 1, "action": "censor", "entity_id": "A11"}\n{"action": "censor", "entity_id": "B"}\n{"action": "censor", "entity_id": "B"}\n')
+    streaming.stream_qc_log(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
+    found = streaming.current_log(spark.read.parquet(f"{out}/log")).orderBy("seq").collect()
+    assert [r.entity_id for r in found] == ["A00", "A10", "A01", "A11", "A02", "A12", "B", "B"]
+    assert [r.seq for r in found] == list(range(8))
+
+
+def test_stream_keeps_lines_of_very_many_partitions(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    wave = lambda n, name: "".join('{"action": "censor", "entity_id": "%s%d"}\n' % (name, i) for i in range(n))
+    (landing / "0.json").write_text(wave(2200, "a"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        streaming.stream_qc_log(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    (landing / "1.json").write_text(wave(1, "b"))
+    streaming.stream_qc_log(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
+    found = streaming.current_log(spark.read.parquet(f"{out}/log"))
+    assert found.count() == found.select("seq").distinct().count() == 2201
+    assert found.orderBy("seq").tail(1)[0].entity_id == "b0"
+
+
 def test_log_reports(spark, rows):
     entries = [
         {"seq": 1, "action": "append", "analysis": "merge", "slurm_job_id": "1", "columns_added": ["x", "merge_done"]},
