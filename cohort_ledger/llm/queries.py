@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_ledger.llm import decontaminate, line_dedup, mixing, prob_minhash, quality_cnn, quality_gbt, sharding, substring_dedup, token_files, url_filter
+from cohort_ledger.llm import (
+    decontaminate,
+    hard_negatives,
+    line_dedup,
+    mixing,
+    prefix_trie,
+    prob_minhash,
+    quality_cnn,
+    quality_gbt,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_files,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,3 +165,41 @@ def op9(spark, folder):
 def op10(spark, folder):
     placed = sharding.interleave(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_simhash")
+def op11(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+HARD_NEGATIVE_SQL = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER place AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW place AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER place <= 5
+"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVE_SQL)
+def op12(spark, folder):
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query("op13_prefix_trie")
+def op13(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
