@@ -71,6 +71,10 @@ class Block:
     lists: np.ndarray  #: (dimension, place) positions by falling component
     tops: np.ndarray  #: (dimension, place) those components
 
+    def __post_init__(self):
+        self.doubles = self.values.astype(np.float64)
+        self.largest = float(np.abs(self.doubles).max(initial=0.0))
+
     @classmethod
     def of(cls, ids, labels, ties, values) -> Block:
         order = np.lexsort((ties, labels, ids))  # position order is the order of ties
@@ -78,34 +82,44 @@ class Block:
         lists = np.argsort(-values, axis=0, kind="stable").T.astype(np.int32)
         return cls(ids, labels, ties, values, np.ascontiguousarray(lists), np.take_along_axis(values.T, lists, 1))
 
+    def scores(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Integer inner products; by floating point where every sum is an exact double."""
+        if self.largest * float(np.abs(anchor).max()) * max(self.values.shape[1], 1) < 2.0**53:
+            return (self.doubles[at] @ anchor.astype(np.float64)).astype(np.int64)
+        return self.values[at] @ anchor
+
 
 def walk(block: Block, anchor: np.ndarray, wanted, floors: np.ndarray, ceilings: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions, scores) of the best ``k`` wanted rows of each window ``floor <= score <= ceiling``.
 
     ``wanted`` says of positions which may be taken.  Best first, ties by position.
     """
-    n, dims = block.values.shape
+    n, _ = block.values.shape
     weight = anchor[anchor != 0]
     lists, tops = block.lists[anchor != 0], block.tops[anchor != 0]
     down = weight > 0
-    met = np.zeros(n, bool)
+    falling, rising = lists[down], lists[~down]
+    met, n_met = np.zeros(n, bool), 0
     kept_at, kept_score = np.zeros(0, np.int64), np.zeros(0, np.int64)
     kth = floors.copy()  # a window needs no row below this
     depth, step = 0, FIRST_DEPTH
     if not len(weight):  # every score is zero and the threshold never falls
-        depth, kept_at = n, np.flatnonzero(wanted(np.arange(n)))
+        n_met, kept_at = n, np.flatnonzero(wanted(np.arange(n)))
         kept_score = np.zeros(len(kept_at), np.int64)
-    while depth < n:
+    while n_met < n:
         stop = min(depth + step, n)
-        for chosen, span in ((down, slice(depth, stop)), (~down, slice(n - stop, n - depth))):
-            fresh = np.unique(lists[chosen, span])
-            fresh = fresh[~met[fresh]]
-            met[fresh] = True
-            fresh = fresh[wanted(fresh)]
-            scores = block.values[fresh] @ anchor
-            kept_at, kept_score = np.concatenate([kept_at, fresh]), np.concatenate([kept_score, scores])
+        here = np.zeros(n, bool)
+        here[falling[:, depth:stop]] = True
+        here[rising[:, n - stop : n - depth]] = True
+        fresh = np.flatnonzero(here & ~met)
+        met |= here
+        n_met += len(fresh)
+        fresh = fresh[wanted(fresh)]
+        scores = block.scores(fresh, anchor)
+        useful = (scores >= kth.min()) & (scores <= ceilings.max())
+        kept_at, kept_score = np.concatenate([kept_at, fresh[useful]]), np.concatenate([kept_score, scores[useful]])
         depth, step = stop, 2 * step
-        if depth == n:
+        if n_met == n:
             break
         threshold = int((weight * np.where(down, tops[:, depth - 1], tops[:, n - depth])).sum())
         for w in range(len(floors)):
