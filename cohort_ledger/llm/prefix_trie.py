@@ -24,6 +24,7 @@ rows are turns like others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -185,8 +186,6 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     """
 
     def digest(batches):
-        import hashlib
-
         key, state = None, None
         row = lambda: pa.RecordBatch.from_pydict({"end_depth": [key[0]], "e1": [key[1]], "e2": [key[2]], "ends_sha256": [state.hexdigest()]})
         for batch in batches:
@@ -285,8 +284,7 @@ def root(lengths: DataFrame, groups: DataFrame, heads: DataFrame, top) -> DataFr
     n_leaves = (sums.n_leaves or 0) + tips.n_leaves if n_children else 1
     zero = F.lit(0).cast("long")
     ends = ends_digests(lengths.where("length = 0").select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id")).select("ends_sha256")
-    spark = lengths.sparkSession
-    kinds = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
-    row = spark.createDataFrame([(top.least, 0, None, top.n, n_children, n_leaves, sums.saved or 0)] if top.n else [], kinds)
-    ended = ends.agg(F.max("ends_sha256").alias("found"))
-    return row.join(ended, F.lit(True), "left").select("*", F.coalesce("found", F.sha2(F.lit(""), 256)).alias("ends_sha256")).drop("found")
+    found = ends.agg(F.max("ends_sha256").alias("found")).first().found
+    kinds = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+    row = (top.least, 0, None, top.n, n_children, n_leaves, sums.saved or 0, found or hashlib.sha256().hexdigest())
+    return lengths.sparkSession.createDataFrame([row] if top.n else [], kinds)

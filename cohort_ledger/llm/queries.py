@@ -200,6 +200,41 @@ def op12(spark, folder):
     return hard_negatives.mine(table(spark, folder, "embeddings"))
 
 
-@query("op13_prefix_trie")
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (  -- the polynomial of CRC-32, bit by bit over the bytes of the decimal id
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), made AS (
+  SELECT c.conv_id, list({'r': t.role, 't': t.text} ORDER BY t.conv_id <> c.conv_id - c.conv_id % 20 OR t.place > h, t.place) FILTER (WHERE t.place IS NOT NULL) AS seq
+  FROM crc c LEFT JOIN t ON (t.conv_id = c.conv_id - c.conv_id % 20 AND t.place <= h) OR (t.conv_id = c.conv_id AND t.place > h)
+  GROUP BY c.conv_id
+), member AS (
+  SELECT conv_id, d, coalesce(seq, [])[1:d] AS path, d = len(coalesce(seq, [])) AS ends
+  FROM (SELECT *, unnest(range(0, len(coalesce(seq, [])) + 1)) AS d FROM made)
+), node AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM member GROUP BY path, d
+), born AS (
+  SELECT path[1:depth - 1] AS above, count(*) AS n FROM node WHERE depth > 0 GROUP BY above
+), sized AS (
+  SELECT node.*, coalesce(born.n, 0) AS n_children FROM node LEFT JOIN born ON node.path = born.above
+), under AS (
+  SELECT path[1:k] AS top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM sized) GROUP BY top
+)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM sized s JOIN under u ON s.path = u.top LEFT JOIN node p ON s.depth > 0 AND p.path = s.path[1:s.depth - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
 def op13(spark, folder):
     return prefix_trie.trie(table(spark, folder, "conversations"))
