@@ -64,7 +64,7 @@ def last_before(rows: DataFrame, keys: list[str], order: str, marked, name: str,
     return local.join(before, [*keys, "_chunk"], "left").withColumn(name, F.coalesce("_near", "_far")).drop("_at", "_chunk", "_near", "_far")
 
 
-def _entries(log: DataFrame) -> DataFrame:
+def log_entries(log: DataFrame) -> DataFrame:
     """Log rows as single open and close entries on ``(level, entity_id, kind)``.
 
     One pass over the log: each row becomes an array of its entries.
@@ -174,7 +174,7 @@ def replay_qc_log(
             for lv in schema.levels
         ],
     )
-    entries = cut(_entries(log))
+    entries = cut(log_entries(log))
     opens = entries.filter(F.col("op") == "open")
     orphans = opens.join(known, ["level", "entity_id"], "left_anti")
     opens = opens.join(known, ["level", "entity_id"], "left_semi")

@@ -618,3 +618,21 @@ def _(m: Model) -> DataFrame:
         streaming.stream_qc_log(spark, landing, out, checkpoint).awaitTermination()
     events = streaming.current_events(spark.read.parquet(f"{out}/log"), *m.levels)
     return events.select("id", "level", "entity_id", "kind", F.col("resolved_at").isNull().alias("active"))
+
+
+@query(
+    "stream_qc_state",
+    "WITH " + REPLAY_SQL + """
+       SELECT id, p.level, p.entity_id, kind, after IS NULL AS active FROM paired p
+       JOIN known k ON k.level = p.level AND k.entity_id = p.entity_id WHERE op = 'open'""",
+)
+def _(m: Model) -> DataFrame:
+    """The whole log in three waves that mix its order, through keyed state."""
+    spark = m.spark
+    landing, out, checkpoint = (fresh_path(spark, n) for n in ("log", "changes", "progress"))
+    log = m.qc_log
+    for wave in range(3):
+        log.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == wave).write.mode("append").json(landing)
+        streaming.stream_qc_state(spark, landing, out, checkpoint).awaitTermination()
+    events = streaming.state_events(spark.read.parquet(out), *m.levels)
+    return events.select("id", "level", "entity_id", "kind", F.col("resolved_at").isNull().alias("active"))
