@@ -1,15 +1,16 @@
 """Rebuilding events and entities from the provenance log.
 
-The log is ordered by ``seq``.  Neighbouring entries of one key are compared
-through chunks of the sequence, so that a key with most of the log is spread
-over many tasks.
+The log is ordered by ``seq``.  A key's sequence is cut into segments, each of
+which acts on the key's state (open or closed) like a small automaton; segments
+are folded on their own and the folds combined, so that a key with most of the
+log is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,47 +22,60 @@ from cohort_ledger.session import cut
 CHUNK = 1_000_000
 
 
-def neighbour(
-    rows: DataFrame, keys: list[str], order: str, columns: list[str], name: str,
-    forward: bool = False, chunk: int = CHUNK,
-) -> DataFrame:
-    """Add ``name``: a struct of ``columns`` of the previous (or next) row of a key.
+def segments(rows: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
+    """Rows with their ``_segment``: the part of a key's sequence that one task sees.
 
-    ``order`` holds unique integers.  A chunk covers a fixed range of them, so a
-    window never sees more than ``chunk`` rows; the first row of a chunk looks
-    to the nearest row of the nearest earlier chunk, through one summary row
-    per key and chunk.
+    A segment covers a fixed range of ``order``, so a key with most of the log is many.
     """
-    sign = -1 if forward else 1
-    step = F.col("_step")
-    value = F.struct(*columns)
-    rows = rows.withColumn("_step", F.col(order) * sign).withColumn(
-        "_chunk", F.floor(F.col("_step") / chunk)
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy("_step")
-    local = rows.withColumn("_near", F.lag(value).over(inside))
-    last = rows.groupBy(*keys, "_chunk").agg(F.max_by(value, step).alias("_last"))
-    across = W.partitionBy(*keys).orderBy("_chunk")
-    before = last.select(*keys, "_chunk", F.lag("_last").over(across).alias("_far"))
-    return (
-        local.join(before, [*keys, "_chunk"], "left")
-        .withColumn(name, F.coalesce("_near", "_far"))
-        .drop("_step", "_chunk", "_near", "_far")
-    )
+    return rows.withColumn("_segment", F.floor(F.col(order) / chunk)).repartition(*keys, "_segment")
+
+
+def _across(rows: DataFrame, keys: list[str], folds: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
+    """Each segment folded into one row, the folds combined along their key, and the result beside the rows.
+
+    ``folds`` are aggregates of a segment; ``carries`` are what a segment is given by
+    the others, as window expressions over the folds.
+    """
+    folded = rows.groupBy(*keys, "_segment").agg(*[f.alias(n) for n, f in folds.items()])
+    given = folded.select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, "_segment"]], *[c.alias(n) for n, c in carries.items()])
+    # A key may lack a part (a close that names nothing), which is a key like any other.
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_segment"]]
+    return rows.join(given, reduce(Column.__and__, same), "left").drop(*[f"_of_{c}" for c in [*keys, "_segment"]])
 
 
-def last_before(rows: DataFrame, keys: list[str], order: str, marked, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Add ``name``: the ``order`` of the last earlier row of a key for which ``marked`` holds.
+def fold_steps(steps: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
+    """Opening and closing steps with what they do, by the two states of their key.
 
-    As in ``neighbour``, chunks of the order keep a hot key in many tasks.
+    ``steps`` have ``op`` (open, close) and ``_opened``, the order of the event that a
+    close names, or NULL.  Adds ``_open``, whether the key is open before the step,
+    and ``_next``, the close that follows; a close of an event that was closed by key
+    since is left out.  A segment acts on the state like a small automaton: it is
+    known by its last close by key, its last operation and its first close.
     """
-    rows = rows.withColumn("_at", F.when(marked, F.col(order))).withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inside = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    across = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    tops = rows.groupBy(*keys, "_chunk").agg(F.max("_at").alias("_top"))
-    before = tops.select(*keys, "_chunk", F.max("_top").over(across).alias("_far"))
-    local = rows.withColumn("_near", F.max("_at").over(inside))
-    return local.join(before, [*keys, "_chunk"], "left").withColumn(name, F.coalesce("_near", "_far")).drop("_at", "_chunk", "_near", "_far")
+    close = F.col("op") == "close"
+    by_key = F.when(close & F.col("_opened").isNull(), F.col(order))
+    rows = segments(steps, keys, order, chunk)
+    along = W.partitionBy(*keys, "_segment").orderBy(order)
+    chain = W.partitionBy(*keys).orderBy("_segment")
+    before = chain.rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc("_segment")).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.max(by_key).over(along.rowsBetween(W.unboundedPreceding, -1)))
+    rows = _across(rows, keys, {"_top": F.max(by_key)}, {"_far": F.max("_top").over(before)})
+    spent = F.coalesce(F.greatest("_near", "_far") > F.col("_opened"), F.lit(False))
+    rows = rows.filter(~spent).drop("_near", "_far")
+
+    back = W.partitionBy(*keys, "_segment").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    closing = F.when(close, F.struct(order, "at", "by", "reason"))
+    rows = rows.withColumn("_before", F.lag("op").over(along)).withColumn("_after", F.last(closing, ignorenulls=True).over(back))
+    rows = _across(
+        rows, keys, {"_last": F.max_by("op", order), "_first": F.min(closing)},
+        {"_came": F.lag("_last").over(chain), "_comes": F.last("_first", ignorenulls=True).over(after)},
+    )
+    return (
+        rows.withColumn("_open", F.coalesce("_before", "_came", F.lit("close")) == "open")
+        .withColumn("_next", F.coalesce("_after", "_comes"))
+        .drop("_before", "_after", "_came", "_comes", "_segment")
+    )
 
 
 def log_entries(log: DataFrame) -> DataFrame:
@@ -170,14 +184,15 @@ def replay_qc_log(
     known = reduce(
         DataFrame.unionByName,
         [
-            frames[lv.name].select(F.lit(lv.name).alias("level"), F.col(lv.key).alias("entity_id"))
+            frames[lv.name].select(F.lit(lv.name).alias("level"), F.col(lv.key).cast("string").alias("entity_id"))
             for lv in schema.levels
         ],
     )
-    entries = cut(log_entries(log))
+    known = known.distinct().withColumn("_known", F.lit(True))
+    entries = cut(log_entries(log).join(known, ["level", "entity_id"], "left"))
     opens = entries.filter(F.col("op") == "open")
-    orphans = opens.join(known, ["level", "entity_id"], "left_anti")
-    opens = opens.join(known, ["level", "entity_id"], "left_semi")
+    orphans = opens.filter(F.col("_known").isNull())
+    entries, opens = entries.drop("_known"), opens.filter("_known").drop("_known")
 
     closes = entries.filter(F.col("op") == "close")
     named = (
@@ -208,19 +223,13 @@ def replay_qc_log(
         .select(*entries.columns)
     )
     never = F.lit(None).cast("bigint").alias("_opened")
-    by_keys = by_key.unionByName(all_kinds)
-    closings = by_id.unionByName(by_keys.select("*", never))
-    closings = last_before(closings, ACTIVE_KEY, "seq", F.col("_opened").isNull(), "_closed", chunk)
-    spent = F.coalesce(F.col("_closed") > F.col("_opened"), F.lit(False))
-    steps = opens.unionByName(closings.filter(~spent).select(*entries.columns))
-
-    marked = cut(neighbour(steps, ACTIVE_KEY, "seq", ["op"], "_prev", chunk=chunk))
-    before = F.coalesce(F.col("_prev.op"), F.lit("close"))
-    turns = marked.filter(F.col("op") != before).drop("_prev")
+    plain = opens.unionByName(by_key).unionByName(all_kinds).select("*", never)
+    marked = cut(fold_steps(plain.unionByName(by_id), ACTIVE_KEY, "seq", chunk))
+    opening = F.col("op") == "open"
+    turns = marked.filter(opening != F.col("_open"))
     from_batch = F.coalesce(F.col("qc_event_id"), F.lit("")) == "*"
-    unmatched = marked.filter((F.col("op") == "close") & (before == "close") & ~from_batch)
-    paired = neighbour(turns, ACTIVE_KEY, "seq", ["op", "at", "by", "reason"], "_next", True, chunk)
-    events = paired.filter(F.col("op") == "open").select(
+    unmatched = marked.filter(~opening & ~F.col("_open") & ~from_batch)
+    events = turns.filter(opening).select(
         F.coalesce(
             F.col("qc_event_id"),
             event_id(F.col("level"), F.col("entity_id"), F.col("kind"),
