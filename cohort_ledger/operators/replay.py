@@ -22,25 +22,12 @@ from cohort_ledger.session import cut
 CHUNK = 1_000_000
 
 
-def segments(rows: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows with their ``_segment``: the part of a key's sequence that one task sees.
-
-    A segment covers a fixed range of ``order``, so a key with most of the log is many.
-    """
-    return rows.withColumn("_segment", F.floor(F.col(order) / chunk)).repartition(*keys, "_segment")
-
-
-def _across(rows: DataFrame, keys: list[str], folds: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
-    """Each segment folded into one row, the folds combined along their key, and the result beside the rows.
-
-    ``folds`` are aggregates of a segment; ``carries`` are what a segment is given by
-    the others, as window expressions over the folds.
-    """
-    folded = rows.groupBy(*keys, "_segment").agg(*[f.alias(n) for n, f in folds.items()])
-    given = folded.select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, "_segment"]], *[c.alias(n) for n, c in carries.items()])
-    # A key may lack a part (a close that names nothing), which is a key like any other.
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_segment"]]
-    return rows.join(given, reduce(Column.__and__, same), "left").drop(*[f"_of_{c}" for c in [*keys, "_segment"]])
+def _beside(rows: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what their segment is given; a key that lacks a part is a key like any other."""
+    names = [*keys, "_segment"]
+    given = given.withColumnsRenamed({c: f"_of_{c}" for c in names})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    return rows.join(given, same, "left").drop(*[f"_of_{c}" for c in names])
 
 
 def fold_steps(steps: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
@@ -49,33 +36,39 @@ def fold_steps(steps: DataFrame, keys: list[str], order: str, chunk: int = CHUNK
     ``steps`` have ``op`` (open, close) and ``_opened``, the order of the event that a
     close names, or NULL.  Adds ``_open``, whether the key is open before the step,
     and ``_next``, the close that follows; a close of an event that was closed by key
-    since is left out.  A segment acts on the state like a small automaton: it is
-    known by its last close by key, its last operation and its first close.
+    since is left out.
+
+    A segment of a key's sequence covers a fixed range of ``order``, so that a key with
+    most of the log is many.  It acts on the key's state like a small automaton, known
+    by its last close by key, its last operation and its first close.  Segments are
+    walked on their own, and their folds, one row each, combined along the key.  A log
+    that fits one segment has nothing to combine.
     """
     close = F.col("op") == "close"
     by_key = F.when(close & F.col("_opened").isNull(), F.col(order))
-    rows = segments(steps, keys, order, chunk)
-    along = W.partitionBy(*keys, "_segment").orderBy(order)
-    chain = W.partitionBy(*keys).orderBy("_segment")
-    before = chain.rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy(F.desc("_segment")).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.max(by_key).over(along.rowsBetween(W.unboundedPreceding, -1)))
-    rows = _across(rows, keys, {"_top": F.max(by_key)}, {"_far": F.max("_top").over(before)})
-    spent = F.coalesce(F.greatest("_near", "_far") > F.col("_opened"), F.lit(False))
-    rows = rows.filter(~spent).drop("_near", "_far")
-
-    back = W.partitionBy(*keys, "_segment").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    rows = cut(steps.withColumn("_segment", F.floor(F.col(order) / chunk)))
+    span = rows.agg(F.min("_segment").alias("low"), F.max("_segment").alias("high")).first()
+    many = span.low != span.high
+    names = [*keys, "_segment"]
+    chain, along = W.partitionBy(*keys).orderBy("_segment"), W.partitionBy(*names).orderBy(order)
+    earlier = chain.rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy(F.desc("_segment")).rowsBetween(W.unboundedPreceding, -1)
+    last_close = F.max(by_key).over(along.rowsBetween(W.unboundedPreceding, -1))
+    if many:
+        tops = rows.groupBy(*names).agg(F.max(by_key).alias("_top"))
+        rows = _beside(rows, tops.select(*names, F.max("_top").over(earlier).alias("_far")), keys)
+        last_close = F.greatest(last_close, "_far")
+    rows = rows.withColumn("_closed", last_close).filter(F.coalesce(F.col("_closed") <= F.col("_opened"), F.lit(True)))
+
+    back = W.partitionBy(*names).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
     closing = F.when(close, F.struct(order, "at", "by", "reason"))
-    rows = rows.withColumn("_before", F.lag("op").over(along)).withColumn("_after", F.last(closing, ignorenulls=True).over(back))
-    rows = _across(
-        rows, keys, {"_last": F.max_by("op", order), "_first": F.min(closing)},
-        {"_came": F.lag("_last").over(chain), "_comes": F.last("_first", ignorenulls=True).over(after)},
-    )
-    return (
-        rows.withColumn("_open", F.coalesce("_before", "_came", F.lit("close")) == "open")
-        .withColumn("_next", F.coalesce("_after", "_comes"))
-        .drop("_before", "_after", "_came", "_comes", "_segment")
-    )
+    rows = rows.withColumn("_before", F.lag("op").over(along)).withColumn("_next", F.last(closing, ignorenulls=True).over(back))
+    rows = cut(rows)
+    if many:
+        folds = rows.groupBy(*names).agg(F.max_by("op", order).alias("_last"), F.min(closing).alias("_first"))
+        carried = folds.select(*names, F.lag("_last").over(chain).alias("_came"), F.last("_first", ignorenulls=True).over(later).alias("_comes"))
+        rows = _beside(rows, carried, keys).withColumns({"_before": F.coalesce("_before", "_came"), "_next": F.coalesce("_next", "_comes")})
+    return rows.withColumn("_open", F.coalesce("_before", F.lit("close")) == "open")
 
 
 def log_entries(log: DataFrame) -> DataFrame:
@@ -188,11 +181,11 @@ def replay_qc_log(
             for lv in schema.levels
         ],
     )
-    known = known.distinct().withColumn("_known", F.lit(True))
-    entries = cut(log_entries(log).join(known, ["level", "entity_id"], "left"))
+    everything = log_entries(log)
+    here = known.filter((F.col("level") == F.col("level").outer()) & (F.col("entity_id") == F.col("entity_id").outer()))
+    entries = cut(everything.filter((F.col("op") != "open") | here.exists()))
     opens = entries.filter(F.col("op") == "open")
-    orphans = opens.filter(F.col("_known").isNull())
-    entries, opens = entries.drop("_known"), opens.filter("_known").drop("_known")
+    orphans = everything.filter(F.col("op") == "open").join(known, ["level", "entity_id"], "left_anti")
 
     closes = entries.filter(F.col("op") == "close")
     named = (
@@ -224,7 +217,7 @@ def replay_qc_log(
     )
     never = F.lit(None).cast("bigint").alias("_opened")
     plain = opens.unionByName(by_key).unionByName(all_kinds).select("*", never)
-    marked = cut(fold_steps(plain.unionByName(by_id), ACTIVE_KEY, "seq", chunk))
+    marked = fold_steps(plain.unionByName(by_id), ACTIVE_KEY, "seq", chunk)
     opening = F.col("op") == "open"
     turns = marked.filter(opening != F.col("_open"))
     from_batch = F.coalesce(F.col("qc_event_id"), F.lit("")) == "*"
