@@ -182,10 +182,11 @@ def replay_qc_log(
         ],
     )
     everything = log_entries(log)
-    here = known.filter((F.col("level") == F.col("level").outer()) & (F.col("entity_id") == F.col("entity_id").outer()))
-    entries = cut(everything.filter((F.col("op") != "open") | here.exists()))
+    opening = everything.filter(F.col("op") == "open")
+    there = opening.join(known, ["level", "entity_id"], "left_semi").select(*everything.columns)
+    entries = cut(there.unionByName(everything.filter(F.col("op") != "open")))
     opens = entries.filter(F.col("op") == "open")
-    orphans = everything.filter(F.col("op") == "open").join(known, ["level", "entity_id"], "left_anti")
+    orphans = opening.join(known, ["level", "entity_id"], "left_anti")
 
     closes = entries.filter(F.col("op") == "close")
     named = (
@@ -218,11 +219,11 @@ def replay_qc_log(
     never = F.lit(None).cast("bigint").alias("_opened")
     plain = opens.unionByName(by_key).unionByName(all_kinds).select("*", never)
     marked = fold_steps(plain.unionByName(by_id), ACTIVE_KEY, "seq", chunk)
-    opening = F.col("op") == "open"
-    turns = marked.filter(opening != F.col("_open"))
+    opens_here = F.col("op") == "open"
+    turns = marked.filter(opens_here != F.col("_open"))
     from_batch = F.coalesce(F.col("qc_event_id"), F.lit("")) == "*"
-    unmatched = marked.filter(~opening & ~F.col("_open") & ~from_batch)
-    events = turns.filter(opening).select(
+    unmatched = marked.filter(~opens_here & ~F.col("_open") & ~from_batch)
+    events = turns.filter(opens_here).select(
         F.coalesce(
             F.col("qc_event_id"),
             event_id(F.col("level"), F.col("entity_id"), F.col("kind"),
