@@ -65,23 +65,51 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
 def _meeting(a: T.DataType, b: T.DataType) -> T.DataType:
-    """A type that holds the values of both: numbers widen, text is the last resort."""
+    """A type that holds every value of both unchanged: numbers widen, text is the last resort."""
     if a == b:
         return a
-    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
-        whole = all(isinstance(t, T.IntegralType) for t in (a, b))
-        return T.LongType() if whole else T.DoubleType()
-    return T.StringType()
-
-
-def _aligned(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both frames with keys of one type, so that comparing them cannot fail."""
-    kind = _meeting(left.schema[key].dataType, right.schema[key].dataType)
-    return tuple(
-        f if f.schema[key].dataType == kind else f.withColumn(key, F.col(key).cast(kind))
-        for f in (left, right)
-    )
+    kinds = (a, b)
+    if all(isinstance(t, T.IntegralType) for t in kinds):
+        return T.LongType()
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in kinds):
+        scale = max(getattr(t, "scale", 0) for t in kinds)
+        whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else _DIGITS[type(t)] for t in kinds)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    exact = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+    return T.DoubleType() if all(isinstance(t, exact) for t in kinds) else T.StringType()
+
+
+def plain_text(column: Column, kind: T.DataType) -> Column:
+    """A value as text, equal numbers of all kinds alike: whole ones without a point or exponent."""
+    text = column.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        whole = (column == F.floor(column)) & (F.abs(column) < 2.0**63)
+        return F.when(whole, column.cast("bigint").cast("string")).otherwise(text)
+    if isinstance(kind, T.DecimalType) and kind.scale:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return text
+
+
+def _as(column: Column, own: T.DataType, kind: T.DataType) -> Column:
+    """A column of type ``own`` as ``kind``."""
+    if own == kind:
+        return column
+    return plain_text(column, own) if isinstance(kind, T.StringType) else column.cast(kind)
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames with ``_key``, by which their keys are compared.
+
+    Keys of different types meet in a type that holds both unchanged, so that
+    comparing neither fails nor takes two keys for one.
+    """
+    types = [f.schema[key].dataType for f in (left, right)]
+    kind = _meeting(*types)
+    return tuple(f.withColumn("_key", _as(F.col(key), own, kind)) for f, own in zip((left, right), types, strict=True))
 
 
 def merge_fill(
@@ -95,33 +123,37 @@ def merge_fill(
 
     Columns only on one side are kept.  With ``overwrite`` matched rows take the
     right value even when it is NULL.  Where both sides differ in type, keys are
-    compared and values kept in a type that holds both, text at the last.
+    compared and values kept in a type that holds both unchanged, text at the last.
+    Keys of the left stay as they are.
     """
-    own_key = left.schema[key].dataType
-    left, right = _aligned(left, right, key)
-    incoming = [c for c in right.columns if c != key]
+    own, others = ({c.name: c.dataType for c in f.schema.fields} for f in (left, right))
+    columns = left.columns
+    left, right = aligned(left, right, key)
+    incoming = [c for c in others if c != key]
     renamed = right.select(
-        key,
+        "_key",
         F.lit(True).alias("_hit"),
+        F.col(key).alias("_new_key"),
         *[F.col(c).alias(f"_r{i}") for i, c in enumerate(incoming)],
     )
-    merged = left.join(renamed, key, "full" if allow_new else "left")
+    merged = left.join(renamed, "_key", "full" if allow_new else "left")
     right_of = {c: F.col(f"_r{i}") for i, c in enumerate(incoming)}
 
     def value(c: str) -> Column:
-        if c == key and not allow_new:  # only keys of the left are there
-            return F.col(c).cast(own_key).alias(c)
-        if c == key or c not in right_of:
+        if c == key and allow_new:
+            kind = _meeting(own[key], others[key])
+            return F.coalesce(_as(F.col(key), own[key], kind), _as(F.col("_new_key"), others[key], kind)).alias(key)
+        if c not in right_of:
             return F.col(c)
-        if c not in left.columns:
+        if c not in own:
             return right_of[c].alias(c)
-        kind = _meeting(left.schema[c].dataType, right.schema[c].dataType)
-        old, new = F.col(c).cast(kind), right_of[c].cast(kind)
+        kind = _meeting(own[c], others[c])
+        old, new = _as(F.col(c), own[c], kind), _as(right_of[c], others[c], kind)
         if overwrite:
             return F.when(F.col("_hit"), new).otherwise(old).alias(c)
         return F.coalesce(old, new).alias(c)
 
-    columns = left.columns + [c for c in incoming if c not in left.columns]
+    columns = columns + [c for c in incoming if c not in own]
     return merged.select(*[value(c) for c in columns])
 
 
@@ -212,17 +244,15 @@ def prefix_columns(results: DataFrame, prefix: str, key: str, analysis: str) ->
 
 def gate_missing_keys(results: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Result keys that the level table does not have; must be empty to load."""
-    own = results.schema[key].dataType
-    asked, known = _aligned(results.select(key).distinct(), rows.select(key), key)
-    return asked.join(known, key, "left_anti").select(F.col(key).cast(own).alias(key))
+    asked, known = aligned(results.select(key).distinct(), rows.select(key), key)
+    return asked.join(known.select("_key"), "_key", "left_anti").select(key)
 
 
 def gate_censored(results: DataFrame, rows: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Result keys whose own status forbids loading; empty when forced."""
     blocked = rows.filter(F.col("qc_status").isin(*QC_EXCLUDED)).select(key, "qc_status")
-    own = rows.schema[key].dataType
-    blocked, asked = _aligned(blocked, results.select(key).distinct(), key)
-    hits = blocked.join(asked, key, "left_semi").select(F.col(key).cast(own).alias(key), "qc_status")
+    blocked, asked = aligned(blocked, results.select(key).distinct(), key)
+    hits = blocked.join(asked.select("_key"), "_key", "left_semi").select(key, "qc_status")
     return hits.limit(0) if force else hits
 
 

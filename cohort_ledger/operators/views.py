@@ -10,6 +10,7 @@ from cohort_ledger.functions.qc import consent_usable, qc_usable
 from cohort_ledger.model import DEFAULT_SCHEMA, CohortSchema
 from cohort_ledger.operators import artifacts as art
 from cohort_ledger.operators import graph
+from cohort_ledger.operators.ingest import aligned
 from cohort_ledger.session import cut
 
 
@@ -250,14 +251,28 @@ def patient_drill(
     return entities.unionByName(attached)
 
 
+def _merged(manifest: DataFrame, results: DataFrame, key: str, how: str) -> DataFrame:
+    if manifest.schema[key].dataType == results.schema[key].dataType:
+        return manifest.join(results, key, how)
+    left, right = aligned(manifest, results, key)
+    kept, other = left.columns[:-1], [c for c in results.columns if c != key]
+    both = left.join(right.withColumnRenamed(key, "_new_key"), "_key", how)
+    if how == "left":
+        return both.select(*kept, *other)
+    return both.select(*[F.col("_key").alias(c) if c == key else F.col(c) for c in kept], *other)
+
+
 def merge_left(manifest: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Keyed merge that keeps the manifest's rows."""
-    return manifest.join(results, key, "left")
+    """Keyed merge that keeps the manifest's rows and its keys as they are."""
+    return _merged(manifest, results, key, "left")
 
 
 def merge_outer(manifest: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Keyed merge that also adds result keys the manifest lacks."""
-    return manifest.join(results, key, "full")
+    """Keyed merge that also adds result keys the manifest lacks.
+
+    Keys of different types come in a type that holds both unchanged.
+    """
+    return _merged(manifest, results, key, "full")
 
 
 def register_views(

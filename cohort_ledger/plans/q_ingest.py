@@ -38,6 +38,24 @@ def _(m: Model) -> DataFrame:
     return ingest.fill_only(_documents(m), _labels(m), "doc_id", ["quality"]).fillna(-1, ["quality"])
 
 
+BEYOND_DOUBLES = 2**53
+
+
+@query(
+    "fill_only_typed_keys",
+    f"""SELECT d.doc_id + {BEYOND_DOUBLES} AS doc_id, coalesce(l.quality, -1) AS quality
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND d.doc_id % 4 < 3""",
+)
+def _(m: Model) -> DataFrame:
+    """Long keys that doubles cannot tell apart, filled by text, decimal and (even) double keys."""
+    key = (F.col("doc_id") + F.lit(BEYOND_DOUBLES)).alias("doc_id")
+    filled = m.raw("documents").select(key, F.lit(None).cast("int").alias("quality"))
+    for turn, kind in enumerate(("string", "decimal(20,2)", "double")):
+        labels = m.raw("labels").filter(F.col("doc_id") % 4 == turn).select(key, "quality")
+        filled = ingest.fill_only(filled, labels.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id")
+    return filled.fillna(-1, ["quality"])
+
+
 @query(
     "fill_only_ordered",
     """SELECT s.specimen_id, coalesce(s.merge_done IS NULL, FALSE) AS was_empty,
