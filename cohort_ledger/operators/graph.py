@@ -78,7 +78,7 @@ def fixpoint(
     keep = seed.select(F.col(key).alias("node")).distinct()
     thin = _thin(steps, keep)
     if thin.isEmpty():
-        return _walk(seed, steps, key, hops)
+        return walked(seed, steps, key, hops)
     starts, rings = _chain_ends(_reversed(steps), thin)
     inner = starts.select(F.col("node").alias("_inner"), F.col("end").alias("_start"))
     here = thin.select(F.col("node").alias("_t"))
@@ -87,7 +87,7 @@ def fixpoint(
         .join(inner, F.col("_from") == F.col("_inner"), "left")
         .select(F.coalesce("_start", "_from").alias("_from"), "_to")
     )
-    found = checkpointed(_walk(seed, short, key, hops))
+    found = checkpointed(walked(seed, checkpointed(short.distinct()), key, hops))
     ahead = found.unionByName(seed).distinct()
     within = ahead.join(inner, F.col(key) == F.col("_start")).select(
         *[F.col("_inner").alias(c) if c == key else F.col(c) for c in seed.columns]
@@ -95,8 +95,11 @@ def fixpoint(
     return found.unionByName(within)
 
 
-def _walk(seed: DataFrame, steps: DataFrame, key: str, hops: int) -> DataFrame:
-    """The rounds of ``fixpoint``."""
+def walked(seed: DataFrame, steps: DataFrame, key: str, hops: int, seen: list[DataFrame] | None = None) -> DataFrame:
+    """Rows that ``seed`` reaches and that are not in ``seen``: the rounds of ``fixpoint``.
+
+    ``steps`` are distinct and written already.
+    """
     columns = seed.columns
     carried = [c for c in columns if c != key]
 
@@ -104,23 +107,23 @@ def _walk(seed: DataFrame, steps: DataFrame, key: str, hops: int) -> DataFrame:
         moved = frontier.withColumnRenamed(key, "_from").join(steps, "_from")
         return moved.select(F.col("_to").alias(key), *carried).distinct().select(*columns)
 
-    steps = checkpointed(steps.distinct())
+    before = list(seen or [])
     frontier = checkpointed(seed.distinct())
-    seen: list[DataFrame] = []
+    new: list[DataFrame] = []
     while True:
         layers, current = [], frontier
         for i in range(hops):
             current = hop(current)
-            if seen:
-                current = current.join(_union(seen), columns, "left_anti")
+            if before or new:
+                current = current.join(_union(before + new), columns, "left_anti")
             layers.append(current.withColumn("_hop", F.lit(i)))
         found = checkpointed(_union(layers).groupBy(*columns).agg(F.min("_hop").alias("_hop")))
         frontier = found.filter(F.col("_hop") == hops - 1).select(*columns)
-        seen.append(found.select(*columns))
+        new.append(found.select(*columns))
         if frontier.isEmpty():
-            return _union(seen)
-        if len(seen) >= COMPACT_EVERY:
-            seen = [checkpointed(_union(seen))]
+            return _union(new)
+        if len(new) >= COMPACT_EVERY:
+            new = [checkpointed(_union(new))]
 
 
 def nodes_table(nodes: DataFrame, column: str = "node") -> DataFrame:
@@ -180,18 +183,18 @@ def all_neighbors(derivation: DataFrame) -> DataFrame:
     return up.unionByName(down)
 
 
-def _up_steps(edges: DataFrame) -> DataFrame:
+def up_steps(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("down_node").alias("_from"), F.col("up_node").alias("_to"))
 
 
-def _down_steps(edges: DataFrame) -> DataFrame:
+def down_steps(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("up_node").alias("_from"), F.col("down_node").alias("_to"))
 
 
 def reachability(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Upstreams at one or more hops of each given ``node``: ``(node, upstream)``."""
     seed = nodes.select(F.col("node").alias("upstream"), F.col("node"))
-    return fixpoint(seed, _up_steps(edges), key="upstream").select("node", "upstream")
+    return fixpoint(seed, up_steps(edges), key="upstream").select("node", "upstream")
 
 
 def direct_staleness(
@@ -268,13 +271,13 @@ def derived_stale_nodes(edges: DataFrame, stale: DataFrame) -> DataFrame:
     Only the stale nodes seed the walk, which goes down the edges.  A node's own
     cause does not count unless it is its own upstream in a cycle.
     """
-    return fixpoint(stale.select("node"), _down_steps(edges))
+    return fixpoint(stale.select("node"), down_steps(edges))
 
 
 def derived_stale_pairs(edges: DataFrame, stale: DataFrame) -> DataFrame:
     """``(node, stale_upstream)`` for every directly stale upstream of a node."""
     seed = stale.select(F.col("node"), F.col("node").alias("stale_upstream"))
-    return fixpoint(seed, _down_steps(edges))
+    return fixpoint(seed, down_steps(edges))
 
 
 def derived_reasons(pairs: DataFrame, direct: DataFrame) -> DataFrame:
@@ -354,7 +357,7 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(edges.select("down_node", "up_node").distinct())
     loops = edges.filter(F.col("down_node") == F.col("up_node"))
-    steps = _up_steps(edges.filter(F.col("down_node") != F.col("up_node")))
+    steps = up_steps(edges.filter(F.col("down_node") != F.col("up_node")))
     thin = _thin(steps)
     if thin.isEmpty():
         return loops.unionByName(_core_cycles(edges))
@@ -396,7 +399,7 @@ def _core_cycles(edges: DataFrame) -> DataFrame:
             .select("down_node", "up_node", F.col("_c1").alias("color"))
         )
         roots = colors.filter(F.col("node") == F.col("color")).select("node")
-        members = checkpointed(roots.unionByName(fixpoint(roots, _down_steps(colored))).distinct())
+        members = checkpointed(roots.unionByName(fixpoint(roots, down_steps(colored))).distinct())
         cyclic.append(
             colored.join(members.withColumnRenamed("node", "down_node"), "down_node", "left_semi")
             .join(members.withColumnRenamed("node", "up_node"), "up_node", "left_semi")

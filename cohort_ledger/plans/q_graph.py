@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cohort_ledger.functions.nodes import format_node, parse_node
 from cohort_ledger.operators import artifacts as art
-from cohort_ledger.operators import graph
+from cohort_ledger.operators import closure, graph
 from cohort_ledger.plans.dataset import AS_OF, Model
 from cohort_ledger.plans.registry import query
+from cohort_ledger.session import cut
 
 
 def _direct(m: Model) -> DataFrame:
@@ -384,3 +385,49 @@ def _(m: Model) -> DataFrame:
         keys.select("batch_id", F.lit("second").alias("operator"), F.lit(2).alias("n"))
     )
     return art.upsert_batches(m.batches, rows, "n")
+
+
+def _some(edges: DataFrame, new: bool) -> DataFrame:
+    """One edge in a hundred by a hash as the new ones, the rest as those there were."""
+    turn = F.pmod(F.xxhash64("down_node", "up_node"), F.lit(100)) == 0
+    return edges.filter(turn if new else ~turn)
+
+
+@query("reachability_after", "SELECT node, upstream FROM reach")
+def _(m: Model) -> DataFrame:
+    """The stored closure without one edge in a hundred and without the last nodes, brought up to date."""
+    nodes = m.cohort_artifacts.select(F.concat(F.lit("cohort:"), "analysis", F.lit("@"), "run_tag").alias("node"), "artifact_id")
+    late = F.col("artifact_id").cast("bigint") % 50 == 7
+    old_nodes, new_nodes = nodes.filter(~late).select("node"), nodes.filter(late).select("node")
+    edges = cut(_edges(m))
+    old, new = _some(edges, False), _some(edges, True)
+    reach = cut(graph.reachability(old, old_nodes))
+    return closure.reachability_after(reach, old, old_nodes, new, new_nodes)
+
+
+@query("derived_staleness_after", "SELECT node FROM stale_nodes")
+def _(m: Model) -> DataFrame:
+    """As derived_staleness, with new edges and nodes that have just become stale."""
+    edges, stale = cut(_edges(m)), cut(_direct(m).filter("directly_stale").select("node"))
+    late = F.pmod(F.xxhash64("node"), F.lit(20)) == 0
+    old, new = _some(edges, False), _some(edges, True)
+    derived = cut(graph.derived_stale_nodes(old, stale.filter(~late)))
+    return closure.derived_stale_after(derived, old, stale.filter(~late), new, stale.filter(late))
+
+
+@query(
+    "is_above",
+    """WITH numbered AS (SELECT node, CAST(artifact_id AS BIGINT) AS n FROM artifacts),
+       pairs AS (SELECT a.node, b.node AS other FROM numbered a JOIN numbered b ON b.n = a.n // 2 OR b.n = a.n // 8 OR b.n = a.n // 8 + 1 OR b.n = a.n + 1)
+       SELECT p.node, p.other, r.node IS NOT NULL AS above FROM pairs p LEFT JOIN reach r ON r.node = p.node AND r.upstream = p.other""",
+)
+def _(m: Model) -> DataFrame:
+    """Every artifact with its parent's number, its third ancestor's, the one beside that, and the next one."""
+    numbered = m.cohort_artifacts.select(
+        F.concat(F.lit("cohort:"), "analysis", F.lit("@"), "run_tag").alias("node"), F.col("artifact_id").cast("bigint").alias("n")
+    )
+    wanted = F.array_distinct(F.array(F.expr("n div 2"), F.expr("n div 8"), F.expr("n div 8 + 1"), F.expr("n + 1")))
+    asked = numbered.select("node", F.explode(wanted).alias("w"))
+    pairs = asked.join(numbered.select(F.col("node").alias("other"), "n"), F.col("w") == F.col("n")).select("node", "other")
+    edges = cut(_edges(m))
+    return closure.is_above(pairs, edges, closure.interval_index(edges))
