@@ -571,7 +571,9 @@ def register_cohort(
             tables[lv.name], frames[lv.name], lv.name, parents, True, overwrite, schema=schema
         )
         out[lv.name] = done["rows"]
-        parents = None if lv is schema.levels[-1] else cut(done["rows"].select(lv.key))
+        if lv is not schema.levels[-1]:
+            # The keys there were and those that came in; no need to merge for them.
+            parents = cut(tables[lv.name].select(lv.key).unionByName(done["inserted"].select(lv.key)))
         rejects.append(done["rejects"].withColumn("level", F.lit(lv.name)))
     out["rejects"] = reduce(DataFrame.unionByName, rejects)
     return out

@@ -6,6 +6,8 @@ then read back by the operator under test.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,9 @@ from cohort_ledger.operators import summaries, validate, views
 from cohort_ledger.plans.dataset import AS_OF, Model
 from cohort_ledger.plans.q_qc import REPLAY_SQL
 from cohort_ledger.plans.registry import query
-from cohort_ledger.session import fresh_path
+from cohort_ledger.session import cut, fresh_path
+from cohort_ledger.sinks import versions
+from cohort_ledger.streaming import compact
 
 DOC_FIELDS = T.StructType(
     [
@@ -636,3 +640,52 @@ def _(m: Model) -> DataFrame:
         streaming.stream_qc_state(spark, landing, out, checkpoint).awaitTermination()
     events = streaming.state_events(spark.read.parquet(out), *m.levels)
     return events.select("id", "level", "entity_id", "kind", F.col("resolved_at").isNull().alias("active"))
+
+
+@query(
+    "stream_append_compacted",
+    """SELECT s.specimen_id, CASE WHEN l.n IS NULL THEN '~' ELSE 'wave ' || (CAST(s.specimen_id AS BIGINT) % 4) END AS wave
+       FROM specimens s LEFT JOIN (SELECT specimen_id, count(*) AS n FROM assay_rows GROUP BY specimen_id) l
+         ON l.specimen_id = s.specimen_id""",
+)
+def _(m: Model) -> DataFrame:
+    """Four waves, each with the keys of those before, merged into snapshots as they come."""
+    spark = m.spark
+    landing, out, checkpoint = (fresh_path(spark, n) for n in ("landing", "stream", "progress"))
+    schema = T.StructType([T.StructField("specimen_id", T.StringType()), T.StructField("wave", T.StringType())])
+    keys = cut(m.assay_rows.select("specimen_id").distinct())
+    merge = compact.first_values("specimen_id")
+    for n in range(4):
+        files = keys.filter(F.col("specimen_id").cast("bigint") % 4 <= n).withColumn("wave", F.lit(f"wave {n}"))
+        files.write.mode("append").option("header", True).option("sep", "\t").csv(landing)
+        streaming.stream_append(spark, landing, schema, "specimen_id", "wave", out, checkpoint, "2024-06-01", level="specimen").awaitTermination()
+        while compact.compact(spark, f"{out}/results", merge, ["specimen_id"], fan=2):
+            pass
+    results = compact.current(spark, f"{out}/results").drop("wave_done")
+    return streaming.current_rows(m.specimens.select("specimen_id"), results, "specimen_id").fillna("~")
+
+
+@query(
+    "commit_tables",
+    """SELECT 'patient' AS level, patient_id AS id FROM patients UNION ALL SELECT 'patient', 'new-' || r_name FROM region
+       UNION ALL SELECT 'specimen', specimen_id FROM specimens UNION ALL SELECT 'specimen', 'of-' || r_name FROM region
+       UNION ALL SELECT 'assay', assay_id FROM assays
+       UNION ALL SELECT 'refused', 'of-' || r_name FROM region""",
+)
+def _(m: Model) -> DataFrame:
+    """Specimens without their patients are refused as a whole; with them, both tables are published."""
+    spark, root = m.spark, fresh_path(m.spark, "versions")
+    names = ["patient", "specimen", "assay"]
+    tables = {n: t.select(f"{n}_id", *([f"{p}_id"] if p else [])) for n, p, t in zip(names, [None, "patient", "specimen"], m.levels, strict=True)}
+    audits = {"orphans": validate.fk_orphans}
+    versions.commit_tables(spark, root, tables, audits)
+    region = m.raw("region")
+    people = region.select(F.concat(F.lit("new-"), "r_name").alias("patient_id"))
+    taken = region.select(F.concat(F.lit("of-"), "r_name").alias("specimen_id"), F.concat(F.lit("new-"), "r_name").alias("patient_id"))
+    more = {"patient": tables["patient"].unionByName(people), "specimen": tables["specimen"].unionByName(taken)}
+    refused = versions.commit_tables(spark, root, {"specimen": more["specimen"]}, audits)
+    versions.commit_tables(spark, root, more, audits)
+    rows = [t.select(F.lit(n).alias("level"), F.col(f"{n}_id").alias("id")) for n, t in versions.read_tables(spark, root).items()]
+    bad = refused["rejects"]["orphans"]
+    rows.append(bad.select(F.lit("refused").alias("level"), F.col("key").alias("id")))
+    return reduce(DataFrame.unionByName, rows)
