@@ -1,5 +1,7 @@
 """A third of all rows under one key, with broadcasts off and skew splitting forced."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,15 @@ def test_merge_and_staleness(tight, cohort):
     )
     counts = {r.artifact_id: r.n_censored_inputs for r in table.collect()}
     assert counts["1"] + counts["2"] == N - expected_active() and counts["3"] == 0
+
+
+def test_medians_in_rounds(spark):
+    """One group of nearly all rows, cut again and again until a bucket fits, and small ones beside it."""
+    from cohort_ledger.operators import rank
+
+    rng = random.Random(9)
+    values = {"hot": [round(rng.gauss(0, 1), 4) for _ in range(6001)], "even": list(range(10)), "same": [3.0] * 8, "one": [1.5], "ties": [0.0] * 50 + [1.0] * 50}
+    frame = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    for fits in (3, 200, 100_000):
+        got = {r.k: (r.n, r.lower, r.upper) for r in rank.exact_middle(rank.histogram(frame, ["k"], "v"), ["k"], fits).collect()}
+        assert got == {k: (len(vs), sorted(vs)[(len(vs) - 1) // 2], sorted(vs)[len(vs) // 2]) for k, vs in values.items()}
