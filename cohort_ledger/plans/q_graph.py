@@ -431,3 +431,33 @@ def _(m: Model) -> DataFrame:
     pairs = asked.join(numbered.select(F.col("node").alias("other"), "n"), F.col("w") == F.col("n")).select("node", "other")
     edges = cut(_edges(m))
     return closure.is_above(pairs, edges, closure.interval_index(edges))
+
+
+@query(
+    "link_inputs_rejects",
+    """SELECT artifact_id, assay_id, reject FROM (
+         SELECT part_id AS artifact_id, CASE WHEN line = 1 THEN 'absent-' || assay_id ELSE assay_id END AS assay_id, line FROM assay_rows WHERE line <= 3) x
+       JOIN (VALUES (1, 'unknown_assay'), (2, 'unknown_artifact')) r(line, reject) ON r.line = x.line""",
+)
+def _(m: Model) -> DataFrame:
+    """Inputs whose assay (first lines) or artifact (second lines) is not there; third lines are good."""
+    line = F.split_part("assay_id", F.lit("-"), F.lit(2)).cast("int")
+    part = F.split_part("assay_id", F.lit("-"), F.lit(3))
+    pairs = m.assay_rows.filter(line <= 3).select(
+        F.when(line == 2, F.concat(F.lit("absent-"), part)).otherwise(part).alias("artifact_id"),
+        F.when(line == 1, F.concat(F.lit("absent-"), "assay_id")).otherwise(F.col("assay_id")).alias("assay_id"),
+        F.lit("tumor").alias("role"),
+    )
+    refused = art.link_inputs(m.cohort_artifact_inputs, pairs, m.cohort_artifacts, m.assay_rows)["rejects"]
+    return refused.select(F.regexp_replace("artifact_id", "^absent-", "").alias("artifact_id"), "assay_id", "reject")
+
+
+@query("neighbors_of_busiest", """
+    WITH busiest AS (SELECT up_node AS node FROM derivation GROUP BY up_node ORDER BY count(*) DESC, up_node LIMIT 1)
+    SELECT 'up' AS direction, up_node AS node FROM derivation WHERE down_node = (SELECT node FROM busiest)
+    UNION ALL SELECT 'down', down_node FROM derivation WHERE up_node = (SELECT node FROM busiest)""")
+def _(m: Model) -> DataFrame:
+    """One hop around the artifact from which most are derived."""
+    n = F.count(F.lit(1)).alias("n")
+    busiest = m.artifact_derivation.groupBy("up_node").agg(n).orderBy(F.desc("n"), "up_node").first()
+    return graph.neighbors(m.artifact_derivation, busiest.up_node if busiest else "")

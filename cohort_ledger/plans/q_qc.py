@@ -429,3 +429,79 @@ def _(m: Model) -> DataFrame:
     )
     out = replay.replay_entities(log, first.unionByName(second), "patient", ["cohort", "site"])
     return out["rows"]
+
+
+@query(
+    "resolve_rejects",
+    """WITH per AS (SELECT level, entity_id, count(*) AS n FROM active_events GROUP BY level, entity_id),
+            asked AS (SELECT DISTINCT level, entity_id FROM qc_events)
+       SELECT 'by entity' AS way, a.level, a.entity_id, CASE WHEN p.n IS NULL THEN 'no_active_event' ELSE 'ambiguous' END AS reject
+       FROM asked a LEFT JOIN per p ON p.level = a.level AND p.entity_id = a.entity_id WHERE coalesce(p.n, 0) <> 1
+       UNION ALL SELECT 'by id', level, entity_id, 'not_active' FROM qc_events WHERE resolved_at IS NOT NULL""",
+)
+def _(m: Model) -> DataFrame:
+    """Every entity with an event resolved by name, and every event by id: what is refused."""
+    events = m.qc_events
+    why = F.lit("reviewed").alias("reason")
+    by_entity = events.select("level", "entity_id").distinct().select(F.lit(None).cast("string").alias("id"), "level", "entity_id", why)
+    by_id = events.select("id", "level", "entity_id", why)
+    refused = qc.resolve_events(events, by_entity.unionByName(by_id), AS_OF)["rejects"]
+    return refused.select(F.when(F.col("id").isNull(), "by entity").otherwise("by id").alias("way"), "level", "entity_id", "reject")
+
+
+@query(
+    "consent_rejects",
+    """SELECT patient_id, CASE CAST(patient_id AS BIGINT) % 5 WHEN 0 THEN 'withdrawal_date_required' WHEN 1 THEN 'withdrawal_date_not_allowed'
+                          ELSE 'unknown_consent_status' END AS reject
+       FROM patients WHERE CAST(patient_id AS BIGINT) % 5 < 4""",
+)
+def _(m: Model) -> DataFrame:
+    turn = F.col("patient_id").cast("bigint") % 5
+    status = F.when(turn == 0, "revoked").when(turn == 1, "consented").when(turn == 2, "unheard_of").when(turn == 4, "withdrawn")
+    updates = m.patients.select("patient_id", status.alias("consent_status"), F.when(turn.isin(1, 4), F.lit("2024-06-01")).cast("date").alias("withdrawal_date"))
+    return qc.apply_consent(m.patients, updates)[1].select("patient_id", "reject")
+
+
+@query(
+    "replay_entities_actions",
+    """SELECT p.patient_id AS patient_id, coalesce(CASE WHEN CAST(p.patient_id AS BIGINT) % 4 = 1 THEN 'own' END, p.cohort) AS cohort,
+              CASE WHEN CAST(p.patient_id AS BIGINT) % 4 <> 3 THEN p.site END AS site,
+              CASE WHEN CAST(p.patient_id AS BIGINT) % 6 = 0 THEN '2024-03-01T00:00:00' END AS scan_done
+       FROM patients p""",
+)
+def _(m: Model) -> DataFrame:
+    """Rows registered one by one, by a whole sheet, by a migration and by metadata; results fill them and add none."""
+    number = F.col("patient_id").cast("bigint")
+    none = F.lit(None).cast("string")
+    people = m.patients.select("patient_id", "cohort", "site")
+    registered = people.filter(number % 4 == 1)
+    strangers = people.filter(number % 6 == 0).select(F.concat(F.lit("absent-"), "patient_id").alias("patient_id"), none.alias("cohort"), none.alias("site"))
+    files = {
+        "sheet.tsv": people.filter(number % 4 == 0),
+        "flat.tsv": people.filter(number % 4 == 2),
+        "more.tsv": people.select("patient_id", "cohort", F.when(number % 4 == 1, F.col("site")).alias("site")),
+        "scan.tsv": people.filter(number % 6 == 0).select("patient_id", none.alias("cohort"), none.alias("site")).unionByName(strangers),
+    }
+    sources = [rows.withColumn("results_file", F.lit(name)) for name, rows in files.items()]
+    kinds = {"sheet.tsv": "register_cohort", "flat.tsv": "migrate", "more.tsv": "add_metadata", "scan.tsv": "append"}
+
+    def line(seq, action, when="2024-01-01T00:00:00", analysis=none, file=none, key=none, meta=None):
+        meta = F.lit(None).cast("map<string,string>") if meta is None else meta
+        return [F.lit(seq).cast("bigint") if isinstance(seq, int) else seq, F.lit(action), F.lit("patient"), analysis, F.lit(when), file, key, none, meta]
+
+    names = ["seq", "action", "level", "analysis", "timestamp", "results_file", "id", "parent", "meta"]
+    one_by_one = registered.select(*line(number, "register", key=F.col("patient_id"), meta=F.create_map(F.lit("cohort"), F.lit("own")))).toDF(*names)
+    later = [
+        # Above every registration's place.
+        m.raw("region").filter("r_regionkey = 0").select(
+            *line(2**40 + i, kinds[name], "2024-03-01T00:00:00", F.lit("scan") if name == "scan.tsv" else none, F.lit(name))
+        ).toDF(*names)
+        for i, name in enumerate(files)
+    ]
+    log, rows = one_by_one, sources[0]
+    for more in later:
+        log = log.unionByName(more)
+    for more in sources[1:]:
+        rows = rows.unionByName(more)
+    out = replay.replay_entities(log, rows, "patient", ["cohort", "site", "scan_done"])
+    return out["rows"].select("patient_id", "cohort", "site", "scan_done")
