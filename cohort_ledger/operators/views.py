@@ -19,13 +19,15 @@ def joined(
     specimens: DataFrame,
     assays: DataFrame,
     schema: CohortSchema = DEFAULT_SCHEMA,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per assay with its specimen and patient columns.
 
     A column found on more than one level is prefixed with its level name, so
-    the result can be written and queried without ambiguous names.
+    the result can be written and queried without ambiguous names.  ``by`` names
+    columns that levels share besides their keys, as the place of a layout.
     """
-    linking = schema.linking_columns()
+    linking = {*schema.linking_columns(), *by}
     frames = {"patient": patients, "specimen": specimens, "assay": assays}
     seen: dict[str, int] = {}
     for frame in frames.values():
@@ -40,8 +42,8 @@ def joined(
         )
         for level, frame in frames.items()
     }
-    above = named["specimen"].join(named["patient"], schema.key("patient"))
-    return named["assay"].join(above, schema.key("specimen"))
+    above = named["specimen"].join(named["patient"], [*by, schema.key("patient")])
+    return named["assay"].join(above, [*by, schema.key("specimen")])
 
 
 def active(

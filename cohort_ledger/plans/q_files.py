@@ -18,7 +18,7 @@ from cohort_ledger.plans.dataset import AS_OF, Model
 from cohort_ledger.plans.q_qc import REPLAY_SQL
 from cohort_ledger.plans.registry import query
 from cohort_ledger.session import cut, fresh_path
-from cohort_ledger.sinks import versions
+from cohort_ledger.sinks import colocated, versions
 from cohort_ledger.streaming import compact
 
 DOC_FIELDS = T.StructType(
@@ -689,3 +689,17 @@ def _(m: Model) -> DataFrame:
     bad = refused["rejects"]["orphans"]
     rows.append(bad.select(F.lit("refused").alias("level"), F.col("key").alias("id")))
     return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "joined_colocated",
+    """SELECT a.assay_id, a.specimen_id, s.patient_id, p.cohort, s.tissue_site, a.assay_type
+       FROM assays a JOIN specimens s ON s.specimen_id = a.specimen_id JOIN patients p ON p.patient_id = s.patient_id""",
+)
+def _(m: Model) -> DataFrame:
+    """The levels laid out by place, large patients in parts, and joined without an exchange."""
+    path = fresh_path(m.spark, "levels")
+    name = "levels_" + path.rsplit("-", 1)[1]
+    colocated.write_colocated(*m.levels, path, name, buckets=16, per_place=40)
+    levels = colocated.read_colocated(m.spark, name)
+    return colocated.joined_colocated(levels).select("assay_id", "specimen_id", "patient_id", "cohort", "tissue_site", "assay_type")
