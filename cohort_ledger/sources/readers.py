@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,33 +47,22 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None =
     return _by_name(spark, path, schema) if schema else _delimited(spark).option("inferSchema", True).csv(path)
 
 
-def _files_below(spark: SparkSession, root: str, pattern: str, max_depth: int) -> list[str]:
-    """Matching files up to a depth; hidden and ``sandbox`` folders are skipped."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found, folders = [], [(base, 0)]
-    while folders:
-        folder, depth = folders.pop()
-        for status in fs.listStatus(folder):
-            path, name = status.getPath(), status.getPath().getName()
-            if status.isDirectory():
-                if depth < max_depth and not name.startswith(".") and name != "sandbox":
-                    folders.append((path, depth + 1))
-            elif fnmatch.fnmatch(name, pattern):
-                found.append(path.toString())
-    return sorted(found)
-
-
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    fs = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(location), "UTF-8"))
-    try:
-        return tuple((reader.readLine() or "").split("\t"))
-    finally:
-        reader.close()
+def _headers(spark: SparkSession, root: str, pattern: str, max_depth: int) -> DataFrame:
+    """``(path, header)`` of each matching file up to a depth, in one job.
+
+    Folders are listed by Spark and first lines read in tasks, from the first
+    block of each file.  Hidden and ``sandbox`` folders are left out.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    lines = reader.text(root).select(path.alias("path"), F.col("_metadata.file_block_start").alias("_start"), "value")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toUri().getPath().rstrip("/")
+    below = F.substring_index("path", base + "/", -1)
+    folders = F.slice(F.split(below, "/"), 1, F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
+    kept = (F.size(folders) <= max_depth) & ~F.exists(folders, lambda x: x.startswith(".") | (x == "sandbox"))
+    first = lines.filter((F.col("_start") == 0) & kept).withColumn("_at", F.monotonically_increasing_id())
+    return first.groupBy("path").agg(F.min_by("value", "_at").alias("header"))
 
 
 def read_manifests_union(
@@ -82,14 +70,14 @@ def read_manifests_union(
 ) -> DataFrame:
     """All manifests below a root as one table, by column name, missing cells NULL.
 
-    Adds ``project`` (the parent folder) and ``manifest_columns``.  Only file
-    names and header lines are read on the driver; manifests with the same
-    header share one scan, and every column stays text so that types cannot
-    clash.
+    Adds ``project`` (the parent folder) and ``manifest_columns``.  Headers are read
+    in tasks; the driver gets each file's name and header line.  Manifests with the
+    same header share one scan, and every column stays text so that types cannot
+    clash.  A file without a line has no rows.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in _files_below(spark, root, pattern, max_depth):
-        by_header.setdefault(_header(spark, path), []).append(path)
+    for row in sorted(_headers(spark, root, pattern, max_depth).collect()):
+        by_header.setdefault(tuple(row.header.split("\t")), []).append(row.path)
     if not by_header:
         raise FileNotFoundError(f"no {pattern!r} below {root}")
     parts = []

@@ -110,9 +110,11 @@ def test_manifest_union_and_summary(spark, tmp_path, rows):
         "sandbox/manifest.tsv": "sample_id\nzz\n",
         ".hidden/manifest.tsv": "sample_id\nzz\n",
         "a/b/c/d/manifest.tsv": "sample_id\ntoo deep\n",
+        "empty/manifest.tsv": "",
+        "alpha/other.tsv": "sample_id\nanother name\n",
     }.items():
         path = tmp_path / name
-        path.parent.mkdir(parents=True)
+        path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     union = sources.read_manifests_union(spark, str(tmp_path), "manifest.tsv")
     assert rows(union, "project", "sample_id", "qc_done", "depth") == [
@@ -123,6 +125,16 @@ def test_manifest_union_and_summary(spark, tmp_path, rows):
     ]
 
 
+def test_manifest_union_reads_headers_in_tasks(spark, tmp_path):
+    for name in ("of two+words 50%", "plain"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.tsv").write_text("sample_id\tv\n" + "".join(f"{name}{i}\t{i}\n" for i in range(3)))
+    with pytest.raises(FileNotFoundError):
+        sources.read_manifests_union(spark, str(tmp_path), "absent*.tsv")
+    union = sources.read_manifests_union(spark, str(tmp_path), "*.tsv")
+    assert sorted(r.sample_id for r in union.collect()) == sorted(f"{n}{i}" for n in ("of two+words 50%", "plain") for i in range(3))
+
+
 def test_layout(spark, tmp_path, rows):
     for rel in ("cov/v1/P1/S1/A1/out/x.tsv", "cov/v1/P1/S1/x.tsv", "mystery/v1/P1/S1/A1/x.tsv", "x.tsv", "mrg/v2/P1/S1/x.tsv"):
         path = tmp_path / rel
