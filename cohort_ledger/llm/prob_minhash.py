@@ -295,13 +295,18 @@ def classes(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size) of every row of ``docs``."""
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, own, class) of every row: its text's node and the class of that."""
     signed_rows = cut(signatures(docs))
     signed = cut(signed_rows.where("signature IS NOT NULL").select("node", "signature").dropDuplicates(["node"]))
     labels = classes(signed, docs, similarity)
     rows = signed_rows.select("doc_id", F.col("node").alias("own")).join(labels, F.col("own") == F.col("node"), "left")
-    rows = rows.select("doc_id", F.coalesce("label", "own").alias("class"))
+    return rows.select("doc_id", "own", F.coalesce("label", "own").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, class_size) of every row of ``docs``."""
+    rows = _classed(docs, similarity).select("doc_id", "class")
     sizes = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     return rows.join(sizes, F.col("class") == F.col("of"), "left").select(
         "doc_id",
@@ -311,7 +316,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class: the one with the smallest doc_id; rows without a text or an id all stay."""
-    kept = near_duplicates(docs, similarity).where("class_id IS NOT NULL AND class_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.where("text IS NOT NULL").join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class: the one with the smallest doc_id; rows without a text or an id all stay.
+
+    A row is known by its id and its text, so unlike texts that share an id stay too.
+    """
+    rows = _classed(docs, similarity).where("doc_id IS NOT NULL AND class IS NOT NULL")
+    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.own").alias("kept_node"))
+    named = docs.where("text IS NOT NULL").withColumn("node_of_row", F.xxhash64("text"))
+    same = (named["doc_id"] == kept["kept_id"]) & (named["node_of_row"] == kept["kept_node"])
+    chosen = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "node_of_row"]).drop("node_of_row")
     return chosen.union(docs.where("text IS NULL OR doc_id IS NULL"))

@@ -18,8 +18,8 @@ fills a third of the corpus sends one entry per batch.  Windows of the last
 level are dealt by the hash of the window that stands for them, which keeps
 neighbours together and runs of removed windows short to write.
 
-``doc_id`` identifies a document.  Defined results: NULL or empty texts have
-no words; texts shorter than the window lose nothing; repeated rows are one
+A document is its ``doc_id`` and its text; unlike texts that share an id follow in
+the order of a hash.  Defined results: NULL or empty texts have no words; texts shorter than the window lose nothing; repeated rows are one
 occurrence and all stay or lose the same words; a NULL doc_id counts as the
 smallest; an empty table gives an empty result; other columns are not read.
 A name has 64 bits besides the range it is dealt by, so two different windows
@@ -33,7 +33,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_ledger.llm import words as W
@@ -215,17 +215,45 @@ def _by_document(runs: DataFrame) -> DataFrame:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long").alias("doc_id"), "text")
+    """(owner, doc_id, text): ``doc_id`` tells documents apart, ``owner`` is the id they came with.
+
+    Both are the same where no two texts share an id.  Otherwise documents are
+    numbered in the order of id and text hash, range by range.
+    """
+    text_hash = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long").alias("owner"), "text")
+    hashed = rows.select("owner", text_hash.alias("h")).where("h IS NOT NULL")
+    shared = hashed.groupBy("owner").agg((F.min("h") != F.max("h")).alias("several")).where("several")
+    if shared.isEmpty():
+        return rows.select("owner", F.col("owner").alias("doc_id"), "text")
+    names = hashed.distinct().repartitionByRange("owner", "h").sortWithinPartitions("owner", "h")
+    names = cut(names.withColumn("part", F.spark_partition_id()))
+    sizes = names.groupBy(F.col("part").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("owner", "h"))
+    numbered = names.withColumn("nth", nth).join(sizes.select("of", before.alias("start")), F.col("part") == F.col("of"))
+    numbered = cut(numbered.select(F.col("owner").alias("o"), F.col("h").alias("oh"), (F.col("start") + F.col("nth")).cast("long").alias("doc_id")))
+    known = rows.withColumn("h", text_hash).join(numbered, (F.col("owner") == F.col("o")) & (F.col("h") == F.col("oh")), "left")
+    return known.select("owner", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text")  # 0: no text
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, ranges: int | None = None) -> DataFrame:
     """Runs of starts of windows whose words also start earlier: (doc_id, run_start, run_stop)."""
+    rows = _slim(docs)
+    runs = _repeated(rows, window, seed, ranges).withColumnRenamed("doc_id", "hit_id")
+    owners = rows.select("owner", "doc_id").distinct()
+    back = owners.join(runs, F.col("doc_id") == F.col("hit_id"))
+    return back.select(F.when(F.col("owner") != NULL_ID, F.col("owner")).alias("doc_id"), "run_start", "run_stop")
+
+
+def _repeated(rows: DataFrame, window: int, seed: int, ranges: int | None = None) -> DataFrame:
     if window % seed or (window // seed) & (window // seed - 1):
         raise ValueError("the window must be the seed length doubled some times")
-    rows, spark = _slim(docs), docs.sparkSession
+    spark = rows.sparkSession
     if ranges is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    rows = rows.select("doc_id", "text")
     length, runs = seed, None
     while True:
         last = length == window
@@ -245,7 +273,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, rang
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every document."""
     rows = _slim(docs)
-    marked = rows.join(_by_document(repeated(docs, window, seed)), F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "hits")
+    marked = rows.join(_by_document(_repeated(rows, window, seed)), F.col("doc_id") == F.col("hit_id"), "left").select("owner", "text", "hits")
 
     def remove(batches):
         for batch in batches:
@@ -263,7 +291,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
                     kept = [w for w, g in zip(parts, gone.tolist()) if not g]
                 out.append((len(parts), len(parts) - len(kept), b" ".join(kept)))
             n, r, k = zip(*out) if out else ([], [], [])
-            ids = [None if x == NULL_ID else x for x in batch.column("doc_id").to_pylist()]
+            ids = [None if x == NULL_ID else x for x in batch.column("owner").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return marked.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -288,3 +288,35 @@ def test_proximity(spark):
     vocabulary = decontaminate.phrases(benchmark).select(F.explode("words").alias("term")).distinct()
     got = decontaminate.proximity(decontaminate.index(docs, vocabulary), benchmark)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2)]
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    """Two different texts under one id, and under NULL: no document and no word of a clean one is lost."""
+    from cohort_ledger.llm import substring_dedup
+
+    draw = random.Random(8)
+    text = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    copied, clean, other, third = text(60), text(60), text(60), text(45)
+    rows = [(1, copied), (2, copied), (2, clean), (3, other), (3, third), (None, copied), (None, clean[:200]), (None, text(40)), (4, None), (4, third), (4, third)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = sorted(((r.doc_id, r.text) for r in prob_minhash.keep_one(docs).select("doc_id", "text").collect()), key=str)
+    without = [r for r in rows if r[0] is None or r[1] is None]
+    assert kept == sorted([(1, copied), (2, clean), (3, other), (3, third), *without], key=str)
+
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.without_repeats(docs).collect()), key=str)
+    # In the order of id (NULL first) and text, a window is removed where it stands earlier.
+    order = sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}, key=lambda r: (r[:2], spark_hash(spark, r[2])))
+    seen, removed = set(), {}
+    for known, i, t in order:
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 19):
+            window = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if window in seen else set()
+            seen.add(window)
+        removed[(i if known else None, t)] = len(gone)
+    assert got == sorted(((i, len(t.split()) if t else 0, removed.get((i, t), 0)) for i, t in rows), key=str)
+
+
+def spark_hash(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
