@@ -41,7 +41,7 @@ from cohort_ledger.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, SEED_WORDS = 20, 10
+WINDOW, SEED_WORDS = 20, 5
 RANGE_BYTES = 128_000_000  #: text for which one hash range is planned
 NULL_ID = -(2**63)
 PACKED = "range_no int, names binary, ids binary, starts binary, sure_ids binary, sure_starts binary"
