@@ -2,7 +2,8 @@
 
 A URL that a rule fits gets the rule's verdict.  From these URLs two smoothed
 variable-order Markov models are counted, one of accepted and one of rejected
-ones, over host and path with ``ORDER`` characters of context.  Each order is
+ones, over the whole URL (scheme and host in lower case, path, query and
+fragment) with ``ORDER`` characters of context.  Each order is
 mixed with the next shorter one by how often and how variedly its context was
 seen (Witten-Bell); an unseen context leaves the word to the shorter one.  The
 score of a URL is the difference of both log-likelihoods per character, and it
@@ -17,7 +18,7 @@ the order of rows.  The driver sees a histogram of at most ``2 * REACH * BINS``
 rows.
 
 Defined results: a NULL URL, or one without ``://``, has an empty host and path
-and is judged by the method; without examples of both kinds every score is 0
+and is judged by the method, the latter by all its characters; without examples of both kinds every score is 0
 and the threshold is 0, which accepts; repeated rows get equal verdicts; an
 empty table gives an empty result; other columns are not read.
 """
@@ -60,6 +61,13 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def whole(url: Column) -> Column:
+    """All characters of a URL, A-Z of its scheme and host lower-cased; NULL is empty."""
+    front = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    rest = F.substring(url, F.length(front) + 1, F.length(url))
+    return F.coalesce(F.concat(F.translate(front, UPPER, LOWER), rest), F.lit(""))
+
+
 def ruled(rules: list[Rule]) -> Column:
     """The longest rule that fits (host, path) as a struct; NULL if none does."""
     found = [F.lit(None).cast("struct<long:int,rule:string,verdict:string>")]
@@ -124,8 +132,8 @@ def _threshold(held: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[Rule], order: int = ORDER) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page; score is NULL where a rule decides."""
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("fit", ruled(rules)).withColumn("text", F.concat("host", "path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), whole(F.col("url")).alias("text"))
+    rows = rows.withColumn("fit", ruled(rules))
     texts = cut(rows.groupBy("text").agg(F.count_if(F.col("fit.verdict") == "allow").alias("n_allow"), F.count_if(F.col("fit.verdict") == "block").alias("n_block"), F.count_if(F.col("fit").isNull()).alias("n_open")))
     held = F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(5)) == 0
     sure = (F.col("n_allow") > 0) | (F.col("n_block") > 0)

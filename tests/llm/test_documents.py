@@ -136,6 +136,24 @@ def test_every_byte_is_read_in_overlapping_chunks():
         assert np.allclose(row, np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)]), atol=1e-4), n
 
 
+def test_long_documents_are_walked_in_parts(monkeypatch):
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    net = quality_cnn.Network(draw.normal(size=(quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), draw.normal(size=quality_cnn.FILTERS).astype(np.float32), draw.normal(size=2 * quality_cnn.FILTERS), 0.1)
+    raw = [bytes(draw.integers(1, 256, n, dtype=np.uint8)) for n in (1023, 1024, 1025, 1279, 1280, 1281, 5000, 2048)]
+    each = lambda: np.concatenate([net.features(t) for x in raw for t in W.slices(pa.array([x], pa.binary()))])
+    at_once = each()
+    monkeypatch.setattr(quality_cnn, "LONG_BYTES", 512)
+    assert np.array_equal(each(), at_once)
+    monkeypatch.undo()
+    column = pa.array([bytes(draw.integers(1, 256, 12_000_000, dtype=np.uint8))], pa.binary())
+    tracemalloc.start()
+    [found] = [net.features(t) for t in W.slices(column, 500_000)]
+    assert found.shape == (1, 2 * quality_cnn.FILTERS) and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def test_classifier_without_labels(spark, odd):
     network = quality_cnn.fit(odd, spark.createDataFrame([], LABELS))
     got = quality_cnn.score(odd, network).collect()
@@ -202,6 +220,17 @@ def test_token_files_round_trip(spark, docs, odd, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_dictionary_sample_is_bounded(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, " ".join(f"word{(i * 31 + k) % 97} of text" for k in range(300))) for i in range(60)]
+    plain = token_files.train_dictionary(spark.createDataFrame(rows, "doc_id long, text string"), path, 2, 2)
+    # Further texts under the same ids, and the part of a text beyond the bound, change nothing and are not gathered.
+    more = [(i, "~" + "z" * 50_000) for i, _ in rows for _ in range(3)] + [(5, None), (None, "no id")]
+    assert plain and plain == token_files.train_dictionary(spark.createDataFrame(rows + more, "doc_id long, text string"), path, 2, 2)
+
+
 def test_words_are_encoded_as_in_the_whole_text():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -290,6 +290,33 @@ def test_proximity(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2)]
 
 
+def test_a_part_of_a_long_item_is_near(spark):
+    words = [f"w{k * 37 % 1009}" for k in range(60)]
+    item = " ".join(words)
+    shuffled = words[10:30]
+    random.Random(3).shuffle(shuffled)
+    rows = [(1, "before it " + item), (2, "only a part " + " ".join(words[20:45])), (3, "in disorder " + " ".join(shuffled)), (4, " ".join(words[::9])), (None, item), (5, None)]
+    docs = spark.createDataFrame(rows + [(10 + i, f"other text {i}") for i in range(20)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", item), ("b", item), ("c", "of no use"), (None, None)], "item_id string, text string")
+    vocabulary = decontaminate.phrases(benchmark).select(F.explode("words").alias("term")).distinct()
+    got = {tuple(r) for r in decontaminate.proximity(decontaminate.index(docs, vocabulary), benchmark).collect()}
+    assert got == {(i, d) for i in "ab" for d in (1, 2, 3, None)}
+    hits = {r.doc_id: r["items"] for r in decontaminate.hits(docs, benchmark).collect()}
+    assert sorted(hits[1]) == sorted(hits[2]) == sorted(hits[None]) == ["a", "b"] and hits[3] == []
+
+
+def test_unlike_texts_under_one_id_are_judged_apart(spark):
+    phrase = " ".join(f"p{k}" for k in range(12))
+    rows = [(1, "start " + phrase), (1, "a clean text"), (1, None), (None, phrase), (None, "clean too"), (2, phrase + " " + phrase), (2, phrase + " " + phrase), (2, "")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    benchmark = spark.createDataFrame([(7, phrase)], "item_id int, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.hits(docs, benchmark).collect()), key=str)
+    assert got == sorted([(1, 13, 12, [7]), (1, 3, 0, []), (1, 0, 0, []), (None, 12, 12, [7]), (None, 2, 0, []), (2, 24, 24, [7]), (2, 24, 24, [7]), (2, 0, 0, [])], key=str)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[7]], key=str)
+
+
 def test_unlike_texts_under_one_id_stay(spark):
     """Two different texts under one id, and under NULL: no document and no word of a clean one is lost."""
     from cohort_ledger.llm import substring_dedup

@@ -2,8 +2,10 @@
 
 import json
 import math
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import SCHEMA, awkward, clashing, prose
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def split_url(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
+def whole_url(url):
+    lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    if url is None or "://" not in url:
+        return url or ""
+    scheme, tail = url.split("://", 1)
+    host = re.split("[/?#]", tail, maxsplit=1)[0]
+    return lower(scheme) + "://" + lower(host) + tail[len(host) :]
+
+
 def rule_of(host, path):
     fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: len(r.name)) if fits else None
@@ -74,12 +85,12 @@ def test_urls_against_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule.name if rule else None)
         if rule:
             assert r.verdict == rule.verdict
-            ruled[host + path][rule.verdict == "block"] += 1
+            ruled[whole_url(given[r.page_id])][rule.verdict == "block"] += 1
     texts = spark.createDataFrame([(t,) for t in ruled], "text string")
     held = {r.text for r in texts.where(F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(5)) == 0).collect()}
-    scores = brute_scores({r.host + r.path for r in got if r.rule is None} | held, {t: n for t, n in ruled.items() if t not in held})
+    scores = brute_scores({whole_url(given[r.page_id]) for r in got if r.rule is None} | held, {t: n for t, n in ruled.items() if t not in held})
     open_rows = [r for r in got if r.rule is None]
-    assert all(abs(r.score - scores[r.host + r.path]) < 1e-5 for r in open_rows)
+    assert all(abs(r.score - scores[whole_url(given[r.page_id])]) < 1e-5 for r in open_rows)
     bins = {t: math.floor(s * url_filter.BINS) for t, s in scores.items()}
     a, b = (sum(ruled[t][k] for t in held) for k in (0, 1))
 
@@ -127,14 +138,58 @@ def test_rates_meet_the_targets(spark):
 def test_rates_within_bounds_come_closest(spark):
     docs, labels = labelled(spark)
     model = mixing.fit(docs, labels, F.col("toxic"), 2)
-    got = mixing.rates(docs, model, [0.05, 0.95]).collect()  # more than rates up to MOST can give
-    assert min(r.rate for r in got) >= 0 and max(r.rate for r in got) <= mixing.MOST
+    got = mixing.rates(docs, model, [0.05, 0.95], most=3.0).collect()  # more than these rates can give
+    assert min(r.rate for r in got) >= 0 and max(r.rate for r in got) <= 3
     mixed = mixing.mixed(clashing(docs), model, [0.6, 0.4], least=1.0)
     assert mixed.columns == clashing(docs).columns
     times = Counter(r.doc_id for r in mixed.collect())
     assert set(times) == set(range(600)) and sum(times[i] for i in times if i % 4 == 0) > 1.2 * 150
 
 
+def nonnegative_residual(a, b):
+    """Least |a r - b| over r >= 0, by coordinate descent on the normal equations."""
+    gram, goal, r = a.T @ a, a.T @ b, np.zeros(a.shape[1])
+    for _ in range(200):
+        before = r.copy()
+        for i in range(len(r)):
+            if gram[i, i] > 0:
+                r[i] = max(0.0, r[i] + (goal[i] - gram[i] @ r) / gram[i, i])
+        if np.abs(r - before).max() < 1e-10:
+            break
+    return np.linalg.norm(a @ r - b)
+
+
+def rated(spark, rows, targets, **options):
+    soft = spark.createDataFrame(rows, "doc_id long, n_words long, posterior array<double>").repartition(3)
+    return soft.withColumn("rate", mixing.fit_rates(soft, targets, **options)).withColumn("copies", mixing.copies(F.col("rate")))
+
+
+def test_rates_against_an_independent_solution(spark):
+    draw = np.random.default_rng(3)
+    for targets, sharp in (([0.2, 0.3, 0.5], 0.3), ([0.9, 0.05, 0.05], 3.0), ([1.0, 0.0, 0.0], 3.0)):
+        posterior = draw.dirichlet([sharp] * 3, 40)
+        n = draw.integers(1, 60, 40)
+        rows = [(i, int(n[i]), posterior[i].tolist()) for i in range(40)]
+        got = sorted(rated(spark, rows, targets).collect())
+        a, goal = (posterior * n[:, None]).T, np.array(targets) * n.sum()
+        rate = np.array([r.rate for r in got])
+        assert (rate >= 0).all()
+        assert np.linalg.norm(a @ rate - goal) <= nonnegative_residual(a, goal) + 0.02 * n.sum(), targets
+
+
+def test_a_scarce_domain_is_repeated_as_often_as_asked(spark):
+    rows = [(i, 10, [0.01, 0.99] if i == 0 else [1.0, 0.0]) for i in range(100)] + [(100, 0, [0.0, 1.0])]
+    got = rated(spark, rows, [0.5, 0.5])
+    shares = {r.domain: r for r in mixing.balance(got, [0.5, 0.5]).collect()}
+    assert all(abs(shares[d].wanted - 0.5) < 1e-9 and abs(shares[d].reached - 0.5) < 1e-6 and abs(shares[d].drawn - 0.5) < 0.1 for d in (0, 1))
+    by_id = {r.doc_id: r.rate for r in got.collect()}
+    assert by_id[0] > 40 and by_id[100] == 1.0
+    bound = rated(spark, rows, [0.5, 0.5], most=8.0)
+    assert max(r.rate for r in bound.collect()) == 8.0
+    assert {r.domain: round(r.reached, 2) for r in mixing.balance(bound, [0.5, 0.5]).collect()}[1] < 0.4
+    assert mixing.balance(got.limit(0), [0.5, 0.5]).count() == 0
+
+
 def test_mixing_of_odd_rows(spark):
     odd = clashing(spark.createDataFrame(awkward() + [(None, "no id", None, None, None)], SCHEMA))
     model = mixing.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.col("toxic"), 2)
