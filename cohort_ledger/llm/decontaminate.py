@@ -2,7 +2,8 @@
 
 The index is a table of postings (term, doc_id, pos) of the training texts,
 for every term of the benchmark, written once to the shared folder; each
-document also has one posting of the empty term, at the number of its words.
+document also has one posting of the empty term, at the number of its words,
+with a hash of its text.
 
 A phrase is found from its rarest terms: postings of the rarest term, each
 moved back by the term's place, are the possible starts; they are intersected
@@ -10,8 +11,8 @@ with the moved postings of the second rarest.  What is left is compared word by
 word with the texts of the documents concerned.  Frequencies are counted over
 the whole index.
 
-``proximity`` finds items whose three rarest terms stand close together in any
-order, which catches reworded passages.
+``proximity`` finds items of which a window's three rarest terms stand close
+together in any order, which catches reworded passages.
 
 Only built-in functions are used.  Hot terms stay on the left of every join,
 where a partition can be split; each phrase has one row per rare term on the
@@ -20,16 +21,17 @@ length and by the benchmark.
 
 Defined results: items without words match nothing; an item without an id marks
 words but is not listed; a NULL document text has no words and is clean; an
-item of fewer than ``SIZE`` words is one phrase; items with equal texts all count; rows with equal doc_id
-are one document if their texts are equal, and get the spans of both otherwise;
-a NULL doc_id is an id of its own; empty tables give no matches; other columns
-are not read.
+item of fewer than ``SIZE`` words is one phrase; items with equal texts all
+count; a document is known by its id and its text, so unlike texts under one id
+(or under NULL) are judged apart, and repeated rows alike; ids of items may be of
+any type; empty tables give no matches; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohort_ledger.llm.words import LOWER, TERM_GAP_PATTERN, UPPER
 from cohort_ledger.session import cut
@@ -59,10 +61,14 @@ def phrases(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, pos) of the terms in ``vocabulary`` (term), and each document's length."""
-    texts = docs.select("doc_id", terms(F.col("text")).alias("words"))
-    listed = texts.select("doc_id", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "term"))
-    return cut(listed.join(vocabulary, "term", "left_semi").select("term", "doc_id", "pos"))
+    """Postings (term, doc_id, pos) of the terms in ``vocabulary`` (term).
+
+    The empty term's posting is a document's length, with ``text_hash``, its text's hash.
+    """
+    texts = docs.select("doc_id", terms(F.col("text")).alias("words"), F.xxhash64("text").alias("hashed"))
+    listed = texts.select("doc_id", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "term"), "hashed")
+    listed = listed.select("doc_id", "pos", "term", F.when(F.col("term") == "", F.col("hashed")).alias("text_hash"))
+    return cut(listed.join(vocabulary, "term", "left_semi").select("term", "doc_id", "pos", "text_hash"))
 
 
 def anchors(windows: DataFrame, postings: DataFrame) -> DataFrame:
@@ -105,25 +111,39 @@ def starts(postings: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, windows: DataFrame, possible: DataFrame) -> DataFrame:
-    """Exact occurrences (doc_id, start, n, phrase), compared with the documents' own words."""
+    """Exact occurrences (doc_id, text_hash, start, n, phrase), compared with the documents' own words.
+
+    The lists of an id hold the words of all texts under it; here each text is compared by itself.
+    """
     wanted = windows.groupBy("phrase").agg(F.first("text").alias("wanted"))
     listed = possible.join(wanted, "phrase").groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("phrase", "wanted", "start", "n")).alias("spans"))
     texts = docs.select("doc_id", "text").join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")))
-    words = texts.select("doc_id", terms(F.col("text")).alias("words"), "spans")
-    each = words.select("doc_id", F.explode(F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ") == s["wanted"])).alias("s"))
-    return each.select("doc_id", "s.phrase", "s.start", "s.n").distinct()
+    words = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), terms(F.col("text")).alias("words"), "spans")
+    each = words.select("doc_id", "text_hash", F.explode(F.filter("spans", lambda s: F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ") == s["wanted"])).alias("s"))
+    return each.select("doc_id", "text_hash", "s.phrase", "s.start", "s.n").distinct()
 
 
 def proximity(postings: DataFrame, benchmark: DataFrame, reach: int = NEAR_WORDS, count: int = NEAR_TERMS) -> DataFrame:
-    """(item_id, doc_id) where the item's ``count`` rarest terms stand within ``reach`` words of each other."""
+    """(item_id, doc_id) where the ``count`` rarest terms of one of the item's windows stand within ``reach`` words.
+
+    A window is ``reach`` words of the item, one every half of that, so a part of an
+    item that was taken over has windows of its own, however long the item is.
+    Words that no document has do not count among the rarest.
+    """
     items = benchmark.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
-    each = items.select("item_id", F.explode(F.array_distinct("words")).alias("term"))
+    half = max(reach // 2, 1)
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.size("words") - reach) / half), F.lit(0).cast("long")))
+    windows = items.select("item_id", "words", F.explode(at).alias("at"))
+    each = windows.select("item_id", "at", F.explode(F.array_distinct(F.slice("words", (F.col("at") * half + 1).cast("int"), reach))).alias("term"))
     frequency = postings.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-    rare = each.join(frequency, "term").groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("freq", "term"))), 1, count).alias("rare"))
-    rare = rare.where(F.size("rare") == count)
+    counted = each.join(frequency, "term").groupBy("item_id", "at")
+    rare = counted.agg(F.slice(F.sort_array(F.collect_list(F.struct("freq", "term"))), 1, count).alias("rare"))
+    # Windows of an item with the same rare terms are looked for once.
+    rare = rare.where(F.size("rare") == count).select("item_id", F.col("rare.term").alias("rare")).distinct()
+    rare = rare.select(F.struct("item_id", "rare").alias("item_id"), "rare")
     near = None
     for k in range(count):
-        these = rare.select("item_id", F.col("rare")[k]["term"].alias("term"))
+        these = rare.select("item_id", F.col("rare")[k].alias("term"))
         moved = postings.join(these, "term").select("item_id", "doc_id", "pos")
         if near is None:
             near = moved.select("item_id", "doc_id", F.col("pos").alias("low"), F.col("pos").alias("high"))
@@ -131,18 +151,18 @@ def proximity(postings: DataFrame, benchmark: DataFrame, reach: int = NEAR_WORDS
         step = moved.select(F.col("item_id").alias("i"), F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.explode(F.array(*[F.floor(F.col("pos") / reach) + x for x in (-1, 0, 1)])).alias("cell"))
         joined = near.withColumn("at", F.floor(F.col("low") / reach)).join(step, (F.col("item_id") == F.col("i")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("cell")))
         near = joined.select("item_id", "doc_id", F.least("low", "p").alias("low"), F.greatest("high", "p").alias("high")).where(F.col("high") - F.col("low") < reach).distinct()
-    return near.select("item_id", "doc_id").distinct()
+    return near.select("item_id.item_id", "doc_id").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document; items are ids of items with a phrase in it."""
+    """(doc_id, text_hash, n_words, n_hit, items) of every document; items are ids of items with a phrase in it."""
     windows = phrases(benchmark, size)
     vocabulary = windows.select(F.explode("words").alias("term")).union(windows.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     postings = index(docs, vocabulary)
     possible = starts(postings, anchors(windows, postings))
     found = cut(matches(docs, windows, possible))
 
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    spans = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"))
     # Spans in order of their start: each adds what lies beyond all before it.
     step = F.aggregate(
         "spans",
@@ -153,18 +173,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
         ),
         lambda s: s["n_hit"],
     )
-    covered = spans.select(F.col("doc_id").alias("d"), step.alias("n_hit"))
+    covered = spans.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("d_hash"), step.alias("n_hit"))
     owners = windows.where("item_id IS NOT NULL").select("item_id", F.col("phrase").alias("p")).distinct()
-    items = found.select("doc_id", "phrase").distinct().join(owners, F.col("phrase") == F.col("p")).groupBy(F.col("doc_id").alias("e")).agg(F.collect_set("item_id").alias("items"))
-    lengths = postings.where("term = ''").select("doc_id", F.col("pos").cast("long").alias("n_words"))
+    named = found.select("doc_id", "text_hash", "phrase").distinct().join(owners, F.col("phrase") == F.col("p"))
+    items = named.groupBy(F.col("doc_id").alias("e"), F.col("text_hash").alias("e_hash")).agg(F.collect_set("item_id").alias("items"))
+    lengths = postings.where("term = ''").select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+    none = F.array().cast(T.ArrayType(benchmark.schema["item_id"].dataType))
     return (
-        lengths.join(covered, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-        .join(items, F.col("doc_id").eqNullSafe(F.col("e")), "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("CAST(array() AS array<long>)")).alias("items"))
+        lengths.join(covered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("d_hash")), "left")
+        .join(items, F.col("doc_id").eqNullSafe(F.col("e")) & (F.col("text_hash") == F.col("e_hash")), "left")
+        .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the benchmark occurs."""
-    dirty = hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("dirty_id"))
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]), "left_anti")
+    found = hits(docs, benchmark, size).where("n_hit > 0")
+    dirty = found.select(F.col("doc_id").alias("dirty_id"), F.col("text_hash").alias("dirty_text"))
+    same = docs["doc_id"].eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(docs["text"]) == dirty["dirty_text"])
+    return docs.join(dirty, same, "left_anti")
