@@ -38,6 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH, FILTERS, VECTOR = 8, 16, 8
 CHUNK = 512
+LONG_BYTES = 1 << 18  #: positions whose responses are held at a time in a long document
 SAMPLE_ROWS, SAMPLE_BYTES, TRAIN_CHUNKS = 3_000, 16_384, 4
 EPOCHS, BATCH, RATE = 14, 64, 0.01
 CUT = 0.3
@@ -58,11 +59,27 @@ class Network:
             out += self.table[k].take(data[k : k + n], axis=0)
         return np.maximum(out, 0, out=out)
 
+    def pooled(self, data: np.ndarray) -> np.ndarray:
+        """Largest responses in each half chunk of one document, worked out ``LONG_BYTES`` at a time."""
+        half, n = CHUNK // 2, len(data)
+        out = []
+        for start in range(0, n, LONG_BYTES):
+            stop = start + LONG_BYTES if start + LONG_BYTES < n else n + 1
+            part = data[start : stop + WIDTH - 1]
+            part = np.concatenate([part, np.zeros(stop - start + WIDTH - 1 - len(part), np.uint8)])
+            blocks = -(-(min(stop, n) - start) // half)
+            out.append(np.maximum.reduceat(self.responses(part), np.arange(blocks) * half, axis=0))
+        return np.concatenate(out)
+
     def features(self, texts: W.Texts) -> np.ndarray:
         """Mean and largest chunk value of each filter for every document of a slice."""
         half = CHUNK // 2
         size = np.diff(texts.bounds)
         blocks = np.maximum(-(-size // half), 1)
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        owner = np.repeat(np.arange(texts.n), blocks)
+        if texts.n == 1 and size[0] > LONG_BYTES:
+            return self._combined(self.pooled(texts.data), first, owner, blocks)
         # Every document is followed by zero bytes, so that filters do not reach into the next.
         padded = np.zeros(len(texts.data) + texts.n * (WIDTH - 1) + texts.n, np.uint8)
         starts = texts.bounds[:-1] + np.arange(texts.n) * WIDTH
@@ -71,10 +88,11 @@ class Network:
         response = self.responses(np.concatenate([padded, np.zeros(WIDTH - 1, np.uint8)]))
         beyond = (starts + size)[:, None] + np.arange(1, WIDTH)  # these would see the next document
         response[beyond.ravel()] = 0
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        owner = np.repeat(np.arange(texts.n), blocks)
         at = starts[owner] + (np.arange(len(owner)) - first[owner]) * half
-        pooled = np.maximum.reduceat(response, at, axis=0)
+        return self._combined(np.maximum.reduceat(response, at, axis=0), first, owner, blocks)
+
+    @staticmethod
+    def _combined(pooled: np.ndarray, first: np.ndarray, owner: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         last = np.zeros(len(owner), bool)
         last[first[1:] - 1] = True
         chunk = np.where(last[:, None], pooled, np.maximum(pooled, np.concatenate([pooled[1:], pooled[-1:]])))
