@@ -3,20 +3,25 @@
 A softmax classifier over hashed words, fitted on at most ``SAMPLE_ROWS`` rows
 of a labelled table, gives every document its posterior over the domains.  A
 document of n words adds ``rate * n * posterior`` to the expected words of each
-domain.  Rates from ``least`` to ``most`` are fitted by projected-gradient least
-squares, so that these totals meet the targets, starting from 1 for all.
+domain.  Rates of ``least`` or more are fitted by projected-gradient least
+squares, so that these totals meet the targets, starting from 1 for all.  They
+have no upper bound unless ``most`` is given: a scarce domain is repeated as
+often as its target asks.  ``balance`` lists the wanted and the reached words.
 
 A step moves each rate against the gradient, ``posterior . g``, and projects it
-back.  Steps are scaled by the inverse of the domains' Gram matrix, which is
-summed once; rates of long and short documents move alike.  Only the residual,
-a number for each domain, reaches the driver, and a rate is a function of the
+back; rates of long and short documents move alike.  Steps are scaled by the
+inverse of the domains' Gram matrix over the documents whose rates are free to
+move.  Some fractions of such a step and a plain gradient step are tried in one
+job, and the closest is taken, so that a step never leads away, and targets that
+no rates can meet are come closest to by the sum of squares.  Only sums for each
+domain and pair of domains reach the driver, and a rate is a function of the
 posterior and of the g of all steps, so no rates are written between steps.
 
 A rate becomes whole copies: its integer part, and one more with its fraction
 as probability, drawn by a hash of the id.
 
 Defined results: a NULL or empty text has no words, the posterior of the empty
-text and no part in the totals; without labels the posterior is even; targets
+text, no part in the totals, and the rate 1 (or the bound next to it); without labels the posterior is even; targets
 are scaled to sum to 1; repeated rows get equal rates and equal draws; an empty
 table gives an empty result; ``mixed`` passes all columns on.
 """
@@ -29,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_ledger.llm import words as W
@@ -41,7 +46,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 4_000  #: labelled documents at most used to fit the classifier
 STEPS, CLOSE = 40, 1e-7
-MOST = 8.0  #: no document is repeated more often, however scarce its domain
+SCALES = (1.0, 0.25, 0.0625)
 SEED = 20_260_102
 
 
@@ -136,7 +141,7 @@ def _dot(p: str, g: list[float]) -> Column:
     return total
 
 
-def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, least: float = 0.0, most: float = MOST, steps: int = STEPS) -> Column:
+def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, least: float = 0.0, most: float | None = None, steps: int = STEPS) -> Column:
     """The rate of each row of (n_words, posterior) as a column.
 
     ``targets`` are the shares of the domains and ``total`` the expected words
@@ -147,6 +152,7 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     share = np.asarray(targets, float) / sum(targets)
     k = len(share)
     words = lambda d: F.col("n_words") * F.col("posterior")[d]
+    bounded = lambda rate: rate if most is None else F.least(F.lit(float(most)), rate)
     row = soft.agg(*[F.sum(words(d)) for d in range(k)], *[F.sum(words(d) * F.col("posterior")[e]) for d in range(k) for e in range(k)]).first()
     have = np.array([x or 0.0 for x in row[:k]])
     gram = np.array([x or 0.0 for x in row[k:]]).reshape(k, k)
@@ -155,16 +161,40 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
         if least >= 1:
             total = max([total, *(h / s for h, s in zip(have, share) if s > 0)])
     goal = share * total
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
     rate, sums = F.lit(1.0), have
-    for _ in range(steps):
-        if np.abs(sums - goal).max() <= CLOSE * max(total, 1.0):
+    for step in range(steps):
+        off = sums - goal
+        if np.abs(off).max() <= CLOSE * max(total, 1.0):
             break
-        g = [float(f"{x:.9g}") for x in inverse @ (sums - goal)]  # rounded, so that the order of sums does not show
-        rate = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), rate - _dot("posterior", g)))
-        now = soft.select("n_words", "posterior", rate.alias("rate"))
-        sums = np.array([x or 0.0 for x in now.agg(*[F.sum(words(d) * F.col("rate")) for d in range(k)]).first()])
-    return rate
+        if step or least >= 1 or (most is not None and most <= 1):
+            down = _dot("posterior", off.tolist())
+            free = ((rate > float(least)) | (down < 0)) if most is None else ((rate > float(least)) | (down < 0)) & ((rate < float(most)) | (down > 0))
+            pairs = [F.sum(words(d) * F.col("posterior")[e]) for d in range(k) for e in range(k)]
+            loose = np.array([x or 0.0 for x in soft.where(free).agg(*pairs).first()]).reshape(k, k)
+        else:
+            loose = gram
+        moves = [scale * np.linalg.pinv(loose, rcond=1e-9) @ off for scale in SCALES] + [off / np.linalg.eigvalsh(gram)[-1]]
+        moves = [[float(f"{x:.9g}") for x in g] for g in moves]  # rounded, so that the order of sums does not show
+        tried = [bounded(F.greatest(F.lit(float(least)), rate - _dot("posterior", g))) for g in moves]
+        row = soft.agg(*[F.sum(words(d) * r) for r in tried for d in range(k)]).first()
+        found = np.array([x or 0.0 for x in row]).reshape(len(moves), k)
+        left = np.linalg.norm(found - goal, axis=1)
+        best = int(np.argmin(left))
+        if left[best] > (1 - CLOSE) * np.linalg.norm(off):
+            break
+        rate, sums = tried[best], found[best]
+    return F.when(F.col("n_words") > 0, rate).otherwise(bounded(F.greatest(F.lit(float(least)), F.lit(1.0))))
+
+
+def balance(rated: DataFrame, targets: list[float]) -> DataFrame:
+    """(domain, wanted, reached, drawn): shares of the words in rows of ``rates``, by rate and by whole copies."""
+    each = rated.select("n_words", F.posexplode("posterior").alias("domain", "p"), "rate", "copies")
+    words = lambda times: F.sum(F.col("n_words") * F.col("p") * F.col(times))
+    sums = each.groupBy("domain").agg(words("rate").alias("by_rate"), words("copies").alias("by_copies"))
+    wanted = F.get(F.array(*[F.lit(float(t) / sum(targets)) for t in targets]), F.col("domain"))
+    whole = lambda part: F.sum(part).over(Window.partitionBy(F.lit(0)))  # noqa: E731; a row for each domain
+    share = lambda part: F.when(whole(part) > 0, F.col(part) / whole(part))
+    return sums.select("domain", wanted.alias("wanted"), share("by_rate").alias("reached"), share("by_copies").alias("drawn"))
 
 
 def copies(rate: Column, seed: int = SEED) -> Column:
@@ -173,17 +203,17 @@ def copies(rate: Column, seed: int = SEED) -> Column:
     return F.floor(rate + even).cast("int")
 
 
-def rates(docs: DataFrame, model: Softmax, targets: list[float], total: float | None = None, least: float = 0.0) -> DataFrame:
+def rates(docs: DataFrame, model: Softmax, targets: list[float], total: float | None = None, least: float = 0.0, most: float | None = None) -> DataFrame:
     """(doc_id, n_words, posterior, rate, copies) of every document."""
     soft = cut(posteriors(docs, model))
-    rate = fit_rates(soft, targets, total, least)
+    rate = fit_rates(soft, targets, total, least, most)
     return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))
 
 
-def mixed(docs: DataFrame, model: Softmax, targets: list[float], total: float | None = None, least: float = 0.0) -> DataFrame:
+def mixed(docs: DataFrame, model: Softmax, targets: list[float], total: float | None = None, least: float = 0.0, most: float | None = None) -> DataFrame:
     """The rows of ``docs`` as often as their copies say, with all their columns."""
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id"), F.col("text"))
     soft = cut(posteriors(plain, model, *[f"c{i}" for i in range(len(docs.columns))]))
-    times = copies(fit_rates(soft, targets, total, least))
+    times = copies(fit_rates(soft, targets, total, least, most))
     repeated = soft.withColumn("again", F.explode(F.sequence(F.lit(1), times))) if least >= 1 else soft.withColumn("again", F.explode(F.array_repeat(F.lit(0), times)))
     return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
