@@ -10,7 +10,8 @@ place, ``first_id`` and ``last_id`` the ids it covers, ``n_docs``,
 Each frame is one document's ids, little-endian, compressed by zstandard with
 the dictionary, so a short document is read by one offset and one frame.  The
 dictionary is a table of one row beside the blocks.  It is trained on ids of a
-bounded sample (``DICTIONARY_DOCS`` documents, ``PIECE_IDS`` ids a piece).
+bounded sample (``DICTIONARY_DOCS`` ids with a text of up to ``DICTIONARY_CHARS``
+characters each, ``PIECE_IDS`` ids a piece).
 
 Documents stand in ascending doc_id order: ranges of ids are sorted in
 parallel, and ``start`` is the sum of earlier ranges (one row each) plus the
@@ -43,7 +44,7 @@ from cohort_ledger.session import fresh_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"IDZB0001"
-DICTIONARY_DOCS, DICTIONARY_BYTES, PIECE_IDS = 400, 65_536, 2_048
+DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES, PIECE_IDS = 400, 32_768, 65_536, 2_048
 BLOCK_IDS = 1_000_000  #: a block ends at this many ids
 BATCH_BYTES = 8_000_000  #: text whose new words are encoded in one call
 KNOWN_WORDS = 1_000_000  #: words a worker remembers at most
@@ -164,8 +165,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int) -> b
     docs = docs.select("doc_id", "text")
     draw = F.xxhash64(F.lit("dictionary"), "doc_id")
     picked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(draw.alias("draw"), F.col("doc_id").alias("id")).distinct().orderBy("draw", "id").limit(DICTIONARY_DOCS)
-    sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("draw", F.col("text").cast("binary").alias("text"))
-    ids = encoded([bytes(r.text) for r in sorted(sample.collect())[:DICTIONARY_DOCS]], tokenizer, width, end)
+    # One text of each id, cut to a bounded length before anything is gathered.
+    text = F.min(F.substring("text", 1, DICTIONARY_CHARS)).alias("text")
+    sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).groupBy("draw", "id").agg(text)
+    rows = sample.select("draw", F.col("text").cast("binary").alias("text")).collect()
+    ids = encoded([bytes(r.text) for r in sorted(rows)], tokenizer, width, end)
     pieces = [x[i : i + PIECE_IDS * width] for x in ids for i in range(0, len(x), PIECE_IDS * width)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
