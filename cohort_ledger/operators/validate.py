@@ -369,10 +369,13 @@ def constraints(tables: dict[str, DataFrame], schema: CohortSchema = DEFAULT_SCH
 def checksum_match(log: DataFrame, files: DataFrame) -> DataFrame:
     """Logged source files whose content is gone or changed.
 
-    ``files`` is a ``binaryFile`` read with ``path`` and ``content``; the
-    digest is computed where the file is read and only it is shuffled.
+    ``files`` is a ``binaryFile`` read with ``path`` and ``content``, or has
+    ``path`` and ``digest`` from ``sources.file_digests`` over the log's own
+    ``results_file``, for files of any size; the digest is computed where the
+    file is read and only it is shuffled.
     """
-    actual = files.select(F.col("path").alias("results_file"), F.md5("content").alias("_md5"))
+    digest = F.col("digest") if "digest" in files.columns else F.md5("content")
+    actual = files.select(F.col("path").alias("results_file"), digest.alias("_md5"))
     logged = log.filter(F.col("results_checksum").isNotNull()).select(
         "results_file", "results_checksum"
     ).distinct()

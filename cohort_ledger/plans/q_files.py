@@ -353,10 +353,13 @@ def _(m: Model) -> DataFrame:
     return m.spark.createDataFrame([(r.assay_id, truncated) for r in rows], "assay_id string, truncated boolean")
 
 
-@query("checksum_match", """
+CHECKSUM_SQL = """
     SELECT 'supplier ' || s_suppkey AS "key", CASE WHEN s_suppkey % 3 = 1 THEN 'changed' ELSE 'missing' END AS detail
-    FROM supplier WHERE s_suppkey % 3 > 0""")
-def _(m: Model) -> DataFrame:
+    FROM supplier WHERE s_suppkey % 3 > 0"""
+
+
+def _logged_files(m: Model) -> tuple[DataFrame, DataFrame]:
+    """A file for each supplier, and the log of them: a third changed, a third gone."""
     root = fresh_path(m.spark, "logged")
     supplier = m.raw("supplier").select("s_suppkey", F.col("s_name").alias("value"))
     supplier.write.partitionBy("s_suppkey").text(root)
@@ -366,12 +369,27 @@ def _(m: Model) -> DataFrame:
         F.when(F.col("s_suppkey") % 3 == 2, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("results_file"),
         F.when(F.col("s_suppkey") % 3 == 1, F.lit("0" * 32)).otherwise(F.md5(F.concat("value", F.lit("\n")))).alias("results_checksum"),
     )
-    out = validate.checksum_match(log, files)
-    return out.select(
+    return log, files
+
+
+def _named(issues: DataFrame) -> DataFrame:
+    return issues.select(
         F.concat(F.lit("supplier "), F.regexp_extract("key", r"s_suppkey=(\d+)", 1)).alias("key"), "detail"
     )
 
 
+@query("checksum_match", CHECKSUM_SQL)
+def _(m: Model) -> DataFrame:
+    return _named(validate.checksum_match(*_logged_files(m)))
+
+
+@query("checksum_by_ranges", CHECKSUM_SQL)
+def _(m: Model) -> DataFrame:
+    log, _ = _logged_files(m)
+    log = cut(log)
+    return _named(validate.checksum_match(log, sources.file_digests(log, "results_file")))
+
+
 # Summaries of result files
 
 

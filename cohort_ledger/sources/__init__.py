@@ -1,5 +1,6 @@
 """Readers.  Schemas are explicit wherever the format has one."""
 
+from cohort_ledger.sources.digests import file_digests
 from cohort_ledger.sources.readers import (
     infer_layout,
     init_manifest,
@@ -17,6 +18,7 @@ from cohort_ledger.sources.readers import (
 )
 
 __all__ = [
+    "file_digests",
     "infer_layout",
     "init_manifest",
     "parse_artifact_inputs",

@@ -240,3 +240,49 @@ def test_a_run_leaves_nothing_behind(spark):
             assert cut(spark.range(2)).count() == 2 and inner.startswith(folder)
         assert not Path(inner).exists()
     assert not Path(folder).exists() and not fresh_path(spark, "x").startswith(folder)
+
+
+def test_digests_are_read_in_ranges(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(4)
+    bodies = {"empty": b"", "one": b"x", "exact": rng.randbytes(64), "long": rng.randbytes(100_003), "two words.gz": b"not packed"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    paths = [str(tmp_path / n) for n in bodies] + [f"file:{tmp_path}/long", f"file://{tmp_path}/long", f"{tmp_path}/gone", None, f"{tmp_path}/one"]
+    logged = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "results_file string, digest long")
+    for options in ({}, {"step": 64}, {"step": 7, "tasks": 3}):
+        got = {r.path: (r.digest, r.size) for r in sources.file_digests(logged, "results_file", **options).collect()}
+        want = {str(tmp_path / n): (hashlib.md5(b).hexdigest(), len(b)) for n, b in bodies.items()}
+        want |= dict.fromkeys(paths[5:7], want[str(tmp_path / "long")]) | dict.fromkeys(paths[7:9], (None, None))
+        assert got == want
+    [row] = sources.file_digests(logged.limit(1), "results_file", "sha256").collect()
+    assert row.digest == hashlib.sha256(b"").hexdigest()
+    assert sources.file_digests(logged.limit(0), "results_file").count() == 0
+    with pytest.raises(Exception, match="[Dd]irectory|file"):
+        sources.file_digests(spark.createDataFrame([(str(tmp_path),)], "path string")).collect()
+    log = spark.createDataFrame(
+        [(paths[1], hashlib.md5(b"x").hexdigest()), (paths[3], "0" * 32), (paths[7], "1" * 32), (paths[0], None)], "results_file string, results_checksum string"
+    )
+    found = validate.checksum_match(log, sources.file_digests(log, "results_file")).collect()
+    assert {(r.key, r.detail) for r in found} == {(paths[3], "changed"), (paths[7], "missing")}
+
+
+def test_a_long_file_is_digested_in_flat_memory(tmp_path):
+    import hashlib
+
+    import pyarrow as pa
+
+    from cohort_ledger.sources import digests
+
+    path = tmp_path / "sparse"
+    size = (2 << 30) + 5  # beyond what one row can hold; a hole, so it takes no disk
+    with path.open("wb") as f:
+        f.truncate(size)
+    want, zeros = hashlib.md5(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        want.update(zeros)
+    want.update(bytes(size & ((1 << 20) - 1)))
+    before = pa.default_memory_pool().max_memory()
+    assert digests._digest(str(path), "md5", digests.RANGE_BYTES) == (want.hexdigest(), size)
+    assert pa.default_memory_pool().max_memory() <= max(before, 4 * digests.RANGE_BYTES)
