@@ -229,8 +229,13 @@ def test_sql_on_prose(spark, tmp_path, name):
 
     spark.createDataFrame(prose(80, seed=20), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, t[10:140]) for i, t, *_ in prose(80, seed=20)[::9]] + [(99, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    draw = np.random.default_rng(6)
+    vectors = [(i, draw.normal(size=8).astype(np.float32).tolist(), i % 10) for i in range(400)] + [(400, None, 1), (500, [float("nan")] * 8, 1), (600, [1.0] * 8, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    turns = [(c, t, ("user", "assistant")[t % 2], f"turn {c % (1 + 3 * t)} of {t}") for c in range(80) for t in range(1 + c % 5)] + [(81, None, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     frame = queries.QUERIES[name](spark, str(tmp_path))
     result = con.execute(queries.SQL[name])
